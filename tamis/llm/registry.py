@@ -7,10 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tamis.llm import lines, urls
 from tamis.llm.packing import pack
+from tamis.llm.quality import classify
 from tamis.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The rules (host, path, verdict) that op7 is asked to apply.
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -46,3 +50,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query(lines.SQL)
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), lines_col="n_lines", removed_col="n_removed")
+
+
+@query(urls.sql(RULES))
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
