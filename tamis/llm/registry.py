@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tamis.llm import lines, urls
+from tamis.llm.decontaminate import contaminated
 from tamis.llm.packing import pack
 from tamis.llm.quality import classify
 from tamis.llm.simhash import simhash_components
@@ -65,3 +66,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
