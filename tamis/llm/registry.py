@@ -12,6 +12,7 @@ from tamis.llm.decontaminate import contaminated
 from tamis.llm.packing import pack
 from tamis.llm.quality import classify
 from tamis.llm.simhash import simhash_components
+from tamis.llm.vectors import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The rules (host, path, verdict) that op7 is asked to apply.
@@ -71,3 +72,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
