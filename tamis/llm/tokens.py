@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks of these characters are their own NFC form and lower-case the same way everywhere.
 PLAIN = regex.compile(r"[\x21-\x7e¡-ɏ]+")
-CACHE = 600_000  # pre-tokens a worker remembers
-SLICE = 1 << 23  # bytes of text taken at a time
+CACHE = 200_000  # pre-tokens a worker remembers
+SLICE = 1 << 22  # bytes of text taken at a time
 
 
 class WordTokenizer:
