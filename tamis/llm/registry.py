@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tamis.llm import lines, urls
 from tamis.llm.decontaminate import contaminated
+from tamis.llm.html import extract
 from tamis.llm.packing import pack
 from tamis.llm.quality import classify
 from tamis.llm.simhash import simhash_components
@@ -77,3 +78,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
