@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import lines, urls
+from tamis.llm import chat, lines, shards, urls
 from tamis.llm.decontaminate import contaminated
 from tamis.llm.html import extract
 from tamis.llm.packing import pack
@@ -83,3 +83,21 @@ def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+#: Tools that the conversations may call, by name, with the schema of their arguments.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"]},
+}
+
+
+@query(chat.SQL)
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"), TOOLS)
+
+
+@query()
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = shards.training_order(table(spark, sf_dir, "documents"), vocabulary())
+    return shards.digest(ordered, stride=2048, per_shard=4096)
