@@ -139,20 +139,22 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
         yield rows, np.array([0, rows.num_rows])
 
 
-def in_blocks(rows: DataFrame, keys: list[str], member: str, chunk: int, payload: DataFrame | None = None) -> DataFrame:
+def in_blocks(rows: DataFrame, keys: list[str], member: str, chunk: int, payload: DataFrame | None = None, singles: bool = False) -> DataFrame:
     """Rows dealt by their group, for comparing all members of a group without gathering a large one.
 
     A group of over ``chunk`` rows is cut into n chunks by a hash of ``member``, and each row goes
     to the n blocks of two chunks that hold its own; any two members meet in a block of about
     two chunks at most. Adds block_i, block_j and the row's own chunk, block_own; sorted by the
     keys and the first two within partitions. Groups of one row are dropped (they have nothing to
-    compare). ``payload``, joined by ``member`` to what is left, spares wide rows the dealing.
+    compare) unless ``singles``, which looks up large groups only: cheaper where nearly all rows
+    are narrow. ``payload``, joined by ``member`` to what is left, spares wide rows the dealing.
     """
-    sizes = save(rows.groupBy(*keys).count().where("count > 1").select(*keys, F.ceil(F.col("count") / F.lit(chunk)).cast("int").alias("block_n")))
+    sizes = save(rows.groupBy(*keys).count().where(F.col("count") > (chunk if singles else 1)).select(*keys, F.ceil(F.col("count") / F.lit(chunk)).cast("int").alias("block_n")))
     own = F.pmod(F.xxhash64(F.col(member)), F.col("block_n")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("block_n") - 1))
     dealt = (
-        rows.join(sizes, keys)
+        rows.join(sizes, keys, "left" if singles else "inner")
+        .withColumn("block_n", F.coalesce("block_n", F.lit(1)))
         .withColumn("block_own", own)
         .withColumn("block_other", other)
         .withColumn("block_i", F.least("block_own", "block_other"))

@@ -143,7 +143,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, groups: int = 2, segmen
             yield forest()
 
     cells = fps.mapInArrow(spread, "cell long, fp long")
-    return in_blocks(cells, ["cell"], "fp", chunk).mapInArrow(link, "a long, b long")
+    return in_blocks(cells, ["cell"], "fp", chunk, singles=True).mapInArrow(link, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
