@@ -1,97 +1,18 @@
-"""What the operators share: tables in the cluster's folder, sorted runs, components."""
+"""What the operators share: sorted runs, blocks of large groups, forests of links."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SAVED: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tamis-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def save(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and the planner knows its size.
-
-    A lost executor loses none of it. ``drop`` removes it; what is left goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tamis/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _SAVED.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tamis_path = path
-    return out
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def drop(*frames: DataFrame) -> None:
-    """Remove tables written by ``save`` that no later plan reads."""
-    for df in frames:
-        path = df._tamis_path
-        _remove(df.sparkSession, path)
-        _SAVED.remove((df.sparkSession, path))
-
-
-@atexit.register
-def _at_end() -> None:
-    for spark, path in _SAVED:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _remove(spark, path)
-        except Exception:  # the JVM may have gone first; the folder is the cluster's to clear then
-            return
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Smallest node reachable, by alternating large-star and small-star rounds.
-
-    ``edges``: two long columns, a link each, in any order. Returns (node, root) for every
-    node whose root is another node. Each round is two joins on a pre-aggregated minimum, so
-    a hub is never gathered in one place; the rounds needed grow with the logarithm of the
-    longest path. Self-links and repeated links are ignored; nulls must not occur.
-    """
-    a, b = edges.columns
-    pair = lambda df, x, y: df.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u <> v").distinct()
-    cur = save(pair(edges, F.col(a), F.col(b)))
-    mark = _mark(cur)
-    while mark[0]:
-        both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = pair(both.join(low, "u").where("v > u"), F.col("v"), F.col("m"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = pair(large.join(least, "u").select("v", "m").unionAll(least.select("u", "m")), F.col("v"), F.col("m"))
-        was, cur = cur, save(small)
-        drop(was)
-        now = _mark(cur)
-        if now == mark:
-            break
-        mark = now
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+from tamis.operators.components import connected_components
+from tamis.tables import drop, save
 
+__all__ = ["connected_components", "drop", "in_blocks", "local_roots", "save", "sorted_runs"]
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The links a[i]-b[i] as (node, root) with one row for each node that is no root: a forest in place of all pairs."""
