@@ -23,9 +23,10 @@ def windows(docs: DataFrame, id_col: str, text_col: str, width: int = 3) -> Data
     """(id, text_hash, nth, window): a row for each window of ``width`` consecutive lines that aren't blank.
 
     ``nth`` is the first line's number among those lines; ``window`` a 128-bit hash of the lines,
-    trimmed at both ends. A row of ``docs`` is named by its id and its text's hash.
+    trimmed at both ends. A row of ``docs`` is named by its id and its text's hash; rows alike in
+    both give equal rows here, which are one occurrence.
     """
-    here = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.filter(F.transform(_lines(F.col(text_col)), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "").alias("solid")).where(F.size("solid") >= width).distinct()
+    here = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.filter(F.transform(_lines(F.col(text_col)), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "").alias("solid")).where(F.size("solid") >= width)
     marks = here.select("id", "text_hash", F.transform("solid", lambda x: F.md5(x)).alias("marks"))
     joined = F.transform(F.sequence(F.lit(0), F.size("marks") - width), lambda i: F.unhex(F.md5(F.concat(*(F.get(F.col("marks"), i + k) for k in range(width))))))
     return marks.select("id", "text_hash", F.posexplode(joined).alias("nth", "window"))
@@ -61,7 +62,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = repeated_lines(docs, id_col, text_col, width).select(F.col("id").alias("tamis_id"), F.col("text_hash").alias("tamis_hash"), F.col("removed").alias("tamis_removed"))
     text = F.col(text_col)
     here = docs.withColumn("tamis_own", F.xxhash64(F.coalesce(text, F.lit(""))))
-    joined = here.join(save(gone), (F.col("tamis_own") == F.col("tamis_hash")) & F.col(id_col).eqNullSafe(F.col("tamis_id")), "left")
+    joined = here.join(save(gone).hint("merge"), (F.col("tamis_own") == F.col("tamis_hash")) & F.col(id_col).eqNullSafe(F.col("tamis_id")), "left")
     lines, solid = F.col("tamis_lines"), F.col("tamis_solid")
     joined = joined.withColumn("tamis_lines", _lines(text)).withColumn("tamis_solid", _solid(lines))
     out = F.transform(F.col("tamis_removed"), lambda k: F.get(solid, k.cast("int")))
