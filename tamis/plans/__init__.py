@@ -1,5 +1,6 @@
 """Registered queries over the driver's tables, each with its SQL where SQL can say it."""
 
+from tamis.plans import judges
 from tamis.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "judges"]
