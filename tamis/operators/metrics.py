@@ -232,3 +232,30 @@ def gate_table(m: DataFrame, keys: list[str]) -> DataFrame:
     k, f, u, a = F.col("kappa_covered") >= 0.70, F.col("macro_f1") >= 0.75, F.col("under_covered") <= 0.05, (1 - F.col("coverage")) <= 0.30
     yes = lambda c: F.coalesce(c, F.lit(False))
     return m.select(*keys, yes(k).alias("gate_kappa"), yes(f).alias("gate_f1"), yes(u).alias("gate_under"), yes(a).alias("gate_abstention"), yes(f & u & a).alias("gate_release"), yes(k & f & u & a).alias("gate_all"))
+
+
+def yardsticks(runs: DataFrame, truths: DataFrame, least: int = 20) -> DataFrame:
+    """(yardstick, version, n_runs, mean, low, high) of quadratic kappa: every run against every label set, by one equi-join.
+
+    ``runs``: (version, seed, event_id, pred); ``truths``: (yardstick, event_id, label). Cells of
+    under ``least`` matched events a run are left out.
+    """
+    from tamis.operators.agreement import coefficients
+
+    j = runs.join(truths, "event_id").select("yardstick", "version", "seed", F.col("label").alias("t"), F.col("pred").alias("p"))
+    k = coefficients(j, ["yardstick", "version", "seed"]).where(F.col("n") >= least)
+    return k.groupBy("yardstick", "version").agg(F.count("*").alias("n_runs"), F.avg("quadratic").alias("mean"), F.min("quadratic").alias("low"), F.max("quadratic").alias("high"))
+
+
+def fisher(table: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
+    """Adds ``p_value``: Fisher's exact two-sided test of the 2x2 table in each row, from log factorials of its margins."""
+    n = F.col(a) + F.col(b) + F.col(c) + F.col(d)
+    r1, c1 = F.col(a) + F.col(b), F.col(a) + F.col(c)
+    ln = lambda x, lo: F.aggregate(F.when(x > lo, F.sequence(lo + 1, x)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, k: s + F.ln(k.cast("double")))
+    zero = F.lit(0).cast("bigint")
+    base = ln(r1, zero) + ln(n - r1, zero) + ln(c1, zero) + ln(n - c1, zero) - ln(n, zero)
+    logp = lambda x: base - ln(x, zero) - ln(r1 - x, zero) - ln(c1 - x, zero) - ln(n - r1 - c1 + x, zero)
+    here = logp(F.col(a))
+    xs = F.sequence(F.greatest(zero, r1 + c1 - n), F.least(r1, c1))
+    total = F.aggregate(F.transform(xs, logp), F.lit(0.0), lambda s, v: s + F.when(v <= here + 1e-9, F.exp(v)).otherwise(0.0))
+    return table.withColumn("p_value", F.least(F.lit(1.0), total))
