@@ -12,7 +12,20 @@ from pyspark.sql import functions as F
 from tamis.operators.components import connected_components
 from tamis.tables import drop, save
 
-__all__ = ["connected_components", "drop", "in_blocks", "local_roots", "save", "sorted_runs"]
+__all__ = ["connected_components", "drop", "fresh", "in_blocks", "local_roots", "save", "sorted_runs"]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The links a[i]-b[i] as (node, root) with one row for each node that is no root: a forest in place of all pairs."""

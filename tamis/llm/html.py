@@ -146,7 +146,7 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
     return " ".join(t for parts in blocks.values() if (t := _squeezed("".join(parts))))
 
 
-def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 5, least_tokens: int = 2) -> DataFrame:
+def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 20, least_tokens: int = 2) -> DataFrame:
     """(host, texts): the text tokens of each host's template, from classes that cover all its distinct pages.
 
     Hosts of fewer than ``least_pages`` distinct pages have none. Equal pages of a host count once.
@@ -171,7 +171,7 @@ def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "ht
     return save(covering.where("is_text").join(valid, ["host", "vector"]).groupBy("host").agg(F.collect_set("token").alias("texts")))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 20) -> DataFrame:
     """(id, url, text, n_chars) for every row of ``pages``.
 
     Null html counts as empty and gives an empty text; pages of a null or hostless address belong

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm._shared import save
+from tamis.llm._shared import fresh, save
 
 BLANK = " \t\r"
 
@@ -59,17 +59,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``removed_col`` add the numbers of lines that aren't blank and of those removed. An empty
     table gives no rows.
     """
-    gone = repeated_lines(docs, id_col, text_col, width).select(F.col("id").alias("tamis_id"), F.col("text_hash").alias("tamis_hash"), F.col("removed").alias("tamis_removed"))
+    own, of_id, of_hash, removed, lines_at, solid_at = fresh(docs, "own", "of_id", "of_hash", "removed", "lines", "solid")
+    gone = repeated_lines(docs, id_col, text_col, width).select(F.col("id").alias(of_id), F.col("text_hash").alias(of_hash), F.col("removed").alias(removed))
     text = F.col(text_col)
-    here = docs.withColumn("tamis_own", F.xxhash64(F.coalesce(text, F.lit(""))))
-    joined = here.join(save(gone).hint("merge"), (F.col("tamis_own") == F.col("tamis_hash")) & F.col(id_col).eqNullSafe(F.col("tamis_id")), "left")
-    lines, solid = F.col("tamis_lines"), F.col("tamis_solid")
-    joined = joined.withColumn("tamis_lines", _lines(text)).withColumn("tamis_solid", _solid(lines))
-    out = F.transform(F.col("tamis_removed"), lambda k: F.get(solid, k.cast("int")))
+    here = docs.withColumn(own, F.xxhash64(F.coalesce(text, F.lit(""))))
+    joined = here.join(save(gone).hint("merge"), (F.col(own) == F.col(of_hash)) & F.col(id_col).eqNullSafe(F.col(of_id)), "left")
+    lines, solid = F.col(lines_at), F.col(solid_at)
+    joined = joined.withColumn(lines_at, _lines(text)).withColumn(solid_at, _solid(lines))
+    out = F.transform(F.col(removed), lambda k: F.get(solid, k.cast("int")))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
-    text = F.when(F.col("tamis_removed").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col(removed).isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     more = [F.size(solid).cast("long").alias(lines_col)] if lines_col else []
-    more += [F.coalesce(F.size("tamis_removed"), F.lit(0)).cast("long").alias(removed_col)] if removed_col else []
+    more += [F.coalesce(F.size(removed), F.lit(0)).cast("long").alias(removed_col)] if removed_col else []
     return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *more)
 
 

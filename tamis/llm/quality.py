@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamis.llm._shared import fresh
+
 FEATURES = ("log_bytes", "log_words", "word_length", "upper_letters", "upper_words", "exclamations", "bars", "marks", "digits", "punctuation", "wide", "distinct_words", "top_word", "next_same", "same_lines", "line_length", "symbol_tail", "commas", "stops", "controls")
 _UPPER = np.arange(65, 91)
 _ALPHA = np.concatenate([_UPPER, np.arange(97, 123)])
@@ -204,4 +206,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.7, sample: int = 20_000) -> DataFrame:
     """The rows of ``docs``, with their columns, whose score is ``least`` or more."""
     model = train(docs, labels, id_col, text_col, label_col, sample)
-    return with_score(docs, model, text_col, "tamis_score", keep_text=True).where(F.col("tamis_score") >= least).drop("tamis_score")
+    (score,) = fresh(docs, "score")
+    return with_score(docs, model, text_col, score, keep_text=True).where(F.col(score) >= least).drop(score)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm._shared import connected_components, drop, in_blocks, local_roots, save, sorted_runs
+from tamis.llm._shared import connected_components, drop, fresh, in_blocks, local_roots, save, sorted_runs
 
 SEED = 42
 STEP = 1 << 16  # shingles hashed at a time, which bounds memory for long texts
@@ -183,46 +183,37 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same smallest id (or, where all are null, of those) one stays. Columns of any name pass
     through. An empty table gives no rows.
     """
-    here = docs.withColumn("tamis_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    texts = save(
-        with_fingerprint(
-            here.groupBy("tamis_key").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))).alias("one")).select("tamis_key", F.col("one.none").alias("none"), F.col("one.id").alias("id"), F.col("one.text").alias("text")),
-            "text",
-            "fp",
-            3,
-        )
-    )
+    key_at, of_id, of_key = fresh(docs, "key", "of_id", "of_key")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    here = docs.withColumn(key_at, F.xxhash64(text))
+    one = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text"))).alias("one")
+    firsts = here.groupBy(F.col(key_at).alias("key")).agg(one).select("key", "one.*")
+    texts = save(with_fingerprint(firsts, "text", "fp", 3))
     near = connected_components(fingerprint_links(texts.select("fp").distinct(), max_bits, groups=4, segment_bits=1))
-    placed = texts.join(near, texts["fp"] == near["node"], "left").select(F.col("tamis_key").alias("key"), F.coalesce("root", "fp").alias("place"), "fp")
+    placed = texts.join(near, texts["fp"] == near["node"], "left").select("key", F.coalesce("root", "fp").alias("place"), "fp")
     sizes = placed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
     wanted = save(placed.join(sizes, "place").select("key", "place", "fp"))
-    shingled = _with_shingles(here.select("tamis_key", F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, F.col("tamis_key") == F.col("key"), "left_semi").dropDuplicates(["tamis_key"]), words)
-    sets = save(wanted.join(shingled, wanted["key"] == shingled["tamis_key"]).select("key", "place", "fp", "shingles"))
+    bodies = here.select(F.col(key_at).alias("of"), text.alias("text")).join(wanted, F.col("of") == F.col("key"), "left_semi").dropDuplicates(["of"])
+    sets = save(wanted.join(_with_shingles(bodies, words), F.col("key") == F.col("of")).select("key", "place", "fp", "shingles"))
     links = in_blocks(sets, ["place"], "key", chunk).mapInArrow(_verified(similarity, max_bits), "a long, b long")
     roots = connected_components(links)
-    grouped = texts.join(roots, texts["tamis_key"] == roots["node"], "left").select("none", "id", F.col("tamis_key").alias("key"), F.coalesce("root", "tamis_key").alias("root"))
-    kept = grouped.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("one")).select(F.col("one.id").alias("tamis_id"), F.col("one.key").alias("tamis_kept"))
-    kept = save(kept)
-    stay = here.join(kept, (F.col("tamis_key") == F.col("tamis_kept")) & F.col(id_col).eqNullSafe(F.col("tamis_id")), "left_semi")
-    out = _one_of_each(stay, docs.columns, id_col)
+    grouped = texts.join(roots, texts["key"] == roots["node"], "left").select("none", "id", "key", F.coalesce("root", "key").alias("root"))
+    kept = grouped.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("one"))
+    kept = save(kept.select(F.col("one.id").alias(of_id), F.col("one.key").alias(of_key)))
+    stay = here.join(kept, (F.col(key_at) == F.col(of_key)) & F.col(id_col).eqNullSafe(F.col(of_id)), "left_semi")
     drop(sets)
-    return out
-
-
-def _one_of_each(rows: DataFrame, columns: list[str], id_col: str) -> DataFrame:
-    """One row of those alike in id and text key (which hold no others here)."""
-    return rows.dropDuplicates([id_col, "tamis_key"]).select(*columns)
+    return stay.dropDuplicates([id_col, key_at]).select(*docs.columns)
 
 
 def _with_shingles(texts: DataFrame, words: int) -> DataFrame:
-    """(tamis_key, shingles): the sorted distinct hashes of a text's shingles, as bytes."""
+    """(of, shingles): the sorted distinct hashes of the shingles of (of, text), as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py(), words)])).tobytes() for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("tamis_key"), pa.array(made, pa.binary())], names=["tamis_key", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("of"), pa.array(made, pa.binary())], names=["of", "shingles"])
 
-    return texts.mapInArrow(run, "tamis_key long, shingles binary")
+    return texts.mapInArrow(run, "of long, shingles binary")
 
 
 def _verified(similarity: float, max_bits: int):
