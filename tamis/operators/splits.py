@@ -43,15 +43,15 @@ def majority_label(rows: DataFrame, group: str, label: str, order: str) -> DataF
 def stratified_split(groups: DataFrame, group: str, label: str, seed: str, test: float, val: float) -> DataFrame:
     """(group, label, split): within each label groups are dealt by a keyed hash's order.
 
-    Of n groups round(test n) go to test and round(val n) to val (half to even), one at least of
-    each where n allows it and one is left to train.
+    Of n groups round(test n) go to test and round(val n) to val (half to even): one at least to
+    val from two groups on and to test from three on, and one always stays in train.
     """
     key = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")), 256)
     w = Window.partitionBy(label).orderBy(key, group)
     n = F.count("*").over(Window.partitionBy(label))
-    least = lambda share: F.greatest(F.bround(n * share).cast("int"), F.when(n >= 3, 1).otherwise(0))
-    n_test = F.least(least(test), F.greatest(n - 2, F.lit(0)))
-    n_val = F.least(least(val), F.greatest(n - n_test - 1, F.lit(0)))
+    least = lambda share, of: F.greatest(F.bround(n * share).cast("int"), F.when(n >= of, 1).otherwise(0))
+    n_test = F.least(least(test, 3), F.greatest(n - 2, F.lit(0)))
+    n_val = F.least(least(val, 2), F.greatest(n - n_test - 1, F.lit(0)))
     nth = F.row_number().over(w)
     return groups.select(group, label, F.when(nth <= n_test, "test").when(nth <= n_test + n_val, "val").otherwise("train").alias("split"))
 

@@ -125,7 +125,7 @@ def majority_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(MAJ + """, k AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('7|' || o_custkey), o_custkey) AS nth, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM maj),
-t AS (SELECT *, least(greatest(round_even(n * 0.15, 0)::INT, (n >= 3)::INT), greatest(n - 2, 0)) AS nt FROM k), v AS (SELECT *, least(greatest(round_even(n * 0.15, 0)::INT, (n >= 3)::INT), greatest(n - nt - 1, 0)) AS nv FROM t)
+t AS (SELECT *, least(greatest(round_even(n * 0.15, 0)::INT, (n >= 3)::INT), greatest(n - 2, 0)) AS nt FROM k), v AS (SELECT *, least(greatest(round_even(n * 0.15, 0)::INT, (n >= 2)::INT), greatest(n - nt - 1, 0)) AS nv FROM t)
 SELECT o_custkey, o_orderpriority, CASE WHEN nth <= nt THEN 'test' WHEN nth <= nt + nv THEN 'val' ELSE 'train' END AS split FROM v""")
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     groups = splits.majority_label(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
