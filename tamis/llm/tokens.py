@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks of these characters are their own NFC form and lower-case the same way everywhere.
 PLAIN = regex.compile(r"[\x21-\x7e¡-ɏ]+")
-CACHE = 200_000  # pre-tokens a worker remembers
+CACHE = 200_000  # chunks, and pre-tokens, that a worker remembers
 SLICE = 1 << 22  # bytes of text taken at a time
 
 
@@ -29,36 +29,53 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.byte_names = _byte_names()
 
-    def chunks(self, words: list[str]) -> list[list[int]]:
-        """The ids of each of the chunks (which hold no ASCII white space)."""
-        out: list[list[int]] = [None] * len(words)
-        rare, plain, known = [], PLAIN.fullmatch, self.known
-        for i, w in enumerate(words):
-            if not plain(w) or "<|" in w:
+    def chunks(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the chunks (which hold no ASCII white space), four bytes each."""
+        get = self.known.get
+        out = [get(w) for w in words]
+        new = [i for i, x in enumerate(out) if x is None]
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+        room = CACHE - len(self.known)
+        rare = []
+        for i in new:
+            ids = self._chunk(words[i])
+            if ids is None:
                 rare.append(i)
-                continue
-            w = w.lower()
-            ids = known.get(w)
-            out[i] = self._pieces(w) if ids is None else ids
+            else:
+                out[i] = ids
         if rare:
             for i, e in zip(rare, self.full.encode_batch([words[i] for i in rare], add_special_tokens=False), strict=True):
-                out[i] = e.ids
+                out[i] = np.array(e.ids, dtype="<u4").tobytes()
+        self.known.update((words[i], out[i]) for i in new[:room])
         return out
 
-    def _pieces(self, word: str) -> list[int]:
-        ids: list[int] = []
-        for piece in PIECES.findall(word):
-            found = self.known.get(piece)
-            if found is None:
-                found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.byte_names))]
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[piece] = found
-            ids += found
-        return ids
+    def _chunk(self, word: str) -> bytes | None:
+        """The ids, or None for a chunk that only the library's whole pipeline is trusted with."""
+        if not word.isascii() and not PLAIN.fullmatch(word):
+            return None
+        low = word.lower()
+        if low.isalpha():
+            return self._part(low)
+        if low[-1] in ".," and low[:-1].isalpha():
+            return self._part(low[:-1]) + self._part(low[-1])
+        if "<|" in low or not PLAIN.fullmatch(word):
+            return None
+        return b"".join(map(self._part, PIECES.findall(low)))
+
+    def _part(self, piece: str) -> bytes:
+        found = self.parts.get(piece)
+        if found is None:
+            name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_names)
+            found = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(name))
+            if len(self.parts) >= CACHE:
+                self.parts.clear()
+            self.parts[piece] = found
+        return found
 
 
 def _byte_names() -> dict[int, str]:
@@ -98,9 +115,9 @@ def encode(texts: pa.Array, tokenizer: WordTokenizer, end_id: int | None) -> tup
     ends = split.offsets.to_numpy()
     words = split.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
     ends = (ends - ends[0]).astype(np.int64)
-    found = tokenizer.chunks([w for w in words.dictionary.to_pylist()])
-    size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    flat = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(size.sum()))
+    found = tokenizer.chunks(words.dictionary.to_pylist())
+    size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+    flat = np.frombuffer(b"".join(found), dtype="<u4")
     if end_id is not None:
         flat, size = np.append(flat, np.uint32(end_id)), np.append(size, 1)
     at = words.indices.to_numpy().astype(np.int64)
