@@ -59,6 +59,8 @@ class WordTokenizer:
         if not word.isascii() and not PLAIN.fullmatch(word):
             return None
         low = word.lower()
+        if not low:  # between white space at an end
+            return b""
         if low.isalpha():
             return self._part(low)
         if low[-1] in ".," and low[:-1].isalpha():
