@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tamis.llm._shared import connected_components, in_blocks, local_roots, save, sorted_runs
 
 SEED = 20_240_607
-PAIRS = 1 << 18
+PAIRS = 1 << 18  # links held before they are reduced to a forest
 
 
 def planes(dim: int, tables: int, bits: int) -> np.ndarray:
@@ -86,7 +86,7 @@ def _compared(least: float):
             col = {c: rows.column(c).to_numpy() for c in ("node", "place", "turn", "copies", "block_i", "block_j", "block_own")}
             marks = np.array(rows.column("marks").to_pylist(), dtype=np.uint16)
             weight = np.zeros(len(raw), dtype=np.int64)
-            links: list[np.ndarray] = []
+            links, held = [], 0
             rest = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(raw)) - 1
             live, step = np.flatnonzero(rest), 0
             while len(live):
@@ -104,9 +104,11 @@ def _compared(least: float):
                         np.add.at(weight, a, col["copies"][b])
                         np.add.at(weight, b, col["copies"][a])
                         links.append(np.stack([col["node"][a], col["node"][b]]))
+                        held += len(a)
+                        if held >= PAIRS:
+                            links, held = [np.stack(local_roots(*np.concatenate(links, axis=1)))], 0
             if links:
-                a, b = np.concatenate(links, axis=1)
-                node, root = local_roots(a, b)
+                node, root = local_roots(*np.concatenate(links, axis=1))
                 some = np.flatnonzero(weight)
                 nothing = pa.nulls(len(some), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(col["node"][some]), nothing, pa.array(weight[some])], names=["a", "b", "weight"])

@@ -124,7 +124,7 @@ def test_shards_read_back_in_slot_order(spark, library, tmp_path):
     ordered = shards.training_order(df, vocabulary(), "run", stride=16, per_shard=10)
     path = str(tmp_path / "shards")
     shards.write_shards(ordered, path, stride=16, per_shard=10)
-    table = {r.slot: (r.doc_id, r.piece, bytes(r.ids)) for r in ordered.collect()}
+    table = {r.slot: (r.id, r.piece, bytes(r.ids)) for r in ordered.collect()}
     assert sorted(table) == list(range(len(table)))
     read = list(shards.read_shards(spark, path, 0, 16, 10))
     assert [s for s, _ in read] == list(range(len(table)))
