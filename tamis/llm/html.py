@@ -44,9 +44,11 @@ SCOPE = frozenset("article aside body button caption div footer form header html
 #: Elements and names (of classes, ids and roles) of what isn't the article.
 ASIDE = frozenset("aside button canvas dialog footer form frameset head iframe input map menu nav noembed noframes noscript object script select style svg template textarea title xmp".split())
 NAMED = re.compile(
-    r"(?<![a-z0-9])(?:ad|ads|adbox|adslot|advert|adverts|advertisement|advertising|alert|alertdialog|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|complementary|consent|contentinfo|cookie|cookies|discussion|disqus|dialog|footer|footnav|form|gdpr|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pager|pagination|popup|promo|promoted|promotion|related|replies|respond|search|share|sharing|sidebar|sidenav|signup|social|sponsor|sponsored|sponsors|subscribe|subscription|toolbar|topbar|widget|widgets)(?![a-z0-9])"
+    r"(?<![a-z0-9])(?:ad|ads|adbox|adslot|adsbygoogle|advert|adverts|advertisement|advertising|alert|alertdialog|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|complementary|consent|contentinfo|cookie|cookies|discussion|disqus|dialog|disclaimer|footer|footnav|form|gdpr|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pager|pagination|popup|promo|promoted|promotion|related|replies|respond|search|share|sharing|sidebar|sidenav|signup|skip-link|social|sponsor|sponsored|sponsors|subscribe|subscription|subnav|toolbar|topbar|topnav|widget|widgets)(?![a-z0-9])"
 )
 HEADER = re.compile(r"(?<![a-z0-9])(?:header|page-head|site-head)(?![a-z0-9])")
+#: Names of wrappers, which an article within may outrank.
+WRAPS = re.compile(r"(?<![a-z0-9])(?:wrap|wrapper|container|layout|page|site|has|with|no)(?![a-z0-9])")
 MAIN = frozenset(["article", "main"])
 MAIN_ROLE = re.compile(r"(?<![a-z0-9])(?:main|article|articlebody|article-body|post-body|entry-content|post-content|article-content)(?![a-z0-9])")
 PAGE = "page"
@@ -63,7 +65,7 @@ def segments(page: str) -> tuple[list[Segment], Counter]:
     """(text segments outside elements that aren't the article, number of elements at each path)."""
     out: list[Segment] = []
     paths: Counter = Counter()
-    stack: list[tuple[str, int, bool, bool]] = []  # element, path, left out, main
+    stack: list[tuple[str, int, int, bool]] = []  # element, path, left out (1: but for an article within), main
     block, raw = 0, ""
     for m in PIECE.finditer(page):
         piece = m.group()
@@ -81,7 +83,7 @@ def segments(page: str) -> tuple[list[Segment], Counter]:
             if piece[:4] == "<!--" or piece[:2] in ("<!", "<?"):
                 continue
             if not stack or not stack[-1][2]:
-                top = stack[-1] if stack else ("", 0, False, False)
+                top = stack[-1] if stack else ("", 0, 0, False)
                 out.append(Segment(top[1], entities.unescape(piece), block, top[3]))
             continue
         name = tag.group(2).lower()
@@ -105,13 +107,17 @@ def segments(page: str) -> tuple[list[Segment], Counter]:
                     break
                 if stack[k][0] in SCOPE or stack[k][0] in ("ul", "ol", "dl", "table"):
                     break
-        above = stack[-1] if stack else ("", 0, False, False)
+        above = stack[-1] if stack else ("", 0, 0, False)
         named = " ".join(v.strip("\"'").lower() for _, v in NAMES.findall(piece)) if "=" in piece else ""
         path = _hash(f"{above[1]}/{name}.{named}")
         main = above[3] or name in MAIN or bool(named and MAIN_ROLE.search(named))
-        out_of_it = above[2] or name in ASIDE or name == "header" and not above[3] or bool(named and name not in ("html", "body") and (NAMED.search(named) or not main and HEADER.search(named))) or bool(HIDDEN.search(piece))
+        left_out = 2 if name in ASIDE or name == "header" and not above[3] or HIDDEN.search(piece) else 0
+        if not left_out and named and name not in ("html", "body") and (NAMED.search(named) or not main and HEADER.search(named)):
+            left_out = 1 if WRAPS.search(named) else 2
+        if above[2] == 2 or above[2] == 1 and name not in MAIN:
+            left_out = max(left_out, above[2])
         paths[path] += 1
-        stack.append((name, path, out_of_it, main))
+        stack.append((name, path, left_out, main))
         if name in RAW:
             raw = name
     return out, paths

@@ -142,7 +142,7 @@ def test_html(spark):
     want = {i: f"Head {i} para {i} end &" for i in range(8)}  # the rest stands alike on every page of the host
     pages += [(20, "http://two.net/1", PAGE.replace("{h}", "H").replace("{a}", "p"))]
     want[20] = "H p & bold x next Read this first."  # too few pages for a template
-    odd = {30: (None, ""), 31: ("", ""), 32: ("just text &lt;b&gt;", "just text <b>"), 33: ("<p>a<p>b</b></i>c < d", "a bc < d"), 34: ("<div class='content'><h2>T</h2>x<ul><li>1<li>2</ul></div><div id=sidebar>s</div>", "T x 1 2"), 35: ("<main>m</main><p>outside</p>", "m"), 36: ("<p>" + "long " * 30000 + "</p>", "long " * 29999 + "long"), 37: ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), 38: ("<p hidden>no</p><p>yes<!-- c", "yes"), 39: ("<textarea><p>x</p></textarea>z<script>if(a<b){", "z")}
+    odd = {30: (None, ""), 31: ("", ""), 32: ("just text &lt;b&gt;", "just text <b>"), 33: ("<p>a<p>b</b></i>c < d", "a bc < d"), 34: ("<div class='content'><h2>T</h2>x<ul><li>1<li>2</ul></div><div id=sidebar>s</div>", "T x 1 2"), 35: ("<main>m</main><p>outside</p>", "m"), 36: ("<p>" + "long " * 30000 + "</p>", "long " * 29999 + "long"), 37: ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), 38: ("<p hidden>no</p><p>yes<!-- c", "yes"), 40: ("<div class='content-sidebar-wrap'><article>a</article><div class='sidebar'><article>teaser</article></div></div>", "a"), 41: ("<div class='ad-container'><p>buy</p></div><div class='text'>t<div class='cookie-notice'>n</div></div>", "t"), 39: ("<textarea><p>x</p></textarea>z<script>if(a<b){", "z")}
     pages += [(i, None if i == 30 else f"http://odd{i}.net/", h) for i, (h, _) in odd.items()]
     pages += [pages[0], pages[0]]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("of_host", F.lit(1))
