@@ -165,7 +165,8 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict], conv_col: str =
         F.max(F.col("called").isNotNull().cast("long")).alias("result_links"),
         F.max((F.col("called").isNull() | (F.col("turn") != F.col("answered"))).cast("long")).alias("result_faults"),
     )
-    out = parsed.join(of_calls, ["conv", "turn"], "left").join(answered, ["conv", "turn"], "left")
+    # written first, so that few calls are broadcast by their known size and the messages stay where they are
+    out = parsed.join(save(of_calls), ["conv", "turn"], "left").join(save(answered), ["conv", "turn"], "left")
     is_call, is_result = F.size("calls") > 0, F.col("result_of").isNotNull()
     return out.select(
         F.col("conv").alias(names[0]),
