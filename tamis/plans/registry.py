@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tamis.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -18,10 +21,16 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         key = name or f.__name__
         if key in QUERIES:
             raise ValueError(f"two queries are named {key}")
-        QUERIES[key] = f
+
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql:
             ORACLES[key] = sql
-        return f
+        return run
 
     return add
 

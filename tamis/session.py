@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +27,23 @@ def get_session(app: str = "tamis", master: str | None = None, **conf: str) -> S
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once a context, unless they find it as the driver does.
+
+    They do where its folder is in PYTHONPATH or is the working folder; else Spark serves it to them.
+    """
+    package = Path(__file__).parent
+    root, sc = package.parent, spark.sparkContext
+    if getattr(sc, "_tamis_shipped", False):
+        return
+    sc._tamis_shipped = True
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if str(root) in {os.path.realpath(p) for p in known if p} | set(known):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tamis-"), "tamis.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    sc.addPyFile(path)
