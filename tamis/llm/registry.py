@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,7 @@ from tamis.llm.packing import pack
 from tamis.llm.quality import classify
 from tamis.llm.simhash import simhash_components
 from tamis.llm.vectors import near_vectors
+from tamis.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The rules (host, path, verdict) that op7 is asked to apply.
@@ -24,10 +26,15 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
-        return f
+        return run
 
     return add
 
