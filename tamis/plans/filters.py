@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions import labels as lb
+from tamis.functions.verdicts import image_sane, metadata_date, verdict
 from tamis.operators import audits, rules
 from tamis.plans.judges import rounded
 from tamis.plans.registry import query, table
@@ -179,3 +180,29 @@ def printed_tolerance(spark: SparkSession, sf: str) -> DataFrame:
 def denominator_audit(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "labels")
     return rounded(audits.shares_by_denominator(F.col("toxic") == 1, {"all": F.lit(True), "good": F.col("quality") == 1, "even": F.col("doc_id") % 2 == 0}, t))
+
+
+@query("""WITH t AS (SELECT doc_id, doc_id % 8 AS k FROM documents) SELECT doc_id, CASE WHEN k IN (5, 6, 7) THEN 'error' ELSE 'ok' END AS status, k IN (0, 4) AS accepted,
+CASE k WHEN 0 THEN '' WHEN 1 THEN 'match|face' WHEN 2 THEN 'level' WHEN 3 THEN 'quality|text' WHEN 4 THEN '' ELSE 'unreadable' END AS failures FROM t""")
+def judge_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    answer = lambda m, q, lev, face, text: f'so: {{"descriptor_match_score": {m}, "visual_quality_score": {q}, "cue_consistency_score": null, "observed_level": {lev}, "contains_face": {face}, "contains_text": {text}}} end'
+    texts = (
+        answer(0.9, 1, 4, "false", "false"),
+        answer(0.2, 0.8, 4, "true", "false"),
+        answer(0.9, 0.8, 5, "false", "false"),
+        answer(0.9, 0.1, 4, "false", "true"),
+        answer(1, 0.7, "null", "false", "false"),
+        answer("true", 0.7, 4, "false", "false"),
+        answer(0.9, 1.5, 4, "false", "false"),
+        "no answer",
+    )
+    d = table(spark, sf, "documents").select("doc_id", verdict(_pick(texts, F.col("doc_id")), F.lit(4.0)).alias("x"))
+    return d.select("doc_id", "x.*")
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-01-02T03:04:05Z' WHEN 1 THEN '2024-01-02T03:04:05+02:00' ELSE '-' END AS captured, CASE WHEN length(html) < 1500 THEN 'bytes' WHEN page_id % 100 < 64 THEN 'side' WHEN page_id % 5 < 2 THEN 'even' ELSE '-' END AS against FROM pages""")
+def metadata_checks(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("page_id")
+    raw = _pick(("<b>2024-01-02T03:04:05Z</b>", " 2024-01-02T03:04:05+02:00", "2024-01-02 03:04", "<i>unknown</i>"), i)
+    sane = image_sane(F.length("html"), i % 100, F.lit(999), (i % 5).cast("double"), 1500, 64, 2.0)
+    return table(spark, sf, "pages").select("page_id", F.coalesce(metadata_date(raw), F.lit("-")).alias("captured"), F.coalesce(sane, F.lit("-")).alias("against"))

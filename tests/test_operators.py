@@ -279,3 +279,11 @@ def test_draws_keep_strata_and_do_not_depend_on_partitions(spark):
     a = sorted(map(tuple, resample.stratified_draws(d, "s", "id", 3).select("replicate", "id").collect()))
     b = sorted(map(tuple, resample.stratified_draws(d.repartition(7), "s", "id", 3).select("replicate", "id").collect()))
     assert a == b and len(a) == 180
+
+
+def test_weighted_order_draws_by_weight(spark):
+    d = spark.range(4000).withColumn("weight", F.when(F.col("id") % 2 == 0, 3.0).otherwise(1.0))
+    drawn = splits.weighted_order(d, "weight", "s", "id").orderBy("draw_key").limit(400).collect()
+    assert 0.68 < np.mean([r.id % 2 == 0 for r in drawn]) < 0.82
+    w = splits.sampling_weights(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, label string"), "label")
+    assert {(r.id, r.weight) for r in w.collect()} == {(1, 0.5), (2, 0.5), (3, 1.0)}
