@@ -32,6 +32,8 @@ from tamis.llm._shared import connected_components, drop, fresh, in_blocks, loca
 SEED = 42
 STEP = 1 << 16  # shingles hashed at a time, which bounds memory for long texts
 PAIRS = 1 << 20  # links held before they are reduced to a forest
+SAMPLE = 16  # one text of so many is looked at for common shingles
+COMMON = 1 << 17  # common shingles known by name at most; the rest are ordered by hash
 
 
 def shingle_hashes(text: bytes | None, n: int) -> Iterator[np.ndarray]:
@@ -176,12 +178,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two texts are near copies if their sets of ``words``-word shingles (case of A-Z and white
     space aside; texts of fewer words are one shingle) have a Jaccard similarity of
-    ``similarity`` or more and their SimHash fingerprints differ in ``max_bits`` bits or fewer;
-    groups are the components of these links. Texts equal in that form are always one group.
-    11 bits hold nearly all pairs of that similarity (README has the recall); the grid finds every
-    such pair. Null texts count as empty, and all empty texts are one group; of rows with the
-    same smallest id (or, where all are null, of those) one stays. Columns of any name pass
-    through. An empty table gives no rows.
+    ``similarity`` or more; groups are the components of these links. The grid links those whose
+    SimHash fingerprints differ in ``max_bits`` bits or fewer; a join on the shingles' prefixes
+    then finds every pair that is over those bits and not yet in one group (``_prefix_links``).
+    Null texts count as empty, and all empty texts are one group; of rows with the same smallest
+    id (or, where all are null, of those) one stays. Columns of any name pass through. An empty
+    table gives no rows.
     """
     key_at, of_id, of_key = fresh(docs, "key", "of_id", "of_key")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -195,8 +197,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = save(placed.join(sizes, "place").select("key", "place", "fp"))
     bodies = here.select(F.col(key_at).alias("of"), text.alias("text")).join(wanted, F.col("of") == F.col("key"), "left_semi").dropDuplicates(["of"])
     sets = save(wanted.join(_with_shingles(bodies, words), F.col("key") == F.col("of")).select("key", "place", "fp", "shingles"))
-    links = in_blocks(sets, ["place"], "key", chunk).mapInArrow(_verified(similarity, max_bits), "a long, b long")
-    roots = connected_components(links)
+    links = save(in_blocks(sets, ["place"], "key", chunk).mapInArrow(_verified(similarity, max_bits), "a long, b long"))
+    every = here.select(F.col(key_at).alias("of"), text.alias("text"))
+    roots = connected_components(links.union(_prefix_links(every, connected_components(links), similarity, words, chunk)))
     grouped = texts.join(roots, texts["key"] == roots["node"], "left").select("none", "id", "key", F.coalesce("root", "key").alias("root"))
     kept = grouped.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("one"))
     kept = save(kept.select(F.col("one.id").alias(of_id), F.col("one.key").alias(of_key)))
@@ -250,3 +253,102 @@ def _block_links(keys: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], simi
                 label[label == label[j]] = label[i]
                 out.append((int(keys[i]), int(keys[j])))
     return out
+
+
+def _common(texts: DataFrame, words: int) -> np.ndarray:
+    """Shingles of several texts of a sample, the commonest last. They set the order of prefixes, hence the cost; never the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text").cast(pa.binary()):
+                for h in shingle_hashes(t.as_py(), words):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], names=["shingle"])
+
+    some = texts.where(F.pmod(F.xxhash64("of"), F.lit(SAMPLE)) == 0).mapInArrow(run, "shingle long")
+    known = some.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).select("shingle").toArrow()
+    return known.column(0).to_numpy()[::-1].view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, similarity: float, names: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The rarest of a set's distinct hashes, so many that two sets of that similarity share one of them.
+
+    ``names`` are the common hashes, sorted, and ``ranks`` their places among them by count.
+    """
+    rank = np.zeros(len(shingles), dtype=np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, shingles), len(names) - 1)
+        rank = np.where(names[at] == shingles, ranks[at] + 1, 0)
+    return shingles[np.lexsort((shingles, rank))][: _prefix_size(len(shingles), similarity)]
+
+
+def _prefix_size(size, similarity: float):
+    return size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+
+
+def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words: int, chunk: int) -> DataFrame:
+    """Links (a, b) of all pairs of ``texts`` (of, text; copies repeat) with that Jaccard similarity under different ``roots``.
+
+    Sets x and y of that similarity have sizes within it and share alpha = similarity / (1 +
+    similarity) * (|x| + |y|) shingles at least, of which all but |x| - |prefix of x| (or the
+    same of y, whichever prefix ends first) lie in both prefixes. Pairs that share that many
+    there are compared whole.
+    """
+    common = _common(texts, words)
+    order = np.argsort(common)
+    known = texts.sparkSession.sparkContext.broadcast((common[order], order))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ranks = known.value
+        for batch in batches:
+            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py(), words)])) for t in batch.column("text").cast(pa.binary())]
+            made = [prefix(s, similarity, names, ranks).tobytes() if len(s) else b"" for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("of"), pa.array([len(s) for s in sets], pa.int64()), pa.array(made, pa.binary())], names=["of", "size", "head"])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, batch.num_rows, 256):
+                b = batch.slice(part, 256)
+                found = [np.frombuffer(h.as_py(), np.int64) for h in b.column("head")]
+                at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *(b.column(c).take(at) for c in ("of", "root", "size"))], names=["shingle", "key", "root", "size"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in sorted_runs(batches, ["shingle", "block_i", "block_j"]):
+            key, root, size, own, i, j = (rows.column(c).to_numpy() for c in ("key", "root", "size", "block_own", "block_i", "block_j"))
+            rest = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(key)) - 1  # rows of its run that come later
+            live, step = np.flatnonzero(rest), 0
+            while len(live):
+                step += 1
+                live = live[rest[live] >= step]
+                x, y = live, live + step
+                small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                # two of one chunk meet in all its blocks, and count in its own alone
+                near = (root[x] != root[y]) & (small >= similarity * large - 1e-9) & ((own[x] != own[y]) | (i[x] == j[x]))
+                if near.any():
+                    x, y, small, large = x[near], y[near], small[near], large[near]
+                    alpha = np.ceil(similarity / (1 + similarity) * (small + large) - 1e-9).astype(np.int64)
+                    need = alpha - np.maximum(small - _prefix_size(small, similarity), large - _prefix_size(large, similarity))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[x], key[y])), pa.array(np.maximum(key[x], key[y])), pa.array(need)], names=["a", "b", "need"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [[np.frombuffer(s.as_py(), np.uint64) for s in batch.column(c)] for c in ("left", "right")]
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], dtype=np.int64)
+            of = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(both >= similarity * (of - both)))
+
+    made = save(texts.mapInArrow(heads, "of long, size long, head binary").dropDuplicates(["of"]))
+    rooted = made.join(roots, made["of"] == roots["node"], "left").select("of", F.coalesce("root", "of").alias("root"), "size", "head")
+    rows = rooted.mapInArrow(entries, "shingle long, key long, root long, size long")
+    shared = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
+    rows = save(rows.join(save(shared), "shingle", "left_semi"))
+    met = in_blocks(rows, ["shingle"], "key", chunk).mapInArrow(meet, "a long, b long, need long")
+    pairs = save(met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("a", "b"))
+    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+    bodies = texts.join(ends, F.col("of") == F.col("end"), "left_semi").dropDuplicates(["of"])
+    sets = save(_with_shingles(bodies, words))
+    left, right = (sets.select(F.col("of").alias(f"of_{c}"), F.col("shingles").alias(c)) for c in ("left", "right"))
+    found = pairs.join(left, F.col("a") == F.col("of_left")).join(right, F.col("b") == F.col("of_right"))
+    links = save(found.select("a", "b", "left", "right").mapInArrow(whole, "a long, b long"))
+    drop(made, rows, sets)
+    return links

@@ -199,3 +199,21 @@ def test_recall_of_the_tables_near_the_threshold():
     side /= np.linalg.norm(side, axis=1)[:, None]
     b = 0.98 * a + np.sqrt(1 - 0.98**2) * side
     assert (vectors.signatures(a, 32, 16) == vectors.signatures(b, 32, 16)).any(axis=1).mean() >= 0.999
+
+
+def test_near_dedup_finds_copies_of_any_distance_in_bits(spark):
+    """Texts with an appended part of a fifth or less, over 11 bits apart: only their Jaccard similarity counts."""
+    r = random.Random(4)
+    rows, far = [], 0
+    for k in range(150):
+        t = [f"q{r.randrange(9000)}" for _ in range(60 + k)]
+        u = t + [f"y{r.randrange(9000)}" for _ in range((len(t) - 4) // 4 + r.choice([0, 0, 1]))]
+        far += jaccard(" ".join(t), " ".join(u)) >= 0.8 and (plain_fingerprint(" ".join(t)) ^ plain_fingerprint(" ".join(u))).bit_count() > 11
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join(u))]
+    assert far > 5
+    rows += [(900 + k, "a footer that all of these texts have in common word for word " * 2 + f"{k} {k + 1} {k + 2}") for k in range(40)]
+    rows += [(990, None), (991, " "), (992, "two words"), (993, "Two  words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    root = components([i for i, _ in rows], lambda a, b: jaccard(dict(rows)[a], dict(rows)[b]) >= 0.8)
+    for chunk in (512, 7):
+        assert sorted(x.doc_id for x in simhash.near_dedup(df, chunk=chunk).collect()) == sorted(set(root.values()))
