@@ -16,6 +16,7 @@ from tamis.llm.quality import classify
 from tamis.llm.simhash import simhash_components
 from tamis.llm.vectors import near_vectors
 from tamis.session import ship
+from tamis.tables import place
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The rules (host, path, verdict) that op7 is asked to apply.
@@ -107,4 +108,6 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = shards.training_order(table(spark, sf_dir, "documents"), vocabulary())
-    return shards.digest(ordered, stride=2048, per_shard=4096)
+    path = place(spark)
+    shards.write_shards(ordered, path, stride=2048, per_shard=4096)
+    return shards.digest_shards(spark, path, stride=2048)

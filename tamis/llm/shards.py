@@ -98,7 +98,7 @@ def in_training_order(made: DataFrame, key: str, per_shard: int) -> DataFrame:
 
     rows = numbered.join(files.drop("rows"), "file").select(*made.columns, (F.col("base") + F.col("nth")).alias("slot"))
     fields = ", ".join(f"{c} {t}" for c, t in made.dtypes)
-    return rows.mapInArrow(run, f"{fields}, slot long, shard long").repartition("shard").sortWithinPartitions("shard", "slot")
+    return rows.mapInArrow(run, f"{fields}, slot long, shard long").repartitionByRange("shard").sortWithinPartitions("shard", "slot")
 
 
 def training_order(docs: DataFrame, tokenizer_path: str, key: str = "epoch-0", id_col: str = "doc_id", text_col: str = "text", stride: int = 2048, per_shard: int = 4096, end_id: int = 1) -> DataFrame:
@@ -112,22 +112,29 @@ def training_order(docs: DataFrame, tokenizer_path: str, key: str = "epoch-0", i
 
 
 def write_shards(ordered: DataFrame, path: str, stride: int = 2048, per_shard: int = 4096, pad_id: int = 0) -> None:
-    """Write (shard, first_slot, n, data): a row a shard, its sequences padded to ``stride`` ids of two bytes, in slot order.
+    """Write (shard, first_slot, n, data): a row and a file a shard, its sequences padded to ``stride`` ids of two bytes, in slot order.
 
+    Beside them stands what each record holds (id, piece, start, length; arrays in slot order).
     Parquet by Spark's own writer, so that any store will do and a lost task is written again.
     """
+    kind = dict(ordered.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in sorted_runs(batches, ["shard"]):
             shard = rows.column("shard").to_numpy()
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                data = np.full((hi - lo, stride), pad_id, dtype="<u2")
-                for k, ids in enumerate(rows.column("ids").slice(int(lo), int(hi - lo))):
+                here = rows.slice(int(lo), int(hi - lo))
+                data, length = np.full((hi - lo, stride), pad_id, dtype="<u2"), np.zeros(hi - lo, dtype=np.int64)
+                for k, ids in enumerate(here.column("ids")):
                     x = np.frombuffer(ids.as_py(), "<u2")
                     data[k, : len(x)] = x
-                yield pa.RecordBatch.from_arrays([pa.array([int(shard[lo])]), pa.array([int(shard[lo]) * per_shard]), pa.array([int(hi - lo)]), pa.array([data.tobytes()])], names=["shard", "first_slot", "n", "data"])
+                    length[k] = len(x)
+                about = [here.column(c).combine_chunks() for c in ("id", "piece", "start")] + [pa.array(length)]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x) for x in about]
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard[lo])]), pa.array([int(shard[lo]) * per_shard]), pa.array([int(hi - lo)]), pa.array([data.tobytes()]), *lists], names=["shard", "first_slot", "n", "data", "id", "piece", "start", "length"])
 
-    ordered.select("shard", "slot", "ids").mapInArrow(run, "shard long, first_slot long, n long, data binary").write.parquet(path)
+    made = ordered.select("shard", "slot", "ids", "id", "piece", "start").mapInArrow(run, f"shard long, first_slot long, n long, data binary, id array<{kind}>, piece array<int>, start array<long>, length array<long>")
+    made.write.option("maxRecordsPerFile", 1).parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, start: int = 0, stride: int = 2048, per_shard: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
@@ -152,3 +159,23 @@ def digest(ordered: DataFrame, stride: int, per_shard: int, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "piece", "start")), pa.array(list(map(len, raw)), pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in raw], pa.int64()), batch.column("slot"), batch.column("shard"), pa.array(slot % per_shard * stride * 2)], names=["id", "piece", "start", "length", "ids_crc32", "slot", "shard", "byte_offset"])
 
     return ordered.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, slot long, shard long, byte_offset long").withColumnRenamed("id", id_col)
+
+
+def digest_shards(spark: SparkSession, path: str, stride: int = 2048, id_col: str = "doc_id") -> DataFrame:
+    """The columns of ``digest``, read off the records that ``write_shards`` wrote at ``path``."""
+    shards = spark.read.parquet(path)
+    kind = shards.schema["id"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                about = [row.column(c).flatten() for c in ("id", "piece", "start", "length")]
+                shard, first, n = (row.column(c)[0].as_py() for c in ("shard", "first_slot", "n"))
+                data = np.frombuffer(row.column("data")[0].as_buffer(), "<u2").reshape(n, stride)
+                crc = [zlib.crc32(data[i, :length].astype("<u4")) for i, length in enumerate(about[3].to_pylist())]
+                place = np.arange(n, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([*about, pa.array(crc, pa.int64()), pa.array(first + place), pa.array(np.full(n, shard, dtype=np.int64)), pa.array(place * stride * 2)], names=["id", "piece", "start", "length", "ids_crc32", "slot", "shard", "byte_offset"])
+
+    found = shards.select("shard", "first_slot", "n", "data", "id", "piece", "start", "length")
+    return found.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, slot long, shard long, byte_offset long").withColumnRenamed("id", id_col)

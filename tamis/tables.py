@@ -20,12 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def place(spark: SparkSession) -> str:
+    """A new path there, removed at the end."""
+    path = f"{shared_dir(spark)}/tamis/{uuid.uuid4().hex}"
+    _SAVED.append((spark, path))
+    return path
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write ``df`` there and read it back: lineage is cut, and the planner knows its size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tamis/{uuid.uuid4().hex}"
+    path = place(spark)
     df.write.parquet(path)
-    _SAVED.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._tamis_path = path
     return out

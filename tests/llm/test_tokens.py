@@ -140,3 +140,22 @@ def test_shards_read_back_in_slot_order(spark, library, tmp_path):
             assert sum((pieces[i][k] for k in sorted(pieces[i])), []) == [*library.encode(t or "", add_special_tokens=False).ids, 1]
     places = {(r.shard, r.byte_offset) for r in shards.digest(ordered, 16, 10).collect()}
     assert places == {(s // 10, s % 10 * 32) for s in table}
+
+
+def test_the_query_writes_shards_and_reads_its_digest_off_them(spark, tmp_path, monkeypatch):
+    from tamis.llm import registry
+
+    rows = [(i, " ".join(f"word{i * k % 97}" for k in range(i * 60))) for i in range(40)] + [(None, None), (3, "again"), (77, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    written, write = [], shards.write_shards
+    monkeypatch.setattr(shards, "write_shards", lambda ordered, path, **how: (written.append((ordered, path)), write(ordered, path, **how)))
+    got = registry.QUERIES["op8_training_order"](spark, str(tmp_path))
+    (ordered, path), = written
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, shards.digest(ordered, 2048, 4096).collect()))
+    assert [(r.shard, r.first_slot, r.n, len(r.data)) for r in spark.read.parquet(path).collect()] == [(0, 0, ordered.count(), ordered.count() * 2048 * 2)]
+    # of several shards, and with a record whose last id is the padding's
+    ordered = shards.training_order(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary(), "run", stride=16, per_shard=10, end_id=0)
+    write(ordered, str(tmp_path / "small"), stride=16, per_shard=10)
+    small = shards.digest_shards(spark, str(tmp_path / "small"), stride=16)
+    assert sorted(map(repr, small.collect())) == sorted(map(repr, shards.digest(ordered, 16, 10).collect()))
+    assert spark.read.parquet(str(tmp_path / "small")).count() == -(-ordered.count() // 10)
