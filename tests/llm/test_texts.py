@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -137,29 +138,108 @@ def test_urls(spark):
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class=\"ad\">Buy</div><article><h1>{h}</h1><p>{a} &amp; <b>b</b>old&nbsp;x<br>next<p>Read this first.</p><div class='user-comments'>no</div><form>f</form></article><aside>s</aside><footer>&copy; us</footer></body></html>"
 
 
+ODD = {
+    30: (None, ""),
+    31: ("", ""),
+    32: ("just text &lt;b&gt;", "just text <b>"),
+    33: ("<p>a<p>b</b></i>c < d", "a bc < d"),
+    34: ("<div class='content'><h2>T</h2>x<ul><li>1<li>2</ul></div><div id=sidebar>s</div>", "T x 1 2"),
+    35: ("<main>m</main><p>outside</p>", "m"),
+    36: ("<p>" + "long " * 30000 + "</p>", "long " * 29999 + "long"),
+    37: ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+    38: ("<p hidden>kept</p><p>yes<!-- c", "kept yes"),
+    39: ("<textarea><p>x</p></textarea>z<script>if(a<b){", "z"),
+    40: ("<div class='content-sidebar-wrap'><article>a</article><div class='sidebar'><article>teaser</article></div></div>", "a"),
+    41: ("<div class='ad-container'><p>buy</p></div><div class='text'>t<div class='cookie-notice'>n</div></div>", "t"),
+    42: ('<article><h2 id="search">Search algorithms</h2><p id="comments">On comments</p><div class="related work">R</div><section id="notice">N</section><p>Price list now</p></article>', "Search algorithms On comments R N Price list now"),
+    43: ("<article><p>x</p><div class='user-comments'>no</div><form>f</form></article><aside>s</aside>", "x"),
+    44: ("<div id=a><a href=/>m</a></div><div id=b><h1>T</h1><div>a longer body</div></div>", "T a longer body"),
+    45: ("a <b c", "a <b c"),
+}
+
+
 def test_html(spark):
-    pages = [(i, "http://one.net/%d" % i, PAGE.replace("{h}", f"Head {i}").replace("{a}", f"para {i}\n  end")) for i in range(8)]
-    want = {i: f"Head {i} para {i} end &" for i in range(8)}  # the rest stands alike on every page of the host
-    pages += [(20, "http://two.net/1", PAGE.replace("{h}", "H").replace("{a}", "p"))]
-    want[20] = "H p & bold x next Read this first."  # too few pages for a template
-    odd = {30: (None, ""), 31: ("", ""), 32: ("just text &lt;b&gt;", "just text <b>"), 33: ("<p>a<p>b</b></i>c < d", "a bc < d"), 34: ("<div class='content'><h2>T</h2>x<ul><li>1<li>2</ul></div><div id=sidebar>s</div>", "T x 1 2"), 35: ("<main>m</main><p>outside</p>", "m"), 36: ("<p>" + "long " * 30000 + "</p>", "long " * 29999 + "long"), 37: ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), 38: ("<p hidden>no</p><p>yes<!-- c", "yes"), 40: ("<div class='content-sidebar-wrap'><article>a</article><div class='sidebar'><article>teaser</article></div></div>", "a"), 41: ("<div class='ad-container'><p>buy</p></div><div class='text'>t<div class='cookie-notice'>n</div></div>", "t"), 39: ("<textarea><p>x</p></textarea>z<script>if(a<b){", "z")}
-    pages += [(i, None if i == 30 else f"http://odd{i}.net/", h) for i, (h, _) in odd.items()]
+    pages = [(i, "http://one.net/%d" % i, PAGE.replace("{h}", f"Head {i}").replace("{a}", f"para {i}\n  end")) for i in range(20)]
+    want = {i: f"Head {i} para {i} end &" for i in range(20)}  # the rest stands alike on every page of the host
+    pages += [(25, "http://two.net/1", PAGE.replace("{h}", "H").replace("{a}", "p"))]
+    want[25] = "H p & bold x next Read this first."  # one page shows no template
+    pages += [(i, None if i == 30 else f"http://odd{i}.net/", h) for i, (h, _) in ODD.items()]
     pages += [pages[0], pages[0]]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("of_host", F.lit(1))
-    got = html.extract(df, least_pages=5).collect()
+    got = html.extract(df).collect()
     assert len(got) == len(pages)
     for r in got:
-        text = want[r.page_id] if r.page_id in want else odd[r.page_id][1]
+        text = want[r.page_id] if r.page_id in want else ODD[r.page_id][1]
         assert (r.text, r.n_chars) == (text, len(text)), r.page_id
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_templates_need_every_distinct_page(spark):
-    pages = [(i, "http://h.net/", f"<body><p>same</p><p>own {i if i < 6 else 5}</p></body>") for i in range(9)] + [(99, "http://h.net/", "<body><p>other</p></body>")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    assert html.deduce_templates(df, least_pages=5).count() == 0
-    assert html.deduce_templates(df.where("page_id < 90"), least_pages=7).count() == 0  # equal pages count once
-    assert html.deduce_templates(df.where("page_id < 90"), least_pages=5).first().texts == [html._hash("text", str(html.segments("<body><p>same</p></body>")[0][0].path), "same")]
+@pytest.mark.parametrize("page", ["<a" * 20000, "<b>" * 20000 + "</i>" * 20000, '<a "' * 20000, '<a ">"' * 20000, "<b><div>" + "<i>" * 20000 + "</b>" * 20000, "<ul><li>" * 10000 + "</li>" * 10000, "<" * 50000, "<!--" * 20000, "<script>" * 20000, "<a class='" * 20000, "<div>" * 20000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html.main_text(page)
+    html.page_tokens(page)
+    assert time.process_time() - began < 3
+
+
+def unnamed(i, text, odd=False):
+    """A page whose elements say nothing of their roles."""
+    if odd:
+        return "<html><body><p>Sorry, gone.</p></body></html>"
+    menu = f"<div class=x1><p>Choose one of many fine things to read here today {i % 3}</p><p>All rights are with us, as they always were.</p></div>"
+    return f"<html><body>{menu}<div class=x2><h2>Part {i}</h2><p>{text}</p></div><div class=x3><p>Made with care number {i % 2}.</p></div></body></html>"
+
+
+def test_the_template_decides_where_names_say_nothing(spark):
+    long = "running text that only this page has, at some length "
+    rows = [(i, "http://h.net/%d" % i, unnamed(i, f"{long * 3}{i}" if i % 4 else "short")) for i in range(24)]
+    rows += [(50, "http://h.net/odd", unnamed(0, "", odd=True)), (51, "http://h.net/null", None)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(24):
+        assert got[i] == " ".join(f"Part {i} {long * 3 + str(i) if i % 4 else 'short'}".split())
+    assert html.main_text(rows[0][2]) != got[0]  # by itself, the page looks like its menu
+    assert got[50] == "Sorry, gone." and got[51] == ""
+
+
+def test_classes_match_brute_force(spark):
+    r = random.Random(9)
+    parts = ["<div class=a><p>one</p></div>", "<div class=b><h3>two</h3><p>same</p></div>", "<ul><li>x</li></ul>", "<section><h4>s</h4></section>"]
+    pages = [(h, f"http://{h}.net/", "<body>" + "".join(x for x in parts if r.random() < 0.7) + f"<p>{r.randint(0, 3)}</p></body>") for h in ("p", "q") for _ in range(60)]
+    got = {t.host: t for t in html.deduce_templates(spark.createDataFrame([(i, u, x) for i, (_, u, x) in enumerate(pages)], "page_id long, url string, html string"), share=0.3, text_share=0.6).collect()}
+    for h in ("p", "q"):
+        mine = sorted({x for k, _, x in pages if k == h})
+        vectors, above, is_text = {}, {}, {}
+        for at, page in enumerate(mine):
+            for token, n, up, _, _, text in html.page_tokens(page):
+                vectors.setdefault(token, [0] * len(mine))[at] = n
+                above[token], is_text[token] = up, text
+        lower = lambda k, n, z=1.96: (k / n + z * z / (2 * n) - z * ((k / n * (1 - k / n) + z * z / (4 * n)) / n) ** 0.5) / (1 + z * z / n)
+        alive = {t for t, v in vectors.items() if sum(map(bool, v)) > 1 and lower(sum(map(bool, v)), len(mine)) >= (0.6 if is_text[t] else 0.3)}
+        while True:
+            classes = {}
+            for t in alive:
+                up = above[t]
+                while up and (up not in alive or vectors[up] == vectors[t]):
+                    up = above[up]
+                classes.setdefault((tuple(vectors[t]), tuple(vectors[up]) if up else ()), set()).add(t)
+            kept = {t for c in classes.values() if len(c) > 1 for t in c}
+            if kept == alive:
+                break
+            alive = kept
+        elements = {frozenset(t for t in c if not is_text[t]) for c in classes.values()} - {frozenset()}
+        found = {}
+        for t, c in zip(got[f"{h}.net"].tokens, got[f"{h}.net"].classes, strict=True):
+            found.setdefault(c, set()).add(t)
+        assert {frozenset(c) for c in found.values()} == elements and len(elements) > 2
+        assert set(got[f"{h}.net"].texts) == {t for t in alive if is_text[t]}
+
+
+def test_a_class_counts_in_its_order_only():
+    first, second = "<body><div class=a><p>menu words</p></div><div class=b><p>text</p></div></body>", "<body><div class=b><p>text</p></div><div class=a><p>menu words</p></div></body>"
+    tokens = [html.element_token(x) for x in html.parse(first).path[1:]]
+    template = html.Template(dict.fromkeys(tokens, 7), {t: float(k) for k, t in enumerate(tokens)}, dict.fromkeys(tokens, 1.0))
+    assert html._in_order(html.parse(first), template) == {7}
+    assert html._in_order(html.parse(second), template) == set()
 
 
 def test_quality_learns_and_edges(spark):
