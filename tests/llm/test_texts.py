@@ -295,14 +295,74 @@ def test_chat_links_orders_and_validates(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("clash"))
     got = {(r.conv_id, r.turn): r for r in chat.format_chats(df, tools).collect()}
     assert len(got) == len(rows)
-    g = lambda c, t: (got[c, t].place, got[c, t].n_calls, got[c, t].n_linked, got[c, t].n_faults)
-    assert got[1, 0].message == '{"content":"hi\\n\\"é\\"","role":"user"}' and g(1, 0) == (0, 0, 0, 0)
-    assert g(1, 1) == (2, 0, 1, 0)
-    assert g(1, 2) == (2, 1, 1, 0)
+    g = lambda c, t: (got[c, t].place, got[c, t].step, got[c, t].n_calls, got[c, t].n_linked, got[c, t].n_faults)
+    assert got[1, 0].message == '{"content":"hi\\n\\"é\\"","role":"user"}' and g(1, 0) == (0, 0, 0, 0, 0)
+    assert g(1, 1) == (2, 1, 0, 1, 0)
+    assert g(1, 2) == (2, 0, 1, 1, 0)
     assert got[1, 2].message == '{"content":"sure","role":"assistant","tool_calls":[{"arguments":{"limit":2,"query":"x"},"id":"a","name":"search"}]}'
-    assert g(1, 3) == (6, 1, 1, 0) and g(1, 4) == (4, 1, 1, 2) and g(1, 6) == (6, 0, 1, 0) and g(1, 7) == (7, 0, 1, 0)
-    assert g(2, 0) == (0, 2, 0, 1 + 2 + 2)  # not JSON; a: unknown tool, no result; p: a circle, no result
-    assert g(2, 1) == (1, 1, 0, 2) and g(2, 2) == (2, 0, 0, 1) and g(2, 3) == (3, 0, 0, 1) and g(2, 4) == (4, 1, 0, 2)
+    assert g(1, 3) == (6, 1, 1, 1, 0) and g(1, 4) == (4, 0, 1, 1, 2) and g(1, 6) == (6, 0, 0, 1, 0) and g(1, 7) == (7, 0, 0, 1, 0)
+    assert g(2, 0) == (0, 0, 2, 0, 1 + 2 + 2)  # not JSON; a: unknown tool, no result; p: a circle, no result
+    assert g(2, 1) == (1, 0, 1, 0, 2) and g(2, 2) == (2, 0, 0, 0, 1) and g(2, 3) == (3, 0, 0, 0, 1) and g(2, 4) == (4, 0, 1, 0, 2)
     assert got[3, 0].role == "" and got[3, 0].message == '{"content":"","role":""}'
-    assert g(None, 0) == (0, 1, 0, 0)
+    assert g(None, 0) == (0, 0, 1, 0, 0)
     assert chat.format_chats(df.limit(0), tools).count() == 0
+
+
+def stands(conv):
+    """The rows of a conversation in the order that the operator gives."""
+    return [r.turn for r in sorted(conv, key=lambda r: (r.place, r.step, r.turn))]
+
+
+@pytest.mark.parametrize("at_once", [10_000, 3])
+def test_chat_order_against_brute_force(spark, at_once):
+    """Every result after its call, every call after the results it names; what can't be is in a circle, and only that."""
+    r = random.Random(12)
+    rows, needs = [], {}
+    for c in range(25):
+        turns = list(range(14))
+        r.shuffle(turns)
+        ids = [f"k{i}" for i in range(5)]
+        at = {i: turns.pop() for i in ids}
+        back = {i: turns.pop() for i in ids if r.random() < 0.8}
+        for i in ids:
+            refs = [j for j in ids if j != i and r.random() < 0.25]
+            rows.append((c, at[i], "assistant", "<tool_call>" + json.dumps({"id": i, "name": "f", "arguments": {"xs": [{"$ref": j} for j in refs]}}) + "</tool_call>"))
+            needs[c, at[i]] = {back.get(j, at[j]) for j in refs}
+        for i, t in back.items():
+            rows.append((c, t, "tool", json.dumps({"tool_call_id": i, "content": 1})))
+            needs[c, t] = {at[i]}
+        rows += [(c, t, "user", "hm") for t in turns]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(df, {"f": {"type": "object"}}, at_once=at_once).collect()
+    key = {(x.conv_id, x.turn): (x.place, x.step, x.turn) for x in got}
+    free = {k for k in key if not needs.get(k)}
+    while more := {k for k in key if k not in free and all((k[0], t) in free for t in needs[k])}:
+        free |= more
+    assert 20 < len(key) - len(free) < len(key) - 100
+    for (c, t), sources in needs.items():
+        if (c, t) in free:
+            assert all(key[c, t] > key[c, s] for s in sources)
+            first = max(((*key[c, s][:2],) for s in sources), default=(-1, 0))
+            assert key[c, t][:2] == ((t, 0) if t > first[0] else (first[0], first[1] + 1))
+        else:
+            assert key[c, t][:2] == (t, 0)
+
+
+def test_a_long_chain_is_ordered_in_one_pass(spark):
+    n = 400
+    rows = [(1, n - i, "assistant", "<tool_call>" + json.dumps({"id": f"c{i}", "name": "f", "arguments": {"x": {"$ref": f"c{i - 1}"}} if i else {}}) + "</tool_call>") for i in range(n)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"f": {}}).collect()
+    assert stands(got) == list(range(n, 0, -1))
+
+
+def test_schemas():
+    whole = {"type": "object", "properties": {"s": {"type": "string", "minLength": 2, "maxLength": 3, "pattern": "^a"}, "l": {"type": "array", "minItems": 1, "maxItems": 2, "uniqueItems": True, "items": {"type": "integer", "exclusiveMinimum": 0, "exclusiveMaximum": 9}}, "d": {"format": "date-time"}, "c": {"const": 1}, "e": {"enum": [1, "x"]}}, "additionalProperties": {"type": "null"}}
+    ok = {"s": "abc", "l": [1, 8], "d": "2024-02-03T04:05:06Z", "c": 1, "e": "x", "other": None}
+    assert chat.breaches(ok, whole) == []
+    for part, n in (({"s": "a"}, 1), ({"s": "bcde"}, 2), ({"l": []}, 1), ({"l": [1, 1, 9]}, 3), ({"l": [0]}, 1), ({"d": "2024-02-03 04:05"}, 1), ({"c": True}, 1), ({"e": True}, 1), ({"more": 1}, 1), ({"s": {"$ref": "q"}}, 0), ({"s": 5}, 1)):
+        assert len(chat.breaches(part, whole)) == n, part
+    for bad in ({"oneOf": []}, {"properties": {"x": {"format": "hostname"}}}, {"items": {"typ": "string"}}):
+        with pytest.raises(ValueError):
+            chat.known_schema(bad)
+    assert chat.parse("assistant", '<tool_call>{"id":"\\ud800","name":"f"}</tool_call>', {})["faults"] and "\\ud800" in chat.parse("tool", '{"tool_call_id":"a","content":"\\ud800"}', {})["message"]
+    assert chat.parse("tool", "[" * 200_000, {})["faults"]
