@@ -12,6 +12,7 @@ import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from tamis.llm import tokens
 from tamis.llm._shared import save
 
+LOOKED = 1000  # sums looked at for a node's fillings; the first is among them
 Run = tuple[tuple[int, ...], int]  # the lengths in a sequence, largest first, and how many such sequences
 
 
@@ -59,85 +61,208 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[Run]:
     return [(lengths, n) for groups in by_room.values() for lengths, n in groups if lengths]
 
 
-def fillings(hist: dict[int, int], sizes: list[int], capacity: int, most: int, steps: int = 4000) -> list[tuple[int, ...]]:
-    """Undominated fillings around the largest length, least waste first.
+class Stock:
+    """The lengths left: counts, and which there are as the bits of a number (and backwards), so that sums are looked up in it."""
 
-    A filling is dominated if an unused length fits its room, or fits with it in place of a smaller one.
+    def __init__(self, hist: dict[int, int], capacity: int) -> None:
+        self.capacity = capacity
+        self.count: dict[int, int] = {}
+        self.there, self.back = 1, 1 << capacity  # length 0 stands for an empty place
+        self.add(hist)
+
+    def add(self, lengths: dict[int, int], sign: int = 1) -> None:
+        for size, n in lengths.items():
+            now = self.count[size] = self.count.get(size, 0) + sign * n
+            bit = 1 << size
+            if (now > 0) != bool(self.there & bit):
+                self.there ^= bit
+                self.back ^= 1 << (self.capacity - size)
+
+    def largest(self, room: int) -> int:
+        """The largest length left of ``room`` at most, or 0."""
+        return (self.there & ((2 << room) - 1)).bit_length() - 1
+
+    def hist(self) -> dict[int, int]:
+        return {k: n for k, n in self.count.items() if n}
+
+
+def completions(stock: Stock, room: int, start: float = 1.0) -> Iterator[tuple[int, ...]]:
+    """Multisets of the lengths left that fit ``room``, least waste first, those of large lengths first; none that another dominates.
+
+    While the room is far larger than any length, the largest ones go in (such a room leaves
+    choice enough). Three places are then tried in full, so a filling without waste by three
+    lengths or fewer is never missed; what room they leave is completed in the same way. The
+    stock is as it was whenever a filling is handed out. ``start`` turns the order of fillings of
+    like waste: those of a largest length up to that share of the room come first.
     """
-    first = sizes[0]
-    found: dict[tuple, int] = {}
-    looked = 0
-
-    def dominated(lengths: tuple, used: Counter, room: int) -> bool:
-        for small in {0, *lengths[1:]}:
-            at = bisect.bisect_right(rising, small + room) - 1
-            while at >= 0 and rising[at] > small:
-                if hist[rising[at]] > used[rising[at]]:
-                    return True
-                at -= 1
-        return False
-
-    rising = sizes[::-1]
-
-    def grow(lengths: tuple, room: int, at: int) -> None:
-        nonlocal looked
-        looked += 1
-        if len(found) >= 4 * most or looked > steps or 0 in found.values() and len(found) >= most:
-            return
-        used = Counter(lengths)
-        if not dominated(lengths, used, room):
-            found[lengths] = room
-        upto = len(rising) - bisect.bisect_right(rising, room)
-        for k in range(max(at, upto), len(sizes)):
-            if hist[sizes[k]] > used[sizes[k]]:
-                grow((*lengths, sizes[k]), room - sizes[k], k)
-                if len(found) >= 4 * most or looked > steps:
-                    return
-
-    grow((first,), capacity - first, 0)
-    return sorted(found, key=found.get)[:most]
-
-
-def bin_completion(hist: dict[int, int], capacity: int, nodes: int = 300, branches: int = 4) -> list[Run]:
-    """As few sequences as the search finds: depth first over fillings of the largest length left.
-
-    The incumbent is the best-fit packing (also of what a node leaves); a branch goes if its waste
-    so far exceeds what a packing of one sequence fewer could waste; the search ends when the
-    incumbent meets the bound (all tokens / capacity, or the lengths over half of it), or after
-    ``nodes`` nodes. A filling is used as often as the lengths left allow.
+    head: list[int] = []
+    while (size := stock.largest(room)) and room >= 4 * size:
+        k = min(stock.count[size], room // size - 3)
+        head += [size] * k
+        stock.add({size: k}, -1)
+        room -= k * size
+    stock.add(Counter(head))
+    seen = set()
+    for filling in islice(_threes(stock, room, head, start), LOOKED):
+        rest = room - sum(filling)
+        while rest:
+            more = next(_threes(stock, rest, [*head, *filling]))
+            if not more:
+                break
+            filling = (*filling, *more)
+            rest -= sum(more)
+        filling = tuple(sorted(filling, reverse=True))
+        if filling not in seen and not (rest and _dominated(filling, stock, rest, head)):
+            seen.add(filling)
+            yield (*head, *filling)
+
+
+def _threes(stock: Stock, room: int, used: list[int], start: float = 1.0) -> Iterator[tuple[int, ...]]:
+    """Fillings of three lengths at most, not counting those ``used``, least waste first, then by the largest length and the next; the empty one last."""
+    gone = Counter(used)
+    there, back = stock.there, stock.back
+    for size, n in gone.items():
+        if stock.count[size] == n:
+            there, back = there ^ (1 << size), back ^ (1 << (stock.capacity - size))
+    left = lambda size: stock.count[size] - gone[size]
+    for want in _wants(there, room):
+        first = there & ((2 << int(want * start)) - 1)
+        for below in (first, there & ((2 << want) - 1) & ~first):
+            while below:
+                x = below.bit_length() - 1
+                if 3 * x < want:
+                    break
+                below ^= 1 << x
+                rest = want - x
+                pairs = there & (back >> (stock.capacity - rest)) & ((2 << min(x, rest)) - 1)
+                while pairs:
+                    y = pairs.bit_length() - 1
+                    z = rest - y
+                    if y < z:
+                        break
+                    pairs ^= 1 << y
+                    if (x != y or not x or left(x) > 1 + (y == z)) and (y != z or not y or left(y) > 1):
+                        yield tuple(v for v in (x, y, z) if v)
+
+
+def _wants(there: int, room: int) -> Iterator[int]:
+    """The room, then what else three lengths can add up to within it (multiplicities aside), largest first."""
+    yield room
+    sums = there = there & ((1 << room) - 1)
+    for _ in range(2):
+        sums, one, left = 0, sums, there
+        while left:
+            low = left & -left
+            sums |= one << (low.bit_length() - 1)
+            left ^= low
+        sums &= (1 << room) - 1
+    while sums:
+        want = sums.bit_length() - 1
+        sums ^= 1 << want
+        yield want
+
+
+def _dominated(filling: tuple[int, ...], stock: Stock, waste: int, used: list[int]) -> bool:
+    """Whether a length left over fits in place of a smaller one of the filling."""
+    gone = Counter([*used, *filling])
+    return any(stock.count.get(size, 0) > gone[size] for small in set(filling) for size in range(small + 1, small + waste + 1))
+
+
+def dive(hist: dict[int, int], capacity: int, bound: int, way: int = 0) -> list[Run]:
+    """One way down the tree: at each node a filling around the largest length left, as often as the lengths allow.
+
+    Way 0 takes the first filling at each node; other ways turn the order of fillings at each node
+    by a number that follows from the way and the node. The best-fit packing of what is left is
+    an incumbent at every node of which the number is a power of two (from 1 on, so that each
+    dive fills some sequences itself); a dive ends when that meets the bound.
+    """
+    stock, runs, used, node = Stock(hist, capacity), [], 0, 0
+    while top := stock.largest(capacity):
+        if node and node & (node - 1) == 0:
+            rest = best_fit(stock.hist(), capacity)
+            if used + sum(n for _, n in rest) <= bound:
+                return runs + rest
+        stock.add({top: 1}, -1)
+        start = zlib.crc32(f"{way}/{node}".encode()) / (1 << 32) if way else 1.0
+        filling = (top, *next(completions(stock, capacity - top, start), ()))
+        stock.add({top: 1})
+        need = Counter(filling)
+        times = min(stock.count[k] // n for k, n in need.items())
+        stock.add({k: n * times for k, n in need.items()}, -1)
+        runs.append((filling, times))
+        used += times
+        node += 1
+    return runs
+
+
+def lower_bound(hist: dict[int, int], capacity: int) -> int:
+    """No packing has fewer sequences: by tokens, and for each length k up to half by those that can't share one with k (Martello and Toth's second bound)."""
+    count = np.zeros(capacity + 1, dtype=np.int64)
+    for size, n in hist.items():
+        count[size] = n
+    tokens = (count * np.arange(capacity + 1)).cumsum()
+    above = count[::-1].cumsum()[::-1]  # pieces of that length or more
+    best = -(-int(tokens[-1]) // capacity)
+    for k in [0, *(x for x in hist if 2 * x <= capacity)]:
+        large = int(above[capacity - k + 1]) if k else 0
+        half = int(above[capacity // 2 + 1]) - large
+        middle = int(tokens[capacity - k] - (tokens[k - 1] if k else 0))
+        best = max(best, large + half + max(0, -(-(middle - half * capacity) // capacity)))
+    return best
+
+
+def bin_completion(hist: dict[int, int], capacity: int, whole: int = 2, dives: int = 40) -> list[Run]:
+    """As few sequences as the search finds, by bin completion.
+
+    Depth first over undominated fillings of the largest length left, with best-fit packings (of
+    all, and of what nodes leave) as incumbents, until one meets ``lower_bound``. At most
+    ``whole`` ways down are tried from the top, and ``dives`` more over parts: all sequences that
+    the best packing fills with waste, and some others, are searched anew (``residue``). The
+    README has the gaps that this leaves.
     """
-    total = sum(k * n for k, n in hist.items())
-    bound = max(-(-total // capacity), sum(n for k, n in hist.items() if 2 * k > capacity))
+    bound = lower_bound(hist, capacity)
     best = best_fit(hist, capacity)
     count = sum(n for _, n in best)
-    visited = 0
-
-    def go(left: dict[int, int], runs: list[Run], used: int, waste: int) -> None:
-        nonlocal best, count, visited
-        visited += 1
-        sizes = sorted((k for k, n in left.items() if n), reverse=True)
-        if not sizes:
-            if used < count:
-                best, count = runs, used
-            return
-        rest = best_fit({k: left[k] for k in sizes}, capacity)
-        if used + sum(n for _, n in rest) < count:
-            best, count = runs + rest, used + sum(n for _, n in rest)
-        for filling in fillings(left, sizes, capacity, branches):
-            if count <= bound or visited >= nodes:
-                return
-            need = Counter(filling)
-            times = min(left[k] // n for k, n in need.items())
-            lost = times * (capacity - sum(filling))
-            if waste + lost > (count - 1) * capacity - total:
-                continue
-            go(left | {k: left[k] - times * n for k, n in need.items()}, [*runs, (filling, times)], used + times, waste + lost)
-
-    if count > bound:
-        go(dict(hist), [], 0, 0)
+    for way in range(whole):
+        runs = dive(hist, capacity, bound, way)
+        if sum(n for _, n in runs) < count + (way == 0):
+            best, count = runs, sum(n for _, n in runs)
+        if count <= bound:
+            return best
+    share = 1
+    for way in range(1, dives + 1):
+        fixed, open_ = residue(best, capacity, share, way)
+        sub: Counter = Counter()
+        for lengths, n in open_:
+            for size, each in Counter(lengths).items():
+                sub[size] += n * each
+        was = sum(n for _, n in open_)
+        found = dive(sub, capacity, max(was - (count - bound), lower_bound(sub, capacity)), way)
+        if sum(n for _, n in found) < was:
+            best = fixed + found
+            count = sum(n for _, n in best)
+            if count <= bound:
+                break
+        elif way % 8 == 0 and fixed and share < 16:
+            share *= 2
     return best
 
 
+def residue(runs: list[Run], capacity: int, share: int, way: int) -> tuple[list[Run], list[Run]]:
+    """(the runs to keep, those to search again): all sequences with waste, and ``share`` times as many without (32 at least), another choice for each ``way``."""
+    full = [r for r in runs if sum(r[0]) == capacity]
+    open_ = [r for r in runs if sum(r[0]) < capacity]
+    room, fixed = max(32, share * sum(n for _, n in open_)), []
+    for _, (lengths, n) in sorted((zlib.crc32(f"{way}/{r[0]}".encode()), r) for r in full):
+        taken = min(n, room, max(1, n // 4))
+        room -= taken
+        if taken:
+            open_.append((lengths, taken))
+        if taken < n:
+            fixed.append((lengths, n - taken))
+    return fixed, open_
+
+
 def places(runs: list[Run]) -> dict[str, np.ndarray]:
     """For each run and length in it: ranks of the pieces of that length that go there, and where."""
     taken: Counter = Counter()

@@ -3,7 +3,7 @@
 import random
 import zlib
 from collections import Counter
-from itertools import permutations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -101,13 +101,68 @@ def test_plans_use_every_length_once(seed):
         assert used == hist
 
 
-def test_undominated_fillings():
-    found = packing.fillings({60: 1, 30: 1, 25: 1, 10: 2, 5: 1}, [60, 30, 25, 10, 5], 100, 10)
-    assert found[0] == (60, 30, 10)
-    for f in found:
-        room = 100 - sum(f)
-        left = Counter({60: 1, 30: 1, 25: 1, 10: 2, 5: 1}) - Counter(f)
-        assert not any(x <= room for x in left)
+def test_fillings_are_undominated_and_least_waste_comes_first():
+    r = random.Random(5)
+    for _ in range(200):
+        hist = Counter(r.randint(5, 40) for _ in range(r.randint(1, 12)))
+        room = r.randint(5, 90)
+        stock = packing.Stock(hist, 100)
+        found = list(packing.completions(stock, room))
+        assert stock.hist() == hist
+        assert len(set(found)) == len(found) > 0
+        for f in found:
+            rest = room - sum(f)
+            left = hist - Counter(f)
+            assert rest >= 0 and not Counter(f) - hist
+            assert not any(x <= rest for x in left)
+            assert len(f) > 3 or not any(small < x <= small + rest for small in f for x in left)
+        pool = list(hist.elements())
+        threes = [t for k in range(4) for t in combinations(pool, k) if sum(t) <= room]
+        if room < 4 * max((x for x in pool if x <= room), default=room):
+            assert sum(found[0]) >= max(map(sum, threes))
+    assert next(packing.completions(packing.Stock({60: 1, 30: 1, 25: 1, 10: 2, 5: 1}, 100), 40)) == (30, 10)
+
+
+def cut_whole(n, seed, capacity=4096):
+    """Lengths that fill n sequences without waste."""
+    r, hist = random.Random(seed), Counter()
+    for _ in range(n):
+        at = [0, *sorted(r.sample(range(1, capacity), r.randint(1, 5))), capacity]
+        hist.update(b - a for a, b in zip(at, at[1:], strict=False))
+    return hist
+
+
+@pytest.mark.parametrize("n", [60, 200, 2000])
+def test_completion_of_lengths_that_fill_exactly(n):
+    hist = cut_whole(n, n)
+    assert packing.lower_bound(hist, 4096) == n
+    assert sum(k for _, k in packing.bin_completion(hist, 4096)) <= n + 1
+
+
+def test_completion_beats_best_fit_where_three_share_a_sequence():
+    r, hist = random.Random(3), Counter()
+    for _ in range(200):
+        a = r.randint(1300, 1700)
+        b = r.randint(1100, 3096 - a)
+        hist.update([a, b, 4096 - a - b])
+    assert sum(n for _, n in packing.best_fit(hist, 4096)) >= 215
+    assert sum(n for _, n in packing.bin_completion(hist, 4096)) <= 206
+
+
+def test_a_plan_from_the_search_even_where_best_fit_would_do(monkeypatch):
+    asked = []
+    find = packing.completions
+    monkeypatch.setattr(packing, "completions", lambda *a: (asked.append(a), find(*a))[1])
+    hist = {1400: 100, 1: 1500, 4096: 3, 50: 40}
+    assert sum(n for _, n in packing.bin_completion(hist, 4096)) == packing.lower_bound(hist, 4096) and asked
+    assert packing.bin_completion({}, 4096) == [] and packing.bin_completion({1: 10**7}, 4096)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_the_bound_is_one(seed):
+    r = random.Random(seed)
+    items = [r.randint(1, 20) for _ in range(6)]
+    assert packing.lower_bound(Counter(items), 20) <= fewest(items, 20)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 1000, 4097])
