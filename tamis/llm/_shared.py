@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.operators.components import connected_components
+from tamis.operators.components import connected_components, local_roots
 from tamis.tables import drop, save
 
 __all__ = ["connected_components", "drop", "fresh", "in_blocks", "local_roots", "save", "sorted_runs"]
@@ -27,26 +27,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links a[i]-b[i] as (node, root) with one row for each node that is no root: a forest in place of all pairs."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    far = label != np.arange(len(nodes))
-    return nodes[far], nodes[label[far]]
-
-
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole runs of equal keys from batches sorted by them: (rows, start of each run and the end).
 

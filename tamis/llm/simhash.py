@@ -23,11 +23,12 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamis.llm._shared import connected_components, drop, fresh, in_blocks, local_roots, save, sorted_runs
+from tamis.session import ship
 
 SEED = 42
 STEP = 1 << 16  # shingles hashed at a time, which bounds memory for long texts
@@ -173,41 +174,48 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, max_bits: int = 11, chunk: int = 512) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, max_bits: int = 3, chunk: int = 512) -> DataFrame:
     """One document of each group of near copies, whole rows: that of the smallest id.
 
     Two texts are near copies if their sets of ``words``-word shingles (case of A-Z and white
     space aside; texts of fewer words are one shingle) have a Jaccard similarity of
-    ``similarity`` or more; groups are the components of these links. The grid links those whose
-    SimHash fingerprints differ in ``max_bits`` bits or fewer; a join on the shingles' prefixes
-    then finds every pair that is over those bits and not yet in one group (``_prefix_links``).
+    ``similarity`` or more; groups are the components of these links. The grid proposes those whose
+    SimHash fingerprints are joined by steps of ``max_bits`` bits or fewer; a join on the shingles'
+    prefixes then finds every other pair that isn't yet in one group (``_prefix_links``), so
+    the bits decide how early a pair is found, never whether.
     Null texts count as empty, and all empty texts are one group; of rows with the same smallest
     id (or, where all are null, of those) one stays. Columns of any name pass through. An empty
     table gives no rows.
     """
+    ship(docs.sparkSession)
     key_at, of_id, of_key = fresh(docs, "key", "of_id", "of_key")
     text = F.coalesce(F.col(text_col), F.lit(""))
     here = docs.withColumn(key_at, F.xxhash64(text))
     one = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text"))).alias("one")
     firsts = here.groupBy(F.col(key_at).alias("key")).agg(one).select("key", "one.*")
     texts = save(with_fingerprint(firsts, "text", "fp", 3))
-    near = connected_components(fingerprint_links(texts.select("fp").distinct(), max_bits, groups=4, segment_bits=1))
-    placed = texts.join(near, texts["fp"] == near["node"], "left").select("key", F.coalesce("root", "fp").alias("place"), "fp")
+    near = connected_components(fingerprint_links(texts.select("fp").distinct(), max_bits))
+    placed = texts.join(near, texts["fp"] == near["node"], "left").select("key", F.coalesce("root", "fp").alias("place"))
     sizes = placed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = save(placed.join(sizes, "place").select("key", "place", "fp"))
-    bodies = here.select(F.col(key_at).alias("of"), text.alias("text")).join(wanted, F.col("of") == F.col("key"), "left_semi").dropDuplicates(["of"])
-    sets = save(wanted.join(_with_shingles(bodies, words), F.col("key") == F.col("of")).select("key", "place", "fp", "shingles"))
-    links = save(in_blocks(sets, ["place"], "key", chunk).mapInArrow(_verified(similarity, max_bits), "a long, b long"))
+    wanted = save(placed.join(sizes, "place").select("key", "place"))
     every = here.select(F.col(key_at).alias("of"), text.alias("text"))
+    sets = save(wanted.join(_with_shingles(_bodies(every, wanted.select("key")), words), F.col("key") == F.col("of")).select("key", "place", "shingles"))
+    links = save(in_blocks(sets, ["place"], "key", chunk).mapInArrow(_verified(similarity), "a long, b long"))
+    drop(sets)
     roots = connected_components(links.union(_prefix_links(every, connected_components(links), similarity, words, chunk)))
     grouped = texts.join(roots, texts["key"] == roots["node"], "left").select("none", "id", "key", F.coalesce("root", "key").alias("root"))
     kept = grouped.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("one"))
     kept = save(kept.select(F.col("one.id").alias(of_id), F.col("one.key").alias(of_key)))
     stay = here.join(kept, (F.col(key_at) == F.col(of_key)) & F.col(id_col).eqNullSafe(F.col(of_id)), "left_semi")
-    drop(sets)
     return stay.dropDuplicates([id_col, key_at]).select(*docs.columns)
 
 
+def _bodies(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(of, text), once each, of the texts with these keys."""
+    (key,) = keys.columns
+    return texts.join(keys.withColumnRenamed(key, "asked"), F.col("of") == F.col("asked"), "left_semi").dropDuplicates(["of"])
+
+
 def _with_shingles(texts: DataFrame, words: int) -> DataFrame:
     """(of, shingles): the sorted distinct hashes of the shingles of (of, text), as bytes."""
 
@@ -219,16 +227,16 @@ def _with_shingles(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "of long, shingles binary")
 
 
-def _verified(similarity: float, max_bits: int):
-    """A block's links between texts that pass both tests, as a forest."""
+def _verified(similarity: float):
+    """A block's links between texts of that similarity, as a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in sorted_runs(batches, ["place", "block_i", "block_j"]):
-            keys, fps = rows.column("key").to_numpy(), rows.column("fp").to_numpy().view(np.uint64)
+            keys = rows.column("key").to_numpy()
             packed = rows.column("shingles")
             links: list[tuple[int, int]] = []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                links += _block_links(keys[lo:hi], fps[lo:hi], [np.frombuffer(packed[int(i)].as_py(), np.uint64) for i in range(lo, hi)], similarity, max_bits)
+                links += _block_links(keys[lo:hi], [np.frombuffer(packed[int(i)].as_py(), np.uint64) for i in range(lo, hi)], similarity)
             if links:
                 a, b = np.array(links, dtype=np.int64).T
                 node, root = local_roots(a, b)
@@ -237,13 +245,13 @@ def _verified(similarity: float, max_bits: int):
     return run
 
 
-def _block_links(keys: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float, max_bits: int) -> list[tuple[int, int]]:
+def _block_links(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that span the block's groups; pairs that earlier links have joined aren't looked at."""
     size = np.array([len(s) for s in sets])
     label, out = np.arange(len(keys)), []
     for i in range(len(keys) - 1):
         rest = np.arange(i + 1, len(keys))
-        rest = rest[(label[rest] != label[i]) & (np.bitwise_count(fps[rest] ^ fps[i]) <= max_bits)]
+        rest = rest[label[rest] != label[i]]
         rest = rest[np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i])]
         for j in rest:
             if label[j] == label[i]:
@@ -285,13 +293,23 @@ def _prefix_size(size, similarity: float):
     return size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
 
 
-def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words: int, chunk: int) -> DataFrame:
-    """Links (a, b) of all pairs of ``texts`` (of, text; copies repeat) with that Jaccard similarity under different ``roots``.
+def _least_shared(small: Column, large: Column, similarity: float) -> Column:
+    """How many shingles the prefixes of two sets of these sizes share at least, if they are of that similarity."""
+    rest = lambda size: F.ceil(F.lit(similarity) * size - F.lit(1e-9)) - 1
+    return F.ceil(F.lit(similarity / (1 + similarity)) * (small + large) - F.lit(1e-9)) - F.greatest(rest(small), rest(large))
+
+
+def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words: int, chunk: int, rounds: int = 3) -> DataFrame:
+    """Links (a, b) that join all pairs of ``texts`` (of, text; copies repeat) with that Jaccard similarity under different ``roots``.
 
     Sets x and y of that similarity have sizes within it and share alpha = similarity / (1 +
     similarity) * (|x| + |y|) shingles at least, of which all but |x| - |prefix of x| (or the
     same of y, whichever prefix ends first) lie in both prefixes. Pairs that share that many
     there are compared whole.
+
+    A large group of near copies would give all its pairs. So at first, in each of ``rounds``
+    rounds, the texts of a shingle are compared with one of them alone, and what proves alike
+    is one group from then on; all pairs are formed only of the groups that are still different.
     """
     common = _common(texts, words)
     order = np.argsort(common)
@@ -321,34 +339,56 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
                 step += 1
                 live = live[rest[live] >= step]
                 x, y = live, live + step
-                small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
                 # two of one chunk meet in all its blocks, and count in its own alone
-                near = (root[x] != root[y]) & (small >= similarity * large - 1e-9) & ((own[x] != own[y]) | (i[x] == j[x]))
+                near = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9) & ((own[x] != own[y]) | (i[x] == j[x]))
                 if near.any():
-                    x, y, small, large = x[near], y[near], small[near], large[near]
-                    alpha = np.ceil(similarity / (1 + similarity) * (small + large) - 1e-9).astype(np.int64)
-                    need = alpha - np.maximum(small - _prefix_size(small, similarity), large - _prefix_size(large, similarity))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[x], key[y])), pa.array(np.maximum(key[x], key[y])), pa.array(need)], names=["a", "b", "need"])
+                    x, y = x[near], y[near]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[x], root[x], size[x], key[y], root[y], size[y])], names=["key", "root", "size", "c_key", "c_root", "c_size"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [[np.frombuffer(s.as_py(), np.uint64) for s in batch.column(c)] for c in ("left", "right")]
             both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], dtype=np.int64)
             of = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], dtype=np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(both >= similarity * (of - both)))
+            yield batch.select(["a", "b", "root_a", "root_b"]).filter(pa.array(both >= similarity * (of - both)))
 
     made = save(texts.mapInArrow(heads, "of long, size long, head binary").dropDuplicates(["of"]))
     rooted = made.join(roots, made["of"] == roots["node"], "left").select("of", F.coalesce("root", "of").alias("root"), "size", "head")
-    rows = rooted.mapInArrow(entries, "shingle long, key long, root long, size long")
-    shared = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
-    rows = save(rows.join(save(shared), "shingle", "left_semi"))
-    met = in_blocks(rows, ["shingle"], "key", chunk).mapInArrow(meet, "a long, b long, need long")
-    pairs = save(met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("a", "b"))
-    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
-    bodies = texts.join(ends, F.col("of") == F.col("end"), "left_semi").dropDuplicates(["of"])
-    sets = save(_with_shingles(bodies, words))
+    rows = save(_live(rooted.mapInArrow(entries, "shingle long, key long, root long, size long")))
+    drop(made)
+    sets = save(_with_shingles(_bodies(texts, rows.select("key").distinct()), words))
     left, right = (sets.select(F.col("of").alias(f"of_{c}"), F.col("shingles").alias(c)) for c in ("left", "right"))
-    found = pairs.join(left, F.col("a") == F.col("of_left")).join(right, F.col("b") == F.col("of_right"))
-    links = save(found.select("a", "b", "left", "right").mapInArrow(whole, "a long, b long"))
-    drop(made, rows, sets)
-    return links
+
+    def alike(met: DataFrame) -> DataFrame:
+        """Of (key, root, size; c_key, c_root, c_size), a row a shared shingle: the pairs that share enough of them and are of the similarity."""
+        a, b = F.col("key") < F.col("c_key"), F.least("size", "c_size")
+        met = met.select(F.least("key", "c_key").alias("a"), F.greatest("key", "c_key").alias("b"), F.when(a, F.col("root")).otherwise(F.col("c_root")).alias("root_a"), F.when(a, F.col("c_root")).otherwise(F.col("root")).alias("root_b"), _least_shared(b, F.greatest("size", "c_size"), similarity).alias("need"))
+        pairs = save(met.groupBy("a", "b", "root_a", "root_b", "need").count().where("count >= need").select("a", "b", "root_a", "root_b"))
+        found = pairs.join(left, F.col("a") == F.col("of_left")).join(right, F.col("b") == F.col("of_right"))
+        out = save(found.select("a", "b", "root_a", "root_b", "left", "right").mapInArrow(whole, "a long, b long, root_a long, root_b long"))
+        drop(pairs)
+        return out
+
+    links = []
+    for turn in range(rounds):
+        centre = rows.groupBy("shingle").agg(F.min_by(F.struct("key", "root", "size"), F.xxhash64("root", F.lit(turn))).alias("c")).select("shingle", F.col("c.key").alias("c_key"), F.col("c.root").alias("c_root"), F.col("c.size").alias("c_size"))
+        near = F.least("size", "c_size") >= F.lit(similarity) * F.greatest("size", "c_size") - F.lit(1e-9)
+        links.append(alike(rows.join(centre, "shingle").where((F.col("root") != F.col("c_root")) & near)))
+        if links[-1].isEmpty():
+            break
+        merged = connected_components(links[-1].select("root_a", "root_b")).select(F.col("node").alias("was"), F.col("root").alias("now"))
+        moved = rows.join(merged, F.col("root") == F.col("was"), "left").select("shingle", "key", F.coalesce("now", "root").alias("root"), "size")
+        old, rows = rows, save(_live(moved))
+        drop(old)
+    links.append(alike(in_blocks(rows, ["shingle"], "key", chunk).mapInArrow(meet, "key long, root long, size long, c_key long, c_root long, c_size long")))
+    drop(rows, sets)
+    out = links[0].select("a", "b")
+    for more in links[1:]:
+        out = out.union(more.select("a", "b"))
+    return out
+
+
+def _live(rows: DataFrame) -> DataFrame:
+    """The rows of shingles that stand under several roots."""
+    shared = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
+    return rows.join(save(shared), "shingle", "left_semi")
