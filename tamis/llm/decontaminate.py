@@ -4,7 +4,8 @@ An item of m characters that occurs in a text with k edits shares m - q + 1 - q
 with the place, and their diagonals (place in the text less place in the item) span k + 1 at
 most. Shared q-grams are therefore counted in overlapping bands of diagonals, each 2 (k + 1) wide
 and k + 1 from the next, so that any such span lies in one; bands that reach the threshold become
-regions, and a banded alignment of the whole item decides. No such occurrence is lost.
+regions, and a banded alignment of the whole item decides. No such occurrence is lost: an item too
+short for that threshold to be positive is looked for by shorter q-grams (of m / (k + 1) characters).
 
 Items are the query set: they are taken in blocks of bounded size, each broadcast as an index of
 q-grams, against all texts.
@@ -20,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from tamis.session import ship
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACE = 32
 PART = 1 << 20  # characters of a text looked at together
 BITS = 22
+HITS = 1 << 20  # shared q-grams, place by place, that are expanded together
 
 _CLASS: list[np.ndarray] = []
 
@@ -111,11 +116,10 @@ class Index:
 
     @classmethod
     def of(cls, rows: list[tuple], q: int, rate: float) -> Index:
-        """``rows``: (id, text). The budget is ``rate`` of an item's characters; fewer where so short an item would share no q-gram for sure."""
-        made = [(i, normalise(t or "")[0]) for i, t in rows]
-        made = [(i, x) for i, x in made if len(x)]
+        """``rows``: (id, code points), of lengths for which q-grams of that size do (or too short for any). The budget is ``rate`` of an item's characters."""
+        made = list(rows)
         size = np.array([len(x) for _, x in made], dtype=np.int64)
-        budget = np.minimum((size * rate).astype(np.int64), np.maximum(0, (size - q) // q))
+        budget = (size * rate).astype(np.int64)
         least = size - q + 1 - q * budget
         hashed = [grams(x, q) for _, x in made]
         owner = np.repeat(np.arange(len(made)), [len(h) for h in hashed])
@@ -129,6 +133,16 @@ class Index:
         return cls([i for i, _ in made], [x for _, x in made], budget, least, np.flatnonzero(size < q).tolist(), hashes, starts, owner[order], place[order], sieve, q)
 
 
+def indexes(rows: list[tuple], q: int, rate: float) -> list[Index]:
+    """The items (id, text) by the size of their q-grams: ``q``, or less where an item with its budget of edits might share none so long."""
+    by_size: dict[int, list[tuple]] = {}
+    for i, text in rows:
+        x = normalise(text or "")[0]
+        if len(x):
+            by_size.setdefault(min(q, max(1, len(x) // (int(len(x) * rate) + 1))) if len(x) >= q else q, []).append((i, x))
+    return [Index.of(some, size, rate) for size, some in sorted(by_size.items())]
+
+
 def align(item: np.ndarray, text: np.ndarray, budget: int, low: int, high: int) -> tuple[int, int] | None:
     """(edits, end) of the best alignment of the whole item within ``text`` on the diagonals low..high; None over the budget.
 
@@ -156,17 +170,18 @@ def align(item: np.ndarray, text: np.ndarray, budget: int, low: int, high: int)
     return int(row[k]), int(diagonals[k] + len(item))
 
 
-def find(text: str, index: Index) -> dict[int, tuple[int, int, int]]:
-    """For each item (by its number) that occurs in the text: (edits, start, end in the text), the fewest edits first, then the first place."""
+def find(text: str, many: list[Index]) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """For each item (by the number of its index and its own) that occurs in the text: (edits, start, end in the text), the fewest edits first, then the first place."""
     cp, at = normalise(text)
-    found: dict[int, tuple[int, int, int]] = {}
-    overlap = 2 * max(map(len, index.items), default=0) + 2
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    overlap = 2 * max((len(x) for index in many for x in index.items), default=0) + 2
     for lo in range(0, max(1, len(cp)), PART):
         part = cp[lo : lo + PART + overlap]
-        for item, edits, start, end in _occurrences(part, index):
-            raw = (edits, int(at[lo + start]), int(at[lo + end - 1]) + 1)
-            if item not in found or raw < found[item]:
-                found[item] = raw
+        for k, index in enumerate(many):
+            for item, edits, start, end in _occurrences(part, index):
+                raw = (edits, int(at[lo + start]), int(at[lo + end - 1]) + 1)
+                if (k, item) not in found or raw < found[k, item]:
+                    found[k, item] = raw
         if lo + PART + overlap >= len(cp):
             break
     return found
@@ -188,13 +203,7 @@ def _occurrences(cp: np.ndarray, index: Index) -> Iterator[tuple[int, int, int,
     maybe, at = maybe[same], at[same]
     if not len(maybe):
         return
-    left, count = index.starts[at], index.starts[at + 1] - index.starts[at]
-    row = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    owner, diagonal = index.owner[row], np.repeat(maybe, count) - index.place[row]
-    step = index.budget[owner] + 1
-    band = np.floor_divide(diagonal, step)
-    key = np.concatenate([(owner << 32) + band + (1 << 24), (owner << 32) + band - 1 + (1 << 24)])
-    bands, shared = np.unique(key, return_counts=True)
+    bands, shared = _shared(maybe, at, index)
     owners = bands >> 32
     good = shared >= index.least[owners]
     regions: dict[int, list[list[int]]] = {}
@@ -214,7 +223,7 @@ def _occurrences(cp: np.ndarray, index: Index) -> Iterator[tuple[int, int, int,
             exact = _whole(text, item, words=False)
             if exact >= 0:
                 yield n, 0, base + exact, base + exact + len(item)
-                continue
+                break  # later diagonals begin later
             got = align(item, text, budget, low - budget - base, high + budget - base)
             if got:
                 edits, end = got
@@ -222,6 +231,42 @@ def _occurrences(cp: np.ndarray, index: Index) -> Iterator[tuple[int, int, int,
                 yield n, edits, base + start, base + end
 
 
+def _shared(places: np.ndarray, at: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(band, q-grams shared in it), by item and diagonal; ``at`` says which q-gram of the index stands at each place.
+
+    Repetitive texts share many places with repetitive items; so hits are expanded a slice at a
+    time, and only counts are held.
+    """
+    count = index.starts[at + 1] - index.starts[at]
+    ends = count.cumsum()
+    bands, shared = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for lo in range(0, int(ends[-1]), HITS):
+        hit = np.arange(lo, min(lo + HITS, int(ends[-1])))
+        which = np.searchsorted(ends, hit, side="right")
+        row = index.starts[at[which]] + hit - (ends[which] - count[which])
+        owner, diagonal = index.owner[row], places[which] - index.place[row]
+        band = np.floor_divide(diagonal, index.budget[owner] + 1)
+        new, n = _counted(owner, band)
+        if not len(bands):
+            bands, shared = new, n
+            continue
+        bands, back = np.unique(np.concatenate([bands, new]), return_inverse=True)
+        shared = np.bincount(back, np.concatenate([shared, n]), len(bands)).astype(np.int64)
+    return bands, shared
+
+
+def _counted(owner: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many hits there are of each item and band, a hit counting in its band and the one before."""
+    first, low = int(owner.min()), int(band.min()) - 1
+    width = int(band.max()) - low + 1
+    if (int(owner.max()) - first + 1) * width > 4 * HITS:
+        return np.unique(np.concatenate([(owner << 32) + band + (1 << 24), (owner << 32) + band - 1 + (1 << 24)]), return_counts=True)
+    key = (owner - first) * width + (band - low)
+    shared = np.bincount(key, minlength=key.max() + 1) + np.append(np.bincount(key - 1, minlength=key.max()), 0)
+    some = np.flatnonzero(shared)
+    return ((some // width + first) << 32) + some % width + low + (1 << 24), shared[some]
+
+
 def _start(item: np.ndarray, text: np.ndarray, edits: int) -> int:
     """Where the alignment that ends with ``text`` begins: the same, read backwards."""
     back = align(item[::-1], text[::-1][: len(item) + edits], edits, -edits, edits) if len(text) else None
@@ -241,7 +286,7 @@ def _whole(cp: np.ndarray, item: np.ndarray, words: bool = True) -> int:
     return -1
 
 
-def _blocks(benchmark: DataFrame, item_col: str, item_text: str, q: int, rate: float, block_chars: int) -> Iterator[Index]:
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, q: int, rate: float, block_chars: int) -> Iterator[list[Index]]:
     """The items' indexes, block by block; each holds about ``block_chars`` characters at most."""
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -249,7 +294,7 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text: str, q: int, rate: f
     for b in range(n):
         rows = sorted(map(tuple, items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b).collect()), key=repr)
         if rows:
-            yield Index.of(rows, q, rate)
+            yield indexes(rows, q, rate)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.1, block_chars: int = 1 << 22) -> DataFrame:
@@ -265,15 +310,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("n_edits", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     spark, out = docs.sparkSession, None
     texts = docs.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull())
-    for index in _blocks(benchmark, item_col, item_text, q, rate, block_chars):
-        told = spark.sparkContext.broadcast(index)
+    ship(spark)
+    for many in _blocks(benchmark, item_col, item_text, q, rate, block_chars):
+        told = spark.sparkContext.broadcast(many)
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [(i, n, *hit) for i, t in enumerate(batch.column(1)) for n, hit in find(t.as_py(), told.value).items()]
                 if rows:
                     doc, item, edits, start, end = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array([told.value.ids[n] for n in item], pa.int64()) if isinstance(schema[1].dataType, T.LongType) else pa.array([told.value.ids[n] for n in item]), *(pa.array(x, pa.int64()) for x in (edits, start, end))], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array([told.value[k].ids[n] for k, n in item], to_arrow_type(schema[1].dataType)), *(pa.array(x, pa.int64()) for x in (edits, start, end))], names=schema.names)
 
         part = texts.mapInArrow(run, schema)
         out = part if out is None else out.unionAll(part)
@@ -283,8 +329,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.1, block_chars: int = 1 << 22) -> DataFrame:
     """The rows of ``docs`` (all columns) in whose text no item occurs; rows with null text stay."""
     spark, out = docs.sparkSession, docs
-    for index in _blocks(benchmark, item_col, item_text, q, rate, block_chars):
-        told = spark.sparkContext.broadcast(index)
+    ship(spark)
+    for many in _blocks(benchmark, item_col, item_text, q, rate, block_chars):
+        told = spark.sparkContext.broadcast(many)
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             for batch in batches:

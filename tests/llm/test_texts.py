@@ -4,6 +4,7 @@ import json
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -72,25 +73,37 @@ def test_decontamination_matches_alignment_of_everything(spark, part, monkeypatc
     words = ["the", "of", "thand", "inger", "blest", "éauou", "whon", "ndre", "ationes", "to"]
     say = lambda n: " ".join(r.choice(words) + r.choice(["", ",", "."]) for _ in range(n))
     items = [(k, say(r.randint(9, 40))) for k in range(12)] + [(50, "tiny"), (51, ""), (52, None), (53, "...")]
-    index = decontaminate.Index.of([x for x in items if x[1]], 8, 0.1)
+    items += [(70, "oh, 1234567"), (71, "to be or not to be"), (72, "whon ndre to the ationes of"), (73, "inger thand blest, ndre of the whon")]
+    many = decontaminate.indexes([x for x in items if x[1]], 8, 0.1)
+    assert {index.q for index in many} >= {5, 8} and all((index.least >= 1).all() or index.short for index in many)
     for _ in range(60):
-        k, t = items[r.randrange(12)]
+        k, t = items[r.choice([*range(12), -1, -2, -3, -4])]
         cut = list(squeezed(t))
         for _ in range(int(len(cut) * r.choice([0, 0.02, 0.06, 0.1, 0.15]))):
             at = r.randrange(len(cut))
             cut[at : at + r.randint(0, 1)] = r.choice(["", "q", "zz"[:1]])
         text = f"{say(60)} {''.join(cut).upper()} {say(60)}"
-        found = decontaminate.find(text, index)
-        for n, i in enumerate(index.ids):
+        found = decontaminate.find(text, many)
+        for (k, n), i in {(k, n): i for k, index in enumerate(many) for n, i in enumerate(index.ids)}.items():
+            index = many[k]
             want = squeezed(dict(items)[i])
             least = edits(want, squeezed(text))
             if len(want) < 8:
-                assert (n in found) == (f" {want} " in f" {squeezed(text)} ")
+                assert ((k, n) in found) == (f" {want} " in f" {squeezed(text)} ")
             else:
-                assert (n in found) == (least <= index.budget[n]), (i, least)
-                if n in found:
-                    assert found[n][0] == least
-                    assert edits(want, squeezed(text[found[n][1] : found[n][2]])) == least
+                assert index.budget[n] == len(want) // 10
+                assert ((k, n) in found) == (least <= index.budget[n]), (i, least)
+                if (k, n) in found:
+                    assert found[k, n][0] == least
+                    assert edits(want, squeezed(text[found[k, n][1] : found[k, n][2]])) == least
+
+
+def test_repetitive_texts_and_items_stay_small():
+    many = decontaminate.indexes([(1, "ha " * 700)], 8, 0.1)
+    tracemalloc.start()
+    found = decontaminate.find("ha " * 20_000, many)
+    assert found == {(0, 0): (0, 0, 2099)} and tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
 
 
 def test_decontamination_tables(spark):
