@@ -12,9 +12,12 @@ _SAVED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset (as in tests)."""
+    """``spark.checkpoint.dir``, or, on one machine only (``local`` masters, as in tests), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tamis-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -27,11 +30,11 @@ def place(spark: SparkSession) -> str:
     return path
 
 
-def save(df: DataFrame) -> DataFrame:
+def save(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` there and read it back: lineage is cut, and the planner knows its size."""
     spark = df.sparkSession
     path = place(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._tamis_path = path
     return out
