@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from tamis.llm import tokens
 from tamis.llm._shared import save, sorted_runs
+from tamis.session import ship
 
 ROUNDS = 6
+PART, MOST_PARTS = 8192, 50_000  # documents in a part of the numbering, and parts at most (larger ones then)
 
 
 def _keys(key: str) -> list[np.uint64]:
@@ -55,7 +57,11 @@ def permute(index: np.ndarray, n: int, key: str, back: bool = False) -> np.ndarr
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, stride: int, end_id: int) -> DataFrame:
-    """(id, piece, start, ids): each text's ids and the end id, cut every ``stride`` ids; ids little-endian, two bytes each."""
+    """(id, piece, start, ids): each text's ids and the end id, cut every ``stride`` ids; ids little-endian, two bytes each.
+
+    The documents are dealt and sorted by a hash of id and text, into a number of parts that
+    follows from their count alone: so the order of the rows does not depend on how the input is split.
+    """
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,16 +82,19 @@ def sequences(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
                 assert len(doc) == 0 or int(last[-1]) == len(ids)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array((piece * stride).astype(np.int64)), data], names=["id", "piece", "start", "ids"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, piece int, start long, ids binary")
+    parts = min(MOST_PARTS, -(-docs.count() // PART) or 1)
+    key = F.xxhash64("id", "text")
+    dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(parts, key).sortWithinPartitions(key, "id")
+    return dealt.mapInArrow(run, f"id {kind}, piece int, start long, ids binary")
 
 
 def in_training_order(made: DataFrame, key: str, per_shard: int) -> DataFrame:
     """A table written by ``save``, with the columns slot and shard: shards whole in a partition, sorted by slot.
 
-    Rows are numbered by file and place in it, which stay as they are once written; the files'
-    counts (a row a file) give where each begins. Only this numbering is windowed.
+    Rows are numbered by part (a file each) and place in it, which stay as they are once written; the
+    parts' counts (a row a part) give where each begins. Only this numbering is windowed.
     """
-    numbered = made.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth"))
+    numbered = made.select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("file"), F.col("_metadata.row_index").alias("nth"))
     files = numbered.groupBy("file").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     files = save(files.coalesce(1).select("file", F.coalesce(before, F.lit(0)).alias("base"), F.col("rows")))
@@ -102,13 +111,16 @@ def in_training_order(made: DataFrame, key: str, per_shard: int) -> DataFrame:
 
 
 def training_order(docs: DataFrame, tokenizer_path: str, key: str = "epoch-0", id_col: str = "doc_id", text_col: str = "text", stride: int = 2048, per_shard: int = 4096, end_id: int = 1) -> DataFrame:
-    """(id, piece, start, ids, slot, shard) for every sequence, ready to be written shard by shard.
+    """(id, piece, start, ids, slot, shard) for every sequence, ready to be written shard by shard; the same for the same documents and key, however they are split into files.
 
     Null texts count as empty (the end id alone). Repeated and null ids keep all their rows, each
     in a slot of its own. Other columns aren't read; an empty table gives no rows. Slots are
     0..n-1 without a gap.
     """
-    return in_training_order(save(sequences(docs, tokenizer_path, id_col, text_col, stride, end_id)), key, per_shard)
+    ship(docs.sparkSession)
+    made = save(sequences(docs, tokenizer_path, id_col, text_col, stride, end_id), compression="zstd")
+    docs.sparkSession._jvm.System.gc()  # so that the cleaner drops the texts' shuffle before the ids' begins
+    return in_training_order(made, key, per_shard)
 
 
 def write_shards(ordered: DataFrame, path: str, stride: int = 2048, per_shard: int = 4096, pad_id: int = 0) -> None:
@@ -116,6 +128,8 @@ def write_shards(ordered: DataFrame, path: str, stride: int = 2048, per_shard: i
 
     Beside them stands what each record holds (id, piece, start, length; arrays in slot order).
     Parquet by Spark's own writer, so that any store will do and a lost task is written again.
+    The shards are in ``path``/shards; ``path``/index says which file holds which shard, so that
+    reading can begin at any slot without opening others.
     """
     kind = dict(ordered.dtypes)["id"]
 
@@ -134,18 +148,27 @@ def write_shards(ordered: DataFrame, path: str, stride: int = 2048, per_shard: i
                 yield pa.RecordBatch.from_arrays([pa.array([int(shard[lo])]), pa.array([int(shard[lo]) * per_shard]), pa.array([int(hi - lo)]), pa.array([data.tobytes()]), *lists], names=["shard", "first_slot", "n", "data", "id", "piece", "start", "length"])
 
     made = ordered.select("shard", "slot", "ids", "id", "piece", "start").mapInArrow(run, f"shard long, first_slot long, n long, data binary, id array<{kind}>, piece array<int>, start array<long>, length array<long>")
-    made.write.option("maxRecordsPerFile", 1).parquet(path)
+    made.write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(f"{path}/shards")
+    written = ordered.sparkSession.read.parquet(f"{path}/shards")
+    written.select("shard", "first_slot", "n", F.col("_metadata.file_path").alias("file")).write.parquet(f"{path}/index")
 
 
-def read_shards(spark: SparkSession, path: str, start: int = 0, stride: int = 2048, per_shard: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, ids with padding) from ``start`` on, a shard at a time."""
-    shards = spark.read.parquet(path)
-    last = shards.agg(F.max("shard")).first()[0]
-    for shard in range(start // per_shard, -1 if last is None else last + 1):
-        row = shards.where(F.col("shard") == shard).first()
-        data = np.frombuffer(row.data, "<u2").reshape(row.n, stride)
-        for slot in range(max(start, row.first_slot), row.first_slot + row.n):
-            yield slot, data[slot - row.first_slot]
+def read_shards(spark: SparkSession, path: str, start: int = 0, stride: int = 2048, ahead: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids with padding) from ``start`` on, a shard at a time; only the files of the shards that are needed are opened, in their order.
+
+    The index is read ``ahead`` shards at a time.
+    """
+    index = spark.read.parquet(f"{path}/index")
+    while True:
+        some = index.where(F.col("first_slot") + F.col("n") > start).orderBy("first_slot").limit(ahead).collect()
+        for told in some:
+            row = spark.read.parquet(told.file).select("first_slot", "n", "data").first()
+            data = np.frombuffer(row.data, "<u2").reshape(row.n, stride)
+            for slot in range(max(start, row.first_slot), row.first_slot + row.n):
+                yield slot, data[slot - row.first_slot]
+            start = row.first_slot + row.n
+        if len(some) < ahead:
+            return
 
 
 def digest(ordered: DataFrame, stride: int, per_shard: int, id_col: str = "doc_id") -> DataFrame:
@@ -163,7 +186,7 @@ def digest(ordered: DataFrame, stride: int, per_shard: int, id_col: str = "doc_i
 
 def digest_shards(spark: SparkSession, path: str, stride: int = 2048, id_col: str = "doc_id") -> DataFrame:
     """The columns of ``digest``, read off the records that ``write_shards`` wrote at ``path``."""
-    shards = spark.read.parquet(path)
+    shards = spark.read.parquet(f"{path}/shards")
     kind = shards.schema["id"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

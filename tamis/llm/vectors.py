@@ -1,8 +1,10 @@
 """Embedding near-dedup: random-hyperplane sign hashing, exact cosines, components.
 
-A vector's signature in a table is the signs of its products with ``bits`` random hyperplanes.
-Vectors at angle t agree on one plane with probability 1 - t / pi, so with 32 tables of 16 planes
-a pair at cosine 0.98 shares no bucket about once in a million (closer pairs far more seldom).
+A vector's signature in a table is the signs of its products with some random hyperplanes: four
+more than the logarithm of the number of vectors, so that buckets of vectors that have nothing in
+common do not grow with the table. Vectors at angle t agree on one plane with probability
+1 - t / pi, and there are as many tables as let a pair at the least cosine miss all of them about
+once in a million (closer pairs far more seldom).
 Vectors of the same label that share a bucket are compared exactly in double precision. Equal
 vectors are one member with a weight, buckets of many members are compared in blocks, a pair is
 counted in the first table that it shares, and a block answers with sums and a forest of links,
@@ -11,6 +13,7 @@ never with all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamis.llm._shared import connected_components, in_blocks, local_roots, save, sorted_runs
+from tamis.session import ship
 
 SEED = 20_240_607
 PAIRS = 1 << 18  # links held before they are reduced to a forest
@@ -31,9 +35,19 @@ def planes(dim: int, tables: int, bits: int) -> np.ndarray:
 
 
 def signatures(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """For each row of ``x`` and each table, the signs as a number of ``bits`` bits (16 at most)."""
-    signs = (x @ planes(x.shape[1], tables, bits) > 0).reshape(len(x), tables, bits)
-    return (signs @ (1 << np.arange(bits))).astype(np.uint16)
+    """For each row of ``x`` and each table, the signs as a number of ``bits`` bits (62 at most)."""
+    normals, weight = planes(x.shape[1], tables, bits), 1 << np.arange(bits, dtype=np.int64)
+    out = np.zeros((len(x), tables), dtype=np.int64)
+    for lo in range(0, len(x), 1024):
+        out[lo : lo + 1024] = (x[lo : lo + 1024] @ normals > 0).reshape(-1, tables, bits) @ weight
+    return out
+
+
+def layout(n: int, least: float, miss: float = 1e-6) -> tuple[int, int]:
+    """(tables, bits) for ``n`` vectors: a pair at cosine ``least`` shares no bucket with probability ``miss`` at most."""
+    bits = min(62, max(16, n.bit_length() + 4))
+    agree = (1 - math.acos(min(1.0, max(-1.0, least))) / math.pi) ** bits
+    return (1, bits) if agree >= 1 else (math.ceil(math.log(miss) / math.log1p(-agree)), bits)
 
 
 def usable(vectors: pa.Array) -> list[bytes | None]:
@@ -58,16 +72,20 @@ def _signed(tables: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = _by_length(batch.column("vector"), lambda x: signatures(x, tables, bits), tables)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["node", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(made)], names=["node", "marks"])
 
     return run
 
 
+def _lists(made: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]), pa.array(made.ravel()))
+
+
 def _by_length(vectors: pa.Array, f, width: int) -> np.ndarray:
     """``f`` over the vectors as a matrix, those of each length together."""
     rows = vectors.to_pylist()
     size = np.array([len(v) for v in rows])
-    out = np.zeros((len(rows), width), dtype=np.uint16)
+    out = np.zeros((len(rows), width), dtype=np.int64)
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
         out[at] = f(np.frombuffer(b"".join(rows[i] for i in at), "<f8").reshape(len(at), n // 8))
@@ -84,7 +102,7 @@ def _compared(least: float):
             x = np.frombuffer(b"".join(v.ljust(8 * width, b"\0") for v in raw), "<f8").reshape(len(raw), width)
             norm = np.sqrt((x * x).sum(axis=1))
             col = {c: rows.column(c).to_numpy() for c in ("node", "place", "turn", "copies", "block_i", "block_j", "block_own")}
-            marks = np.array(rows.column("marks").to_pylist(), dtype=np.uint16)
+            marks = np.concatenate([np.asarray(c.flatten()).reshape(len(c), -1) for c in rows.column("marks").chunks])
             weight = np.zeros(len(raw), dtype=np.int64)
             links, held = [], 0
             rest = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(raw)) - 1
@@ -117,7 +135,7 @@ def _compared(least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, tables: int = 32, bits: int = 16, chunk: int = 512) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, tables: int | None = None, bits: int | None = None, chunk: int = 512) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``vectors``.
 
     Two rows link if their labels are equal (not null), their vectors have as many components, and
@@ -125,8 +143,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     non-finite components link with nothing. ``n_links`` counts the other rows linked directly (copies each),
     ``component_id`` is the smallest id reachable, itself included; ``kept`` marks the row that
     has it. Null ids link like any other and never name a component that holds another id.
-    Other columns aren't read; an empty table gives no rows.
+    Other columns aren't read; an empty table gives no rows. Tables and planes follow from the
+    number of different vectors (``layout``) where they aren't given.
     """
+    ship(vectors.sparkSession)
     doubles = F.col(vector_col).cast("array<double>")
     id_kind = vectors.schema[id_col].dataType
     label_kind = vectors.schema[label_col].dataType
@@ -135,7 +155,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     usable_row = F.col("vector").isNotNull() & F.col("label").isNotNull()
     prepared = save(prepared.withColumn("node", F.when(usable_row, F.xxhash64("label", "vector"))).withColumn("place", F.when(usable_row, F.xxhash64("label", F.length("vector")))))
     members = save(prepared.where("node IS NOT NULL").groupBy("node", "place", "vector").agg(F.count("*").alias("copies"), F.min("id").alias("first")))
-    marks = members.select("node", "vector").mapInArrow(_signed(tables, bits), "node long, marks array<int>")
+    wanted = layout(members.count(), least)
+    tables, bits = tables or wanted[0], bits or wanted[1]
+    marks = members.select("node", "vector").mapInArrow(_signed(tables, bits), "node long, marks array<long>")
     marked = save(marks)
     named = members.select("node", "place")
     turns = marked.join(named, "node").select("node", F.posexplode("marks").alias("turn", "mark"), "place").select("node", F.xxhash64("place", "turn", "mark").alias("bucket"), "turn")

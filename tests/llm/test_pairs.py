@@ -198,7 +198,10 @@ def test_recall_of_the_tables_near_the_threshold():
     side -= (side * a).sum(1)[:, None] * a
     side /= np.linalg.norm(side, axis=1)[:, None]
     b = 0.98 * a + np.sqrt(1 - 0.98**2) * side
-    assert (vectors.signatures(a, 32, 16) == vectors.signatures(b, 32, 16)).any(axis=1).mean() >= 0.999
+    for n in (0, 1, 5_000, 50_000):
+        tables, bits = vectors.layout(n, 0.98)
+        assert (vectors.signatures(a, tables, bits) == vectors.signatures(b, tables, bits)).any(axis=1).mean() >= 0.999
+    assert vectors.layout(10**9, 0.98)[1] == 34 and vectors.layout(10**9, 0.98)[0] < 160  # more planes, so that buckets stay small
 
 
 def test_near_dedup_finds_copies_of_any_distance_in_bits(spark):

@@ -173,7 +173,7 @@ def test_the_permutation_is_one(n):
     assert n < 100 or (slots != shards.permute(np.arange(n), n, "other")).mean() > 0.9
 
 
-def test_shards_read_back_in_slot_order(spark, library, tmp_path):
+def test_shards_read_back_in_slot_order(spark, library, tmp_path, monkeypatch):
     rows = [(i, t) for i, t in enumerate(odd_texts(120))] + [(3, "again"), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit(1))
     ordered = shards.training_order(df, vocabulary(), "run", stride=16, per_shard=10)
@@ -181,12 +181,18 @@ def test_shards_read_back_in_slot_order(spark, library, tmp_path):
     shards.write_shards(ordered, path, stride=16, per_shard=10)
     table = {r.slot: (r.id, r.piece, bytes(r.ids)) for r in ordered.collect()}
     assert sorted(table) == list(range(len(table)))
-    read = list(shards.read_shards(spark, path, 0, 16, 10))
+    read = list(shards.read_shards(spark, path, 0, 16, ahead=3))
     assert [s for s, _ in read] == list(range(len(table)))
     for slot, data in read:
         ids = np.frombuffer(table[slot][2], "<u2")
         assert data[: len(ids)].tolist() == ids.tolist() and not data[len(ids) :].any()
-    assert [s for s, _ in shards.read_shards(spark, path, 17, 16, 10)] == list(range(17, len(table)))
+    assert [s for s, _ in shards.read_shards(spark, path, 17, 16)] == list(range(17, len(table)))
+    opened = []
+    real = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, p: (opened.append(p), real(self, p))[1])
+    last = len(table) - 1
+    assert [s for s, _ in shards.read_shards(spark, path, last, 16)] == [last]
+    assert len(opened) == 2  # the index and one shard
     pieces = {}
     for doc, piece, ids in table.values():
         pieces.setdefault(doc, {})[piece] = np.frombuffer(ids, "<u2").tolist()
@@ -197,6 +203,15 @@ def test_shards_read_back_in_slot_order(spark, library, tmp_path):
     assert places == {(s // 10, s % 10 * 32) for s in table}
 
 
+def test_the_order_follows_from_documents_and_key_alone(spark, monkeypatch):
+    monkeypatch.setattr(shards, "PART", 20)
+    rows = [(i % 70, f"text {i} " * (i % 9)) for i in range(90)] + [(None, None), (5, "x"), (5, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda d: [(r.slot, r.id, r.piece, bytes(r.ids)) for r in sorted(shards.training_order(d, vocabulary(), "k", stride=8, per_shard=10).collect(), key=lambda r: r.slot)]
+    one = order(df.repartition(1))
+    assert one == order(df.repartition(7).orderBy(F.desc("text"))) and [r[0] for r in one] == list(range(len(one)))
+
+
 def test_the_query_writes_shards_and_reads_its_digest_off_them(spark, tmp_path, monkeypatch):
     from tamis.llm import registry
 
@@ -207,10 +222,10 @@ def test_the_query_writes_shards_and_reads_its_digest_off_them(spark, tmp_path,
     got = registry.QUERIES["op8_training_order"](spark, str(tmp_path))
     (ordered, path), = written
     assert sorted(map(repr, got.collect())) == sorted(map(repr, shards.digest(ordered, 2048, 4096).collect()))
-    assert [(r.shard, r.first_slot, r.n, len(r.data)) for r in spark.read.parquet(path).collect()] == [(0, 0, ordered.count(), ordered.count() * 2048 * 2)]
+    assert [(r.shard, r.first_slot, r.n, len(r.data)) for r in spark.read.parquet(f"{path}/shards").collect()] == [(0, 0, ordered.count(), ordered.count() * 2048 * 2)]
     # of several shards, and with a record whose last id is the padding's
     ordered = shards.training_order(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary(), "run", stride=16, per_shard=10, end_id=0)
     write(ordered, str(tmp_path / "small"), stride=16, per_shard=10)
     small = shards.digest_shards(spark, str(tmp_path / "small"), stride=16)
     assert sorted(map(repr, small.collect())) == sorted(map(repr, shards.digest(ordered, 16, 10).collect()))
-    assert spark.read.parquet(str(tmp_path / "small")).count() == -(-ordered.count() // 10)
+    assert spark.read.parquet(str(tmp_path / "small" / "shards")).count() == -(-ordered.count() // 10)
