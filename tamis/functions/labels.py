@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 LEVELS = (3, 4, 5, 6, 7)
 #: Canonical licences and the versions accepted of each. Fixed values.
 LICENCE_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
-#: Hosts that each provider's files may come from. Fixed values.
-PROVIDER_HOSTS = {"wikimedia": ("upload.wikimedia.org",), "openverse": ("live.staticflickr.com", "upload.wikimedia.org")}
+#: Hosts that each provider's files may come from (with a leading dot: its subdomains); an index of others' files has no list. Fixed values.
+PROVIDER_HOSTS = {"wikimedia": ("upload.wikimedia.org",), "open-images": ("storage.googleapis.com", ".staticflickr.com"), "nutrition5k": ("storage.googleapis.com",), "openverse": None}
 
 
 def valid_level(value: Column) -> Column:
@@ -75,12 +77,16 @@ def licence_from_url(url: Column) -> Column:
 
 
 def safe_download(url: Column, provider: Column) -> Column:
-    """https, no user in the address, and a host of the provider's; false for null."""
-    host = F.try_parse_url(url, F.lit("HOST"))
+    """https, no user or password in the address, and a host of the provider's, in any case; false for null and unknown providers."""
+    authority = F.regexp_extract(url, r"(?i)^https://([^/?#]*)", 1)
+    host = F.lower(F.regexp_replace(F.regexp_extract(authority, "([^@]*)$", 1), r":\d*$", ""))
     fits = F.lit(False)
     for name, hosts in PROVIDER_HOSTS.items():
-        fits = fits | ((provider == name) & host.isin(*hosts))
-    return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.try_parse_url(url, F.lit("USERINFO")).isNull() & fits, F.lit(False))
+        own = F.lit(hosts is None)
+        for h in hosts or ():
+            own = own | (host.endswith(h) if h.startswith(".") else host == h)
+        fits = fits | ((provider == name) & own)
+    return F.coalesce((host != "") & ~F.regexp_extract(authority, "^(.*)@", 1).rlike("[^:]") & fits, F.lit(False))
 
 
 def lenient_bool(value: Column) -> Column:
@@ -93,14 +99,64 @@ def strict_number(value: Column) -> Column:
     return F.when(F.btrim(value).rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$"), value.try_cast("double"))
 
 
+def longest_object(text: str | None) -> str | None:
+    """A text that begins with a brace and breaks off, cut at its last comma from which on a closing brace makes it an object.
+
+    One scan finds the commas between the object's own members; since a cut at any of them parses
+    if a later one does, the last that parses is found by halving.
+    """
+    if text is None:
+        return None
+    ends, depth, quoted, at = [], 0, False, 0
+    while at < len(text):
+        c = text[at]
+        if quoted:
+            if c == "\\":
+                at += 1
+            quoted = c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            depth += 1
+        elif c in "}]":
+            depth -= 1
+        elif c == "," and depth == 1:
+            ends.append(at)
+        at += 1
+    ends.append(len(text))
+
+    def parses(k: int) -> bool:
+        try:
+            json.loads(text[: ends[k]] + "}", parse_constant=_refuse)
+        except (ValueError, RecursionError):
+            return False
+        return True
+
+    low, high = -1, len(ends) - 1  # low parses, or is before the first
+    while low < high:
+        middle = (low + high + 1) // 2
+        if parses(middle):
+            low = middle
+        else:
+            high = middle - 1
+    return None if low < 0 else text[: ends[low]] + "}"
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
+
 def json_from_text(text: Column) -> Column:
-    """The object between the first and the last brace of a text that may be fenced; if it doesn't parse, cut at its last comma that makes it parse."""
-    body = F.regexp_extract(F.regexp_replace(text, r"```(?:json)?", ""), r"(?s)\{.*\}", 0)
-    opened = F.regexp_extract(F.regexp_replace(text, r"```(?:json)?", ""), r"(?s)\{.*", 0)
+    """The object between the first and the last brace of a text that may be fenced; if it doesn't parse, cut at its last comma that makes it parse.
+
+    Whole objects are found in the JVM; only broken ones go to Python, in Arrow batches.
+    """
+    plain = F.regexp_replace(text, r"```(?:json)?", "")
+    body, opened = F.regexp_extract(plain, r"(?s)\{.*\}", 0), F.regexp_extract(plain, r"(?s)\{.*", 0)
     parses = lambda x: F.try_parse_json(x).isNotNull() & (x != "")
-    parts = F.split(opened, ",")
-    cuts = F.transform(F.reverse(F.sequence(F.lit(1), F.size(parts))), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), ","), F.lit("}")))
-    return F.when(parses(body), body).otherwise(F.get(F.filter(cuts, parses), F.lit(0)))
+    cut = F.pandas_udf(lambda many: many.map(longest_object, na_action="ignore"), "string")
+    broken = cut(F.when((opened != "") & ~parses(body), opened))
+    return F.when(parses(body), body).when(parses(broken), broken)
 
 
 def weak_level(flow: Column, smooth: Column, particles: Column, pieces: Column, mm: Column) -> Column:
@@ -133,7 +189,8 @@ def iso_datetime(text: Column) -> Column:
 
 def keyword_family(text: Column, families: dict[str, list[str]]) -> Column:
     """The one family whose words (whole, with an optional plural s) occur; ``uninformative`` for none, ``ambiguous`` for several."""
-    hit = F.filter(F.array(*(F.when(text.rlike(rf"(?i)\b({'|'.join(words)})s?\b"), F.lit(name)) for name, words in families.items())), lambda x: x.isNotNull())
+    edge = r"[^\p{L}\p{N}_]"  # letters of any script make words
+    hit = F.filter(F.array(*(F.when(text.rlike(rf"(?i)(^|{edge})({'|'.join(words)})s?($|{edge})"), F.lit(name)) for name, words in families.items())), lambda x: x.isNotNull())
     return F.when(F.size(hit) == 1, F.get(hit, F.lit(0))).when(F.size(hit) == 0, "uninformative").otherwise("ambiguous")
 
 

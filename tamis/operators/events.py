@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis import tables
 from tamis.functions.labels import clamp_confidence, event_id
 
 
@@ -46,8 +47,9 @@ def with_path_prefix(events: DataFrame, prefix: Column) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: str, pattern: str = "EV-%04d") -> DataFrame:
-    """Adds ``number``, the row's place in order by the pattern. The window is over the whole table: for the few rows of a specimen list."""
-    return rows.withColumn("number", F.format_string(pattern, F.row_number().over(Window.partitionBy().orderBy(order))))
+    """Adds ``number``, the row's place in order (from 1) by the pattern."""
+    placed = tables.numbered(rows, [order], "nth_")
+    return placed.select(*rows.columns, F.format_string(pattern, F.col("nth_") + 1).alias("number"))
 
 
 def flat_manifest(events: DataFrame, keys: list[str]) -> DataFrame:

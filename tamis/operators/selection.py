@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,28 +132,47 @@ def marginal_cuts(d: DataFrame, classes: int = 5) -> list[float]:
     return list(cuts)
 
 
-def recall_grid_cuts(d: DataFrame, points: int = 6, classes: int = 5) -> DataFrame:
+def recall_grid_cuts(d: DataFrame, points: int = 20, classes: int = 5) -> DataFrame:
     """(cut1..cut4, macro_recall): the first combination, in the grid's order, of the highest macro recall.
 
     A row's level under any cuts follows from how many grid points each of its survival values
-    exceeds, so rows are first counted by these (a bounded table), and the grid meets the counts.
+    exceeds, so rows are first counted by these: a table of classes x (points + 1)^4 rows at most,
+    which one task sums up along each cut; a combination's hits are then sums over few boxes.
     """
+    cuts = classes - 1
     grid = [(k + 1) / (points + 1) for k in range(points)]
 
     def exceeded(k: int) -> Column:
         return F.size(F.filter(F.array(*map(F.lit, grid)), lambda g: F.get("surv", F.lit(k)) > g)).alias(f"o{k}")
 
-    over = [exceeded(k) for k in range(classes - 1)]
+    over = [exceeded(k) for k in range(cuts)]
     cells = d.groupBy("label", *over).agg(F.count("*").alias("n"))
-    spark = d.sparkSession
-    combos = spark.range(points ** (classes - 1))
-    for k in range(classes - 1):
-        combos = combos.withColumn(f"c{k}", (F.floor(F.col("id") / points ** (classes - 2 - k)) % points).cast("int"))
-    level = sum(((F.col(f"o{k}") > F.col(f"c{k}")).cast("int") for k in range(classes - 1)), F.lit(0))
-    hits = combos.crossJoin(F.broadcast(cells)).groupBy("id", "label").agg((F.sum(F.when(level == F.col("label"), F.col("n")).otherwise(0)) / F.sum("n")).alias("r"))
-    best = hits.groupBy("id").agg(F.round(F.avg("r"), 12).alias("macro_recall")).agg(F.max_by(F.struct("id", "macro_recall"), F.struct("macro_recall", -F.col("id"))).alias("x")).select("x.*")
-    cut = lambda k: F.element_at(F.array(*map(F.lit, grid)), (F.floor(F.col("id") / points ** (classes - 2 - k)) % points + 1).cast("int"))
-    return best.select(*(cut(k).alias(f"cut{k + 1}") for k in range(classes - 1)), "macro_recall")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches))
+        if not len(rows):
+            return
+        at = rows[[f"o{k}" for k in range(cuts)]].to_numpy()
+        recalls = []
+        for label, some in rows.groupby("label"):
+            count = np.zeros((points + 1,) * cuts)
+            which = (rows["label"] == label).to_numpy()
+            np.add.at(count, tuple(at[which].T), some["n"].to_numpy())
+            hits = np.zeros((points,) * cuts)
+            for above in product((False, True), repeat=cuts):  # which cuts are exceeded
+                if sum(above) == label:
+                    box = count
+                    for k, more in enumerate(above):
+                        upto = box.cumsum(axis=k)
+                        low = np.take(upto, range(points), axis=k)  # of rows that exceed c points at most: not cut c
+                        box = np.take(upto, [points], axis=k) - low if more else low
+                    hits += box
+            recalls.append(hits / some["n"].sum())
+        macro = np.mean(recalls, axis=0).round(12)
+        first = np.unravel_index(int(macro.argmax()), macro.shape)
+        yield pd.DataFrame([[*(grid[c] for c in first), float(macro[first])]], columns=[*(f"cut{k + 1}" for k in range(cuts)), "macro_recall"])
+
+    return cells.coalesce(1).mapInPandas(best, ", ".join(f"cut{k + 1} double" for k in range(cuts)) + ", macro_recall double")
 
 
 def rank_runs(m: DataFrame, run: str = "seed") -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.labels import unit_hash
 from tamis.operators.components import group_by_shared_fields
+from tamis.tables import numbered_within
 
 
 def hash_split(rows: DataFrame, id_col: str, fields: list[str], seed: str, test: float, val: float, synthetic: Column | None = None) -> DataFrame:
@@ -47,19 +48,20 @@ def stratified_split(groups: DataFrame, group: str, label: str, seed: str, test:
     val from two groups on and to test from three on, and one always stays in train.
     """
     key = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")), 256)
-    w = Window.partitionBy(label).orderBy(key, group)
-    n = F.count("*").over(Window.partitionBy(label))
+    placed = numbered_within(groups.select(group, label, key.alias("key_")), label, ["key_", group], "nth_", "n_")
+    n = F.col("n_")
     least = lambda share, of: F.greatest(F.bround(n * share).cast("int"), F.when(n >= of, 1).otherwise(0))
     n_test = F.least(least(test, 3), F.greatest(n - 2, F.lit(0)))
     n_val = F.least(least(val, 2), F.greatest(n - n_test - 1, F.lit(0)))
-    nth = F.row_number().over(w)
-    return groups.select(group, label, F.when(nth <= n_test, "test").when(nth <= n_test + n_val, "val").otherwise("train").alias("split"))
+    nth = F.col("nth_") + 1
+    return placed.select(group, label, F.when(nth <= n_test, "test").when(nth <= n_test + n_val, "val").otherwise("train").alias("split"))
 
 
 def fold_of(rows: DataFrame, id_col: str, label: str, seed: str, k: int) -> DataFrame:
     """(id, label, fold): round-robin within each label in a keyed hash's order."""
     key = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")), 256)
-    return rows.select(id_col, label, ((F.row_number().over(Window.partitionBy(label).orderBy(key, id_col)) - 1) % k).alias("fold"))
+    placed = numbered_within(rows.select(id_col, label, key.alias("key_")), label, ["key_", id_col], "nth_", "n_")
+    return placed.select(id_col, label, (F.col("nth_") % k).cast("int").alias("fold"))
 
 
 def balanced_split(groups: DataFrame, group: str, size: str, label: str, targets: dict[str, float], seed: str, slack: int = 40) -> DataFrame:

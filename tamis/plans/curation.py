@@ -27,12 +27,12 @@ def first_texts(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.exact_first(table(spark, sf, "documents"), "doc_id", F.col("text")).select("doc_id")
 
 
-@query("""WITH d AS (SELECT doc_id, md5(text) AS k1, trim(regexp_replace(lower(text[1:40]), '[^0-9a-z一-鿿]+', ' ', 'g')) AS k2 FROM documents),
+@query("""WITH d AS (SELECT doc_id, md5(text) AS k1, trim(regexp_replace(lower(text), '[^0-9a-z一-鿿]+', ' ', 'g')) AS k2 FROM documents),
 a AS (SELECT *, row_number() OVER (PARTITION BY k1 ORDER BY doc_id) AS r FROM d), b AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN k2 = '' THEN doc_id::VARCHAR || '#' ELSE k2 END ORDER BY doc_id) AS q FROM a WHERE r = 1)
-SELECT doc_id, k2 AS prompt FROM b WHERE q = 1""")
+SELECT doc_id, md5(k2) AS prompt_md5 FROM b WHERE q = 1""")
 def first_wins_chain(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("k1"), normalise_prompt(F.substring("text", 1, 40)).alias("prompt"))
-    return dedup.first_occurrences(d, "doc_id", "k1", "prompt").select("doc_id", "prompt")
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("k1"), normalise_prompt(F.col("text")).alias("prompt"))
+    return dedup.first_occurrences(d, "doc_id", "k1", "prompt").select("doc_id", F.md5("prompt").alias("prompt_md5"))
 
 
 @query("WITH d AS (SELECT doc_id, md5(text) AS k, min(doc_id) OVER (PARTITION BY text) AS f FROM documents) SELECT k AS text_md5, doc_id, f AS first_line FROM d WHERE doc_id > f")

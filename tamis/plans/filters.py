@@ -66,11 +66,16 @@ def counted_drops(spark: SparkSession, sf: str) -> DataFrame:
     return rules.counted_drops(_licensed(spark, sf), _rungs())
 
 
-@query(r"""SELECT page_id, coalesce(regexp_extract(url, '^([a-z]+)://', 1) = 'https' AND regexp_extract(url, '://([^/?#]*)', 1) IN ('upload.wikimedia.org', 'live.staticflickr.com'), false) AS safe,
-regexp_extract(url, '://([^/?#]*)', 1) AS host, nullif(regexp_extract(url, '/licenses/by/([^/]+)', 1), '') IS NOT NULL AS by_licence FROM pages""")
+FILE_HOSTS = ("Upload.WikiMedia.org", "live.staticflickr.com", "storage.googleapis.com:443", "museum.example.org", "me@upload.wikimedia.org", "staticflickr.com.example.net")
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) = 'https' AS https, {_sql_pick(FILE_HOSTS, 'page_id')} AS host, nullif(regexp_extract(url, '/licenses/by/([^/]+)', 1), '') IS NOT NULL AS by_licence FROM pages)
+SELECT page_id, host, https AND host = 'Upload.WikiMedia.org' AS wikimedia, https AND host IN ('live.staticflickr.com', 'storage.googleapis.com:443') AS open_images, https AND host = 'storage.googleapis.com:443' AS nutrition5k, https AND host NOT LIKE '%@%' AS openverse, false AS unknown, by_licence FROM p""")
 def download_hosts(spark: SparkSession, sf: str) -> DataFrame:
-    u = F.col("url")
-    return table(spark, sf, "pages").select("page_id", lb.safe_download(u, F.lit("openverse")).alias("safe"), F.parse_url(u, F.lit("HOST")).alias("host"), lb.licence_from_url(u).isNotNull().alias("by_licence"))
+    host = _pick(FILE_HOSTS, F.col("page_id"))
+    at = F.concat(F.regexp_extract("url", "^([a-z]+://)", 1), host, F.lit("/file.jpg"))
+    safe = lambda provider: lb.safe_download(at, F.lit(provider)).alias(provider.replace("-", "_"))
+    return table(spark, sf, "pages").select("page_id", host.alias("host"), *map(safe, ("wikimedia", "open-images", "nutrition5k", "openverse", "unknown")), lb.licence_from_url(F.col("url")).isNotNull().alias("by_licence"))
 
 
 EVENT_SCHEMA = {

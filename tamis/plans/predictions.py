@@ -320,12 +320,12 @@ def marginal_cuts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _over(k: int) -> str:
-    return f"len(list_filter([{', '.join(f'{g + 1}/7::DOUBLE' for g in range(6))}], lambda g: surv[{k + 1}] > g)) AS o{k}"
+    return f"len(list_filter([{', '.join(f'{g + 1}/21::DOUBLE' for g in range(20))}], lambda g: surv[{k + 1}] > g)) AS o{k}"
 
 
-@query(PRED + f""", c AS (SELECT label, {', '.join(map(_over, range(4)))}, count(*) AS n FROM dec GROUP BY ALL), g AS (SELECT id, (id // 216) % 6 AS a, (id // 36) % 6 AS b, (id // 6) % 6 AS c, id % 6 AS d FROM (SELECT unnest(range(1296)) AS id)),
+@query(PRED + f""", c AS (SELECT label, {', '.join(map(_over, range(4)))}, count(*) AS n FROM dec GROUP BY ALL), g AS (SELECT id, (id // 8000) % 20 AS a, (id // 400) % 20 AS b, (id // 20) % 20 AS c, id % 20 AS d FROM (SELECT unnest(range(160000)) AS id)),
 h AS (SELECT id, a, b, g.c AS c2, d, label, sum(CASE WHEN (o0 > a)::INT + (o1 > b)::INT + (o2 > g.c)::INT + (o3 > d)::INT = label THEN n ELSE 0 END) / sum(n) AS rc FROM g, c GROUP BY ALL), m AS (SELECT id, a, b, c2, d, round(avg(rc), 12) AS mr FROM h GROUP BY ALL)
-SELECT round((a + 1)/7, 6) AS cut1, round((b + 1)/7, 6) AS cut2, round((c2 + 1)/7, 6) AS cut3, round((d + 1)/7, 6) AS cut4, round(mr, 6) AS macro_recall FROM m ORDER BY mr DESC, id LIMIT 1""")
+SELECT round((a + 1)/21, 6) AS cut1, round((b + 1)/21, 6) AS cut2, round((c2 + 1)/21, 6) AS cut3, round((d + 1)/21, 6) AS cut4, round(mr, 6) AS macro_recall FROM m ORDER BY mr DESC, id LIMIT 1""")
 def recall_grid_cuts(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(selection.recall_grid_cuts(decoded_predictions(spark, sf)))
 

@@ -29,12 +29,12 @@ def accepted_by_group(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(j.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("accepted"), F.count_if(F.col("quality") == 0).alias("rejected"), F.count("*").alias("n"), F.avg(F.col("quality").cast("double")).alias("rate")))
 
 
-@query("""WITH g AS (SELECT n_nationkey, b.p_brand FROM nation, (SELECT DISTINCT p_brand FROM part) b), s AS (SELECT DISTINCT s_nationkey AS n_nationkey, p_brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 0)
+@query("""WITH g AS (SELECT n_nationkey, b.p_brand FROM nation, (SELECT DISTINCT p_brand FROM part) b), s AS (SELECT DISTINCT s_nationkey AS n_nationkey, p_brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)
 SELECT g.n_nationkey, g.p_brand, 'missing' AS side FROM g LEFT JOIN s USING (n_nationkey, p_brand) WHERE s.p_brand IS NULL""")
 def absent_cells(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda n: table(spark, sf, n)
     grid = t("nation").select("n_nationkey").crossJoin(F.broadcast(t("part").select("p_brand").distinct()))  # two dimensions
-    seen = t("lineitem").where("l_orderkey % 50 = 0").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("s_nationkey").alias("n_nationkey"), "p_brand").distinct()
+    seen = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("s_nationkey").alias("n_nationkey"), "p_brand").distinct()
     return audits.absent_cells(grid, seen, ["n_nationkey", "p_brand"])
 
 
@@ -96,9 +96,9 @@ def relabelled(spark: SparkSession, sf: str) -> DataFrame:
     return audits.relabelled(d, table(spark, sf, "labels"), "doc_id", "quality")
 
 
-@query("SELECT l_orderkey, l_linenumber, 'l_tax' AS metric, l_tax AS value FROM lineitem WHERE l_orderkey < 500 UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', l_discount FROM lineitem WHERE l_orderkey < 500")
+@query("SELECT l_orderkey, l_linenumber, 'l_tax' AS metric, l_tax AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', l_discount FROM lineitem")
 def long_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return audits.long_form(table(spark, sf, "lineitem").where("l_orderkey < 500").select("l_orderkey", "l_linenumber", "l_tax", "l_discount"), ["l_orderkey", "l_linenumber"], ["l_tax", "l_discount"])
+    return audits.long_form(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", "l_discount"), ["l_orderkey", "l_linenumber"], ["l_tax", "l_discount"])
 
 
 @query("""WITH s AS (SELECT p_type, arg_max(p_partkey, {'a': p_size, 'b': -p_partkey}) AS largest, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part WHERE p_retailprice > 950 GROUP BY 1) SELECT * FROM s""")
@@ -113,11 +113,10 @@ def top_three(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.row_number().over(w).alias("rank")).where("rank <= 3")
 
 
-@query("""WITH t AS (SELECT 'a' AS tag, doc_id AS id, lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'b', doc_id, source FROM documents WHERE doc_id % 3 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tag) AS n FROM t) SELECT tag, id, lang AS value FROM k WHERE n = 1""")
+@query("""WITH t AS (SELECT 'a' AS tag, doc_id AS id, quality::VARCHAR AS lang FROM labels UNION ALL SELECT 'b', doc_id, lang FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tag) AS n FROM t) SELECT tag, id, lang AS value FROM k WHERE n = 1""")
 def tagged_union(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    a = d.where("doc_id % 2 = 0").select(F.lit("a").alias("tag"), F.col("doc_id").alias("id"), F.col("lang").alias("value"))
-    b = d.where("doc_id % 3 = 0").select(F.lit("b").alias("tag"), F.col("doc_id").alias("id"), F.col("source").alias("value"))
+    a = table(spark, sf, "labels").select(F.lit("a").alias("tag"), F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("value"))
+    b = table(spark, sf, "documents").select(F.lit("b").alias("tag"), F.col("doc_id").alias("id"), F.col("lang").alias("value"))
     return ordered.first_by(a.unionByName(b), ["id"], [F.col("tag")])
 
 

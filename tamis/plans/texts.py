@@ -10,11 +10,13 @@ from tamis.operators import ordered, textual
 from tamis.plans.registry import query, table
 
 FAMILIES = {"article": ["the", "das", "la"], "link": ["and", "und", "et"], "place": ["from", "von", "dans"]}
-LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE NOT contains(text, chr(13)))"
+#: Lines end at a line feed, a carriage return or both.
+ENDED = "replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+LINES = f"WITH l AS (SELECT doc_id, unnest(string_split({ENDED}, chr(10))) AS line, unnest(range(len(string_split({ENDED}, chr(10))))) AS line_no FROM documents)"
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return textual.lines_of(table(spark, sf, "documents").where("NOT contains(text, '\r')"), "doc_id", "text")
+    return textual.lines_of(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query(LINES + " SELECT doc_id, line_no, md5(line) AS line_md5 FROM l")
@@ -22,10 +24,15 @@ def text_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line_md5"))
 
 
-@query("SELECT doc_id, CASE WHEN a + b + c = 0 THEN 'uninformative' WHEN a + b + c > 1 THEN 'ambiguous' WHEN a = 1 THEN 'article' WHEN b = 1 THEN 'link' ELSE 'place' END AS family, CASE WHEN contains(lower(t), 'tion') THEN 'ending' WHEN contains(lower(t), 'th') THEN 'digraph' ELSE 'other' END AS structure FROM (SELECT doc_id, text[1:60] AS t, regexp_matches(text[1:60], '(?i)\\b(the|das|la)s?\\b')::INT AS a, regexp_matches(text[1:60], '(?i)\\b(and|und|et)s?\\b')::INT AS b, regexp_matches(text[1:60], '(?i)\\b(from|von|dans)s?\\b')::INT AS c FROM documents WHERE lang = 'en')")
+def _word(words: list[str]) -> str:
+    return rf"regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])({'|'.join(words)})s?($|[^\p{{L}}\p{{N}}_])')::INT"
+
+
+@query(f"""SELECT doc_id, CASE WHEN a + b + c = 0 THEN 'uninformative' WHEN a + b + c > 1 THEN 'ambiguous' WHEN a = 1 THEN 'article' WHEN b = 1 THEN 'link' ELSE 'place' END AS family, CASE WHEN contains(lower(text), 'tion') THEN 'ending' WHEN contains(lower(text), 'th') THEN 'digraph' ELSE 'other' END AS structure
+FROM (SELECT doc_id, text, {_word(FAMILIES['article'])} AS a, {_word(FAMILIES['link'])} AS b, {_word(FAMILIES['place'])} AS c FROM documents)""")
 def keyword_families(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.substring("text", 1, 60)
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", keyword_family(t, FAMILIES).alias("family"), structural_family(t, [("tion", "ending"), ("th", "digraph")]).alias("structure"))
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", keyword_family(t, FAMILIES).alias("family"), structural_family(t, [("tion", "ending"), ("th", "digraph")]).alias("structure"))
 
 
 @query(LINES + ", s AS (SELECT doc_id, line_no, line, CASE WHEN regexp_matches(line, '^(Th|An)') THEN line[1:2] END AS h FROM l) SELECT doc_id, line_no, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), '-') AS section FROM s")
@@ -38,11 +45,11 @@ def metric_markers(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.near_marker(_lines(spark, sf), "doc_id", "line_no", "line", "from", "with", 2).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "marked")
 
 
-@query("""WITH t AS (SELECT doc_id, replace(text, '. ', chr(10) || chr(10)) AS t FROM documents WHERE NOT contains(text, chr(13))), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS line_no FROM t),
+@query(f"WITH t AS (SELECT doc_id, replace({ENDED}, '. ', chr(10) || chr(10)) AS t FROM documents)," + """ l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS line_no FROM t),
 m AS (SELECT *, trim(line) = '' AS blank, coalesce(trim(lag(line) OVER w) = '', true) AS before, regexp_matches(line, '^\\s*([-*+]|[0-9]+\\.)\\s') AS op FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), p AS (SELECT *, sum((NOT blank AND (before OR op))::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS paragraph FROM m)
 SELECT doc_id, paragraph, min(line_no) AS first_line, count(*) AS n_lines, md5(string_agg(trim(line), ' ' ORDER BY line_no)) AS body_md5 FROM p WHERE NOT blank GROUP BY doc_id, paragraph""")
 def text_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("NOT contains(text, '\r')").select("doc_id", F.replace("text", F.lit(". "), F.lit("\n\n")).alias("text"))
+    d = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit("\n\n")).alias("text"))
     p = ordered.paragraphs(textual.lines_of(d, "doc_id", "text"), "doc_id", "line_no", "line")
     return p.select("doc_id", "paragraph", F.col("first_line").cast("long").alias("first_line"), "n_lines", F.md5("body").alias("body_md5"))
 

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _SAVED: list[tuple[SparkSession, str]] = []
 
@@ -40,6 +41,26 @@ def save(df: DataFrame, compression: str | None = None) -> DataFrame:
     return out
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows``, saved in order, with their places from 0 on as ``name`` (a long).
+
+    Ranges of the order are sorted and written, a file each; places follow from the files' counts
+    (a row a file) and the rows' places in them, so that no task sees more than its range.
+    """
+    made = save(rows.orderBy(*order))
+    placed = made.select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("file_"), F.col("_metadata.row_index").alias("nth_"))
+    before = F.sum("rows_").over(Window.orderBy("file_").rowsBetween(Window.unboundedPreceding, -1))
+    files = placed.groupBy("file_").agg(F.count("*").alias("rows_")).coalesce(1).select("file_", F.coalesce(before, F.lit(0)).alias("base_"))
+    return placed.join(save(files), "file_").select(*rows.columns, (F.col("base_") + F.col("nth_")).alias(name))
+
+
+def numbered_within(rows: DataFrame, group: str, order: list[str], name: str, size: str) -> DataFrame:
+    """``rows`` with their places from 0 on within ``group`` (``name``) and the group's number of rows (``size``), in two levels: no group has to fit one task."""
+    placed = numbered(rows.withColumn("group_", F.col(group)), ["group_", *order], "place_")
+    starts = placed.groupBy("group_").agg(F.min("place_").alias("start_"), F.count("*").alias(size)).withColumnRenamed("group_", "of_")
+    return placed.join(starts, F.col("group_").eqNullSafe(F.col("of_"))).select(*rows.columns, (F.col("place_") - F.col("start_")).alias(name), size)
+
+
 def drop(*frames: DataFrame) -> None:
     """Remove tables written by ``save`` that no later plan reads."""
     for df in frames:
