@@ -264,3 +264,25 @@ def sigmoid(x: Column) -> Column:
 def ordinal_targets(level: Column, classes: int = 5, smoothing: float = 0.0) -> Column:
     """1 where the level is over k, for k = 0..classes-2; drawn towards a half by ``smoothing``."""
     return F.transform(F.sequence(F.lit(0), F.lit(classes - 2)), lambda k: F.when(level > k, F.lit(1.0)).otherwise(F.lit(0.0)) * (1 - smoothing) + smoothing / 2)
+
+
+def provider_of(event: Column) -> Column:
+    """The provider in an ``RW_<provider>_...`` identifier; ``?`` for others."""
+    return F.when(event.startswith("RW_"), F.split_part(event, F.lit("_"), F.lit(2))).otherwise("?")
+
+
+def value_range(value: Column, digits: int = 3) -> Column:
+    """An aggregate: the finite values' least and greatest as ``low-high``; ``n/a`` if there are none."""
+    finite = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    return F.coalesce(F.concat(F.format_string(f"%.{digits}f", F.min(finite)), F.lit("-"), F.format_string(f"%.{digits}f", F.max(finite))), F.lit("n/a"))
+
+
+def on_host(path: Column, inside: str, root: str) -> Column:
+    """A container's path as the host has it: the first ``inside`` becomes ``root``."""
+    at = F.instr(path, inside)
+    return F.when(at > 0, F.concat(F.substring(path, F.lit(1), at - 1), F.lit(root), F.substring(path, at + len(inside), F.length(path)))).otherwise(path)
+
+
+def utc_stamp(at: Column | None = None) -> Column:
+    """``2024-01-02T03:04:05Z`` of a timestamp, or of now."""
+    return F.date_format(F.to_utc_timestamp(at if at is not None else F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

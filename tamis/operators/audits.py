@@ -78,3 +78,14 @@ def relabelled(rows: DataFrame, labels: DataFrame, id_col: str, field: str) -> D
 def long_form(rows: DataFrame, keys: list[str], values: list[str], name: str = "metric", value: str = "value") -> DataFrame:
     """A row for each of the value columns."""
     return rows.unpivot(keys, values, name, value)
+
+
+def joined_strictly(left: DataFrame, right: DataFrame, key: str, equal: dict[str, str]) -> DataFrame:
+    """(check, n): how many keys only one side has, and how many rows of both differ in each pair of columns (null-safe). All zero where the tables agree."""
+    a = left.select(F.col(key).alias("a_"), F.lit(True).alias("in_a"), *(F.col(x).alias(f"l_{x}") for x in equal))
+    b = right.select(F.col(key).alias("b_"), F.lit(True).alias("in_b"), *(F.col(y).alias(f"r_{y}") for y in equal.values()))
+    j = a.join(b, F.col("a_") == F.col("b_"), "full")
+    both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    counts = {"only_left": F.col("in_b").isNull(), "only_right": F.col("in_a").isNull()} | {f"{x}_differs": both & ~F.col(f"l_{x}").eqNullSafe(F.col(f"r_{y}")) for x, y in equal.items()}
+    one = j.agg(*(F.count_if(c).alias(name) for name, c in counts.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).alias("n")) for n in counts))).alias("x")).select("x.*")

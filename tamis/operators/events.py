@@ -69,3 +69,23 @@ def prompts(dimensions: dict[str, DataFrame], template: str) -> DataFrame:
     for d in dimensions.values():
         out = d if out is None else out.crossJoin(F.broadcast(d))  # of small dimensions
     return out.withColumn("prompt", F.format_string(template, *dimensions))
+
+
+def media_manifest(events: DataFrame) -> DataFrame:
+    """(release_source, event_id, path, type, sha256, bytes): a row a media file."""
+    return events.select(F.col("source").alias("release_source"), "event_id", F.explode("media_files").alias("m")).select("release_source", "event_id", "m.path", "m.type", "m.sha256", "m.bytes")
+
+
+def source_counts(events: DataFrame) -> DataFrame:
+    """(source, split, n, n_media): events and media files of each source and split."""
+    return events.groupBy("source", "split").agg(F.count("*").alias("n"), F.sum(F.size("media_files")).cast("long").alias("n_media"))
+
+
+def licence_counts(events: DataFrame) -> DataFrame:
+    """(source, provider, licence, n) of the events' provenance."""
+    return events.groupBy("source", F.col("provenance.provider").alias("provider"), F.col("provenance.licence").alias("licence")).agg(F.count("*").alias("n"))
+
+
+def bundle(events: DataFrame) -> dict[str, DataFrame]:
+    """What a release holds beside its events."""
+    return {"media_manifest": media_manifest(events), "source_counts": source_counts(events), "licence_manifest": licence_counts(events)}

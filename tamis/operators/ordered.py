@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.tables import numbered, numbered_within
+
 
 def running_totals(df: DataFrame, keys: list[str], order: str, measures: list[str], buckets: int = 512) -> DataFrame:
     """Adds ``cum_<measure>`` for each: the sum over rows of the key with ``order`` (in [0, 1], distinct within a key) at least the row's.
@@ -90,3 +92,15 @@ def paragraphs(lines: DataFrame, doc: str, line_no: str, text: str) -> DataFrame
     solid = marked.withColumn("paragraph", number).where("NOT blank_")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(line_no, F.btrim(F.col(text)).alias("t")))), lambda x: x["t"]), " ")
     return solid.groupBy(doc, "paragraph").agg(F.min(line_no).alias("first_line"), F.count("*").alias("n_lines"), body.alias("body"))
+
+
+def one_per_level(rows: DataFrame, level: str, order: str) -> DataFrame:
+    """Of each level the row whose place in order (from 0) is the level modulo the level's number of rows, so that levels differ in what they pick."""
+    placed = numbered_within(rows, level, [order], "nth_", "n_")
+    return placed.where(F.col("nth_") == F.col(level) % F.col("n_")).select(*rows.columns)
+
+
+def best_first(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds ``rank``, from 1 on: the greatest value first, equal ones by name, nulls last."""
+    placed = numbered(rows.withColumn("down_", -F.col(value)).withColumn("none_", F.col(value).isNull()), ["none_", "down_", name], "nth_")
+    return placed.select(*rows.columns, (F.col("nth_") + 1).alias("rank"))

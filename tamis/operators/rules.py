@@ -134,3 +134,16 @@ def assertions(spark, checks: dict[str, DataFrame]) -> DataFrame:
         part = bad.agg(F.lit(name).alias("name"), (F.count("*") == 0).alias("ok"), F.count("*").alias("n"))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "name string, ok boolean, n long")
+
+
+def consent_gate(rows: DataFrame, opt_in: Column, attested: Column, level: Column, levels: tuple[int, int] = (3, 7)) -> DataFrame:
+    """Adds ``refused``, null where an upload may be read: consent first, then the attestation that nobody is seen, then a whole level in range.
+
+    Only true is consent: null and anything else refuse. Media columns are not read, so a filter on the answer stands before them.
+    """
+    whole = level.try_cast("int")
+    return rows.withColumn("refused", first_reason([
+        ("consent_required", ~F.coalesce(opt_in, F.lit(False))),
+        ("attestation_required", ~F.coalesce(attested, F.lit(False))),
+        ("level_invalid", ~F.coalesce(whole.between(*levels), F.lit(False))),
+    ]))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.operators.ordered import sections
+
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, line): split at line feeds and carriage returns, numbered from 0."""
@@ -76,3 +78,42 @@ def collapsed_tables(lines: DataFrame, id_col: str) -> DataFrame:
     block = depth.withColumn("block", F.max(F.when(F.col("before") <= 0, F.col("line_no"))).over(w))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")
     return block.groupBy(id_col, "block").agg(text.alias("text"))
+
+
+def sectioned(lines: DataFrame, doc: str) -> DataFrame:
+    """(doc, line_no, section, keyword, fields) of a report's lines: tab-separated, under ``=== SECTION: name ===`` headers.
+
+    Empty lines, comments (``#``) and what stands before the first header are left out.
+    """
+    header = r"^=== SECTION: ([A-Za-z0-9_]+) ===\s*$"
+    inside = sections(lines, doc, "line_no", "line", header)
+    kept = inside.where((F.col("line") != "") & ~F.col("line").startswith("#") & F.col("section").isNotNull() & ~F.col("line").rlike(header))
+    parts = F.split("line", "\t")
+    return kept.select(doc, "line_no", "section", F.get(parts, F.lit(0)).alias("keyword"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("fields"))
+
+
+def health(rows: DataFrame, doc: str) -> DataFrame:
+    """One row a report of ``sectioned`` lines: containers that are up, models and their bytes, free memory, the heartbeat's age, the last summary.
+
+    Of several lines for a thing the last counts; numbers that aren't whole are null; a heartbeat or summary of ``none`` is null.
+    """
+    field = lambda k: F.get("fields", F.lit(k))
+    line = lambda section, keyword, least: (F.col("section") == section) & (F.col("keyword") == keyword) & (F.size("fields") >= least)
+    whole = lambda c: F.when(F.btrim(c).rlike(r"^[+-]?\d+$"), F.btrim(c).try_cast("long"))
+    last = lambda when, value: F.max_by(F.when(when, value), F.when(when, F.col("line_no")))
+    memory = F.filter(F.split(F.btrim(F.btrim(field(0)), F.lit("[]")), ","), lambda x: x != "")
+    told = lambda c: F.when(c != "none", c)
+    named = rows.withColumn("name_", F.when(line("containers", "CONTAINER", 2) | line("models", "MODEL", 3), field(0)))
+    nth = Window.partitionBy(doc, "section", "keyword", "name_").orderBy(F.col("line_no").desc())
+    last_named = F.col("name_").isNotNull() & (F.row_number().over(nth) == 1)
+    marked = named.withColumn("newest_", last_named)
+    return marked.groupBy(doc).agg(
+        F.array_join(F.array_sort(F.collect_set("section")), "|").alias("sections"),
+        F.count_if(F.col("newest_") & (F.col("section") == "containers")).alias("n_containers"),
+        F.count_if(F.col("newest_") & (F.col("section") == "containers") & field(1).startswith("Up")).alias("n_up"),
+        F.count_if(F.col("newest_") & (F.col("section") == "models")).alias("n_models"),
+        F.coalesce(F.sum(F.when(F.col("newest_") & (F.col("section") == "models"), F.coalesce(whole(field(1)), F.lit(0)))), F.lit(0)).alias("model_bytes"),
+        last(line("gpu", "GPU_MEM", 1) & (F.size(memory) >= 3), whole(F.get(memory, F.lit(2)))).alias("free_mb"),
+        last(line("heartbeat", "HEARTBEAT", 1) & (field(0) != "none"), whole(field(1))).alias("heartbeat_minutes"),
+        last(line("night_summary", "NIGHT_SUMMARY", 1), told(field(0))).alias("last_summary"),
+    )

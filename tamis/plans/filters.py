@@ -144,6 +144,14 @@ def severities(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", rules.severity([("error", v > 50), ("warn", v > 30)]).alias("severity"))
 
 
+@query("""SELECT doc_id, coalesce(CASE WHEN doc_id % 5 > 2 THEN 'consent_required' WHEN doc_id % 3 = 0 THEN 'attestation_required' WHEN doc_id % 11 NOT BETWEEN 3 AND 7 THEN 'level_invalid' END, 'accepted') AS outcome FROM documents""")
+def consent_gates(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    opt_in = F.when(i % 5 == 3, F.lit(False)).when(i % 5 == 4, F.lit(None).cast("boolean")).otherwise(True)
+    level = F.when(i % 11 == 10, "soft").otherwise((i % 11).cast("string"))
+    return rules.consent_gate(table(spark, sf, "documents"), opt_in, i % 3 != 0, level).select("doc_id", F.coalesce("refused", F.lit("accepted")).alias("outcome"))
+
+
 @query("""WITH j AS (SELECT event_id, (props->>'k')::DOUBLE AS k FROM events) SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 3 WHEN event_id % 4 = 0 AND event_id % 3 <> 0 AND event_id % 5 <> 0 THEN 4 WHEN event_id % 3 = 0 AND k <= 4 THEN 5 WHEN event_id % 5 = 0 AND k BETWEEN 10 AND 20 THEN 6 ELSE 7 END AS level, round(greatest(0, least(0.95, k / 100)), 6) AS confidence FROM j""")
 def weak_levels(spark: SparkSession, sf: str) -> DataFrame:
     i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tamis.functions.labels import on_host, provider_of, value_range
 from tamis.operators import audits, ordered, rules, series
 from tamis.plans.judges import rounded
 from tamis.plans.registry import query, table
@@ -203,3 +204,33 @@ def resumed_intake(spark: SparkSession, sf: str) -> DataFrame:
 def invariants(spark: SparkSession, sf: str) -> DataFrame:
     d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
     return rules.assertions(spark, {"ids are unique": d.groupBy("doc_id").count().where("count > 1"), "labels have documents": lab.join(d, "doc_id", "left_anti"), "texts are long": d.where("n_chars < 200")})
+
+
+@query("""WITH k AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS nth, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier) SELECT s_nationkey, s_suppkey FROM k WHERE nth = s_nationkey % n""")
+def one_per_nation(spark: SparkSession, sf: str) -> DataFrame:
+    return ordered.one_per_level(table(spark, sf, "supplier").select("s_nationkey", "s_suppkey"), "s_nationkey", "s_suppkey")
+
+
+@query("""WITH m AS (SELECT source, avg(n_chars) AS value FROM documents GROUP BY source) SELECT source, row_number() OVER (ORDER BY value DESC, source) AS rank FROM m""")
+def best_to_worst(spark: SparkSession, sf: str) -> DataFrame:
+    return ordered.best_first(table(spark, sf, "documents").groupBy("source").agg(F.avg("n_chars").alias("value")), "value", "source").select("source", "rank")
+
+
+@query("""WITH a AS (SELECT doc_id, quality FROM labels), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS q FROM labels WHERE doc_id % 5 <> 0)
+SELECT 'only_left' AS "check", count(*) AS n FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b) UNION ALL SELECT 'only_right', 0 UNION ALL SELECT 'quality_differs', count(*) FROM a JOIN b USING (doc_id) WHERE quality IS DISTINCT FROM q""")
+def strict_join(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "labels").select("doc_id", "quality")
+    b = a.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("q"))
+    return audits.joined_strictly(a, b, "doc_id", {"quality": "q"})
+
+
+@query("""SELECT event_type, format('{:.3f}-{:.3f}', min(value), max(value)) AS range FROM events GROUP BY event_type""")
+def value_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").groupBy("event_type").agg(value_range(F.col("value")).alias("range"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '?' ELSE 'web' END AS provider, '/data/' || page_id || '/work/x' AS path FROM pages""")
+def providers_and_paths(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("page_id").cast("string")
+    event = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("EV_"), i)).otherwise(F.concat(F.lit("RW_web_"), i))
+    return table(spark, sf, "pages").select("page_id", provider_of(event).alias("provider"), on_host(F.concat(F.lit("/work/"), i, F.lit("/work/x")), "/work/", "/data/").alias("path"))

@@ -41,6 +41,21 @@ def release_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return events.flat_manifest(out, ["kitchen_id", "split"]).withColumn("level", F.col("level").cast("long"))
 
 
+@query(EV + " SELECT 'real_weak' AS release_source, event_id, path, 'image' AS type, sha256, length(html) AS bytes FROM ev JOIN pages USING (page_id)")
+def release_media(spark: SparkSession, sf: str) -> DataFrame:
+    return events.bundle(_events(spark, sf))["media_manifest"]
+
+
+@query("SELECT 'real_weak' AS source, 'train' AS split, count(*) AS n, count(*) AS n_media FROM pages")
+def release_source_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return events.bundle(_events(spark, sf))["source_counts"]
+
+
+@query("SELECT 'real_weak' AS source, 'web' AS provider, 'CC BY 4.0' AS licence, count(*) AS n FROM pages")
+def release_licences(spark: SparkSession, sf: str) -> DataFrame:
+    return events.bundle(_events(spark, sf))["licence_manifest"]
+
+
 @query("SELECT s_suppkey, format('EV-{:04d}', row_number() OVER (ORDER BY s_name)) AS number FROM supplier")
 def numbered_specimens(spark: SparkSession, sf: str) -> DataFrame:
     return events.numbered(table(spark, sf, "supplier"), "s_name").select("s_suppkey", "number")

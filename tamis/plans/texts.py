@@ -96,3 +96,22 @@ def prompt_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
     d = table(spark, sf, "documents")
     return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("text").alias("exact"), F.count_distinct(normalise_prompt(F.col("text"))).alias("normalised"), F.count_if(F.col("text").contains("the ")).alias("with_the"))
+
+
+@query("""SELECT o_orderkey, 'containers|gpu|heartbeat|models|night_summary' AS sections, 2::BIGINT AS n_containers, (o_orderstatus = 'F')::INT::BIGINT + 1 AS n_up, 1::BIGINT AS n_models, o_custkey AS model_bytes,
+CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_orderkey END AS free_mb, CASE WHEN o_orderkey % 2 = 0 THEN 7 ELSE -1 END AS heartbeat_minutes, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '-' END AS last_summary FROM orders""")
+def health_reports(spark: SparkSession, sf: str) -> DataFrame:
+    o, i = table(spark, sf, "orders"), F.col("o_orderkey")
+    even = i % 2 == 0
+    report = F.concat_ws(
+        "\n",
+        F.lit("CONTAINER\tlost\tUp\n# note\n=== SECTION: containers ===\nCONTAINER\ttrain\tExited\nCONTAINER\tother\tUp 2 days"),
+        F.concat(F.lit("CONTAINER\ttrain\t"), F.when(F.col("o_orderstatus") == "F", "Up 3 hours").otherwise("Exited (1)")),
+        F.concat(F.lit("=== SECTION: models ===\nMODEL\tm\tbad\tx\nMODEL\tm\t"), F.col("o_custkey").cast("string"), F.lit("\tok\n\n=== SECTION: gpu ===")),
+        F.concat(F.lit("GPU_MEM\t[1,2"), F.when(i % 3 != 0, F.concat(F.lit(","), i.cast("string"))).otherwise(""), F.lit("]")),
+        F.concat(F.lit("=== SECTION: heartbeat ===\nHEARTBEAT\t"), F.when(even, "log\t7").otherwise("none")),
+        F.concat(F.lit("=== SECTION: night_summary ===\nNIGHT_SUMMARY\t"), F.when(even, F.col("o_orderpriority")).otherwise("none")),
+    )
+    lines = textual.lines_of(o.select("o_orderkey", report.alias("report")), "o_orderkey", "report")
+    h = textual.health(textual.sectioned(lines, "o_orderkey"), "o_orderkey")
+    return h.fillna(-1, ["free_mb", "heartbeat_minutes"]).fillna("-", ["last_summary"])

@@ -3,12 +3,14 @@
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamis import tables
 from tamis.functions import images
 from tamis.functions import labels as lb
 from tamis.operators import agreement, components, decode, dedup, events, metrics, ordered, resample, rules, selection, series, splits, textual
@@ -46,6 +48,68 @@ def test_near_hashes_lose_no_pair(spark):
         assert got == want
 
 
+def test_ranks_in_two_levels(spark):
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), r.random(), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, x double, k long")
+    got = {x.k: (x.nth, x.n) for x in tables.numbered_within(df, "g", ["x"], "nth", "n").collect()}
+    for g in ("a", "b", None):
+        mine = sorted((x, k) for h, x, k in rows if h == g)
+        assert [got[k] for _, k in mine] == [(i, len(mine)) for i in range(len(mine))]
+    assert tables.numbered(df.limit(0), ["x"], "nth").count() == 0
+    assert sorted(x.nth for x in tables.numbered(df, ["x"], "nth").collect()) == list(range(300))
+
+
+def test_broken_json_is_cut_in_one_scan():
+    want = lambda t: next((c for n in range(t.count(",") + 1, 0, -1) if parses(c := ",".join(t.split(",")[:n]) + "}")), None)
+
+    def parses(t):
+        try:
+            json.loads(t)
+        except ValueError:
+            return False
+        return True
+
+    for t in ('{"a": 1, "b": [1, 2, {"c": ","', '{"a": "x, y", "b', "{", '{"a": tru, "b": 1, ', '{"a": {"b": 1, "c": 2}, "d": "e\\\\", "f', '{"a": 1, "b": nul, "c": 3, "d"', '{"a": 1'):
+        assert lb.longest_object(t) == want(t), t
+    began = time.process_time()
+    assert lb.longest_object('{"k": 1' + ', "x": "yyyyyyyy"' * 20_000 + ', "z') is not None
+    assert time.process_time() - began < 5
+
+
+def test_appending_both_or_neither(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, creator string")
+    path, ledger = str(tmp_path / "events"), str(tmp_path / "ledger")
+    sink.append_with_attribution(rows, path, ["creator"], ledger)
+    assert spark.read.json(path).count() == 2 and spark.read.json(ledger).columns == ["creator"]
+    (tmp_path / "file").write_text("in the way")
+    with pytest.raises(Exception):
+        sink.append_with_attribution(rows, path, ["creator"], str(tmp_path / "file" / "ledger"))
+    assert spark.read.json(path).count() == 2
+
+
+def test_a_replacement_that_stopped_is_finished(spark, tmp_path):
+    rows, path = spark.range(3), str(tmp_path / "t")
+    sink.replace(rows, path, "1")
+    rows.limit(1).write.parquet(f"{path}.new-2")
+    (tmp_path / "t").rename(tmp_path / "t.bak-2")
+    assert sink.recover(spark, path) and spark.read.parquet(path).count() == 1 and not sink.recover(spark, path)
+
+
+def test_a_release_is_whole(spark, tmp_path):
+    rows = spark.createDataFrame([("e1", "train", "real", [("image", "m/1.jpg", "aa", 5)], ("web", "s", "u", "c", "CC0"))], "event_id string, split string, source string, media_files array<struct<type string, path string, sha256 string, bytes long>>, provenance struct<provider string, source_id string, url string, creator string, licence string>")
+    sink.release(rows, rows.limit(0), str(tmp_path / "r"), beside=events.bundle(rows))
+    assert sorted(p.name for p in (tmp_path / "r").iterdir()) == ["events", "licence_manifest", "media_manifest", "source_counts"]
+    assert spark.read.json(str(tmp_path / "r" / "media_manifest")).first().path == "m/1.jpg"
+
+
+def test_times_as_text(spark):
+    df = spark.sql("SELECT timestamp'2024-01-02 03:04:05' AS a, named_struct('b', array(timestamp'2024-01-02 03:04:05.25', null), 'c', 1) AS s, date'2024-05-06' AS d")
+    got = sink.iso_times(df).first()
+    assert (got.a, got.s.b, got.s.c, got.d) == ("2024-01-02T03:04:05+00:00", ["2024-01-02T03:04:05.250000+00:00", None], 1, "2024-05-06")
+    assert one(spark, x=lb.utc_stamp(F.timestamp_seconds(F.lit(0)))).x == "1970-01-01T00:00:00Z"
+
+
 def test_nan_is_never_accepted(spark):
     d = spark.createDataFrame([(0, 0, float("nan")), (0, 1, 0.9), (1, 0, 0.8), (2, 2, 0.1)], "label int, pred int, conf double")
     m = metrics.gate_metrics(d, [], 0.5).first()
@@ -116,6 +180,10 @@ def test_exact_tests(spark):
     t = spark.createDataFrame([(3, 1, 1, 3), (0, 0, 2, 2)], "a long, b long, c long, d long")
     p = [x.p_value for x in metrics.fisher(t, "a", "b", "c", "d").collect()]
     assert math.isclose(p[0], 34 / 70) and math.isclose(p[1], 1.0)
+    big = metrics.fisher(spark.createDataFrame([(900, 1100, 1000, 1000)], "a long, b long, c long, d long"), "a", "b", "c", "d").first().p_value
+    lg = math.lgamma
+    logp = lambda x: lg(2001) * 2 + lg(1901) + lg(2101) - lg(4001) - lg(x + 1) - lg(2001 - x) - lg(1901 - x) - lg(x + 101)
+    assert math.isclose(big, sum(math.exp(logp(x)) for x in range(1901) if logp(x) <= logp(900) + 1e-9), rel_tol=1e-6)
 
 
 def test_balanced_and_stratified_splits(spark):
