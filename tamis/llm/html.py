@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from tamis.llm._shared import save
 from tamis.llm.urls import host
+from tamis.session import ship
 
 NAME = re.compile(r"[a-zA-Z][^\s/<>]*")
 INSIDE = re.compile(r"[^<>\"']*")
@@ -424,6 +425,7 @@ def deduce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "ht
             longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(host_, pa.string()), pa.array(tokens, longs), pa.array(classes, longs), pa.array(places, doubles), pa.array(weights, doubles), pa.array(texts, longs)], names=["host", "tokens", "classes", "places", "weights", "texts"])
 
+    ship(pages.sparkSession)
     here = pages.select(host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("page", F.xxhash64("html"))
     each = here.mapInArrow(run, fields).distinct()
     vectors = each.groupBy("host", "token").agg(

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamis.llm._shared import fresh
+from tamis.session import ship
 
 FEATURES = ("log_bytes", "log_words", "word_length", "upper_letters", "upper_words", "exclamations", "bars", "marks", "digits", "punctuation", "wide", "distinct_words", "top_word", "next_same", "same_lines", "line_length", "symbol_tail", "commas", "stops", "controls")
 _UPPER = np.arange(65, 91)
@@ -163,12 +164,15 @@ def held_out(id_col: str):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000) -> AdditiveModel:
     """Fit on ``sample`` labelled rows at most (the bound on what reaches the driver), chosen by a hash of the id.
 
-    Held-out rows, null labels and null ids are left out; of several labels of an id the smallest counts.
+    Held-out rows, null labels and null ids are left out; of several labels of an id the smallest counts, and
+    of several texts that with the smallest features, so that what is learnt never depends on the rows' order.
     """
+    ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id")).groupBy("id").agg(F.min("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    found = rows.mapInArrow(_features_of, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])).limit(sample).collect()
+    found = rows.mapInArrow(_features_of, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    found = found.groupBy("id").agg(F.min(F.struct("y", "x")).alias("one")).select("id", "one.*").collect()
     found.sort(key=lambda r: (r.id, r.y, r.x))
     return fit(np.array([r.x for r in found], dtype=float).reshape(-1, len(FEATURES)), np.array([r.y for r in found], dtype=float))
 

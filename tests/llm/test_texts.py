@@ -146,6 +146,11 @@ def test_urls(spark):
     got = urls.filter_urls(df, RULES).collect()
     assert sorted(repr((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in got) == sorted(repr((r[0], *r[2:])) for r in rows)
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
+    own = urls.vocabulary(["# mine", "Bad\t2", "meh\t1", "worse # strict", ""])
+    assert own == {"bad": 2, "meh": 1, "worse": 2}
+    few = spark.createDataFrame([(1, "x://a/bad"), (2, "x://a/meh-meh"), (3, "x://casino/"), (4, "x://a/badly")], "page_id long, url string")
+    assert {r.page_id: (r.verdict, r.n_strict, r.n_soft) for r in urls.filter_urls(few, [], terms=own).collect()} == {1: ("block", 1, 0), 2: ("allow", 0, 1), 3: ("allow", 0, 0), 4: ("allow", 0, 0)}
+    assert {r.verdict for r in urls.filter_urls(few, [], terms={}).collect()} == {"allow"}
 
 
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class=\"ad\">Buy</div><article><h1>{h}</h1><p>{a} &amp; <b>b</b>old&nbsp;x<br>next<p>Read this first.</p><div class='user-comments'>no</div><form>f</form></article><aside>s</aside><footer>&copy; us</footer></body></html>"
