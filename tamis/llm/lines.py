@@ -42,7 +42,8 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, width: int = 3)
     seen = save(windows(docs, id_col, text_col, width))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "nth")
     firsts = seen.groupBy("window").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("window", "first")
-    later = seen.join(firsts, "window").where(~place.eqNullSafe(F.col("first")))
+    # saved, so that the join is of two shuffles, of which a window of very many rows can be split
+    later = seen.join(save(firsts).hint("merge"), "window").where(~place.eqNullSafe(F.col("first")))
     same = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.text_hash") == F.col("text_hash"))
     start = F.when(same, F.greatest(F.col("nth"), F.col("first.nth") + width)).otherwise(F.col("nth"))
     covered = later.select("id", "text_hash", F.explode(F.sequence(start, F.col("nth") + width - 1)).alias("line"))
