@@ -79,6 +79,7 @@ class Page:
     apart: list[bool] = field(default_factory=lambda: [False])  # within an element that HTML sets apart
     link: list[bool] = field(default_factory=lambda: [False])
     texts: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, block
+    squeezed: list[str] = field(default_factory=list)  # of each text, with single spaces
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
@@ -176,7 +177,9 @@ def parse(page: str) -> Page:
         top = stack[-1]
         if kind == "text":
             if not out.apart[top]:
-                out.texts.append((top, entities.unescape(name) if "&" in name else name, block))
+                text = entities.unescape(name) if "&" in name else name
+                out.texts.append((top, text, block))
+                out.squeezed.append(_squeezed(text))
             continue
         if name not in INLINE:
             block += 1
@@ -195,16 +198,11 @@ def parse(page: str) -> Page:
             if places[shut] and places[shut][-1] >= edge:
                 cut(places[shut][-1])
         above = stack[-1]
-        words = {"class": "", "id": "", "role": ""}
-        if "=" in rest:
-            for key, value in NAMES.findall(rest):
-                words[key.lower()] = value.strip("\"'").lower()
-        named = NUMBERED.sub("0", " ".join([*sorted(words["class"].split()), words["id"], words["role"]]))
+        named, hint = _named(name, tuple(NAMES.findall(rest)) if "=" in rest else ())
         i = len(out.name)
         out.name.append(name)
-        out.path.append(_hash(f"{out.path[above]}/{name}.{named}"))
+        out.path.append(_path(out.path[above], name, named))
         out.above.append(above)
-        hint = _hint(name, words["class"], words["id"], words["role"])
         within = out.hint[above] == 1 or out.hint[above] == 2
         out.hint.append(hint or (2 if within else 0))  # 2: within a main element
         out.apart.append(out.apart[above] or name in ASIDE or name == "header" and not within)
@@ -218,6 +216,21 @@ def parse(page: str) -> Page:
     return out
 
 
+@lru_cache(1 << 14)
+def _named(name: str, found: tuple[tuple[str, str], ...]) -> tuple[str, int]:
+    """An element's names, for its path, and what they hint at."""
+    words = {"class": "", "id": "", "role": ""}
+    for key, value in found:
+        words[key.lower()] = value.strip("\"'").lower()
+    named = NUMBERED.sub("0", " ".join([*sorted(words["class"].split()), words["id"], words["role"]])) if found else ""
+    return named, _hint(name, words["class"], words["id"], words["role"])
+
+
+@lru_cache(1 << 16)
+def _path(above: int, name: str, named: str) -> int:
+    return _hash(f"{above}/{name}.{named}")
+
+
 def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts)) - (1 << 63)
 
@@ -226,20 +239,21 @@ def _squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
+@lru_cache(1 << 16)
 def element_token(path: int) -> int:
     return _hash("element", str(path))
 
 
-def text_token(path: int, text: str) -> int:
-    return _hash("text", str(path), _squeezed(text))
+def text_token(path: int, squeezed: str) -> int:
+    return _hash("text", str(path), squeezed)
 
 
 def _weights(page: Page, static: frozenset[int] | set[int] = frozenset()) -> list[int]:
     """For each element the characters of text under it that are outside links and aren't the template's."""
     own = [0] * len(page.name)
-    for i, text, _ in page.texts:
+    for (i, _, _), text in zip(page.texts, page.squeezed, strict=True):
         if not page.link[i] and (not static or text_token(page.path[i], text) not in static):
-            own[i] += len(_squeezed(text))
+            own[i] += len(text)
     for i in range(len(own) - 1, 0, -1):
         own[page.above[i]] += own[i]
     return own
@@ -256,8 +270,8 @@ def page_tokens(page: str) -> list[tuple[int, int, int, int, int, bool]]:
         if token not in out:
             out[token] = [count[p.path[i]], element_token(p.path[p.above[i]]) if p.above[i] else _hash(PAGE), i, 0, False]
         out[token][3] += weight[i]
-    for i, text, _ in p.texts:
-        if text.strip():
+    for (i, _, _), text in zip(p.texts, p.squeezed, strict=True):
+        if text:
             token = text_token(p.path[i], text)
             if token not in out:
                 out[token] = [0, element_token(p.path[i]) if i else _hash(PAGE), i, 0, True]
@@ -358,10 +372,10 @@ def main_text(html: str, template: Template = NONE) -> str:
             boxes[nearest[i]].append(i)
     direct = [0.0] * len(page.name)  # text of a box that is in no box within
     prose = [False] * len(page.name)
-    for i, text, _ in page.texts:
-        if not page.link[i] and text.strip() and (not template.texts or text_token(page.path[i], text) not in template.texts):
+    for (i, _, _), text in zip(page.texts, page.squeezed, strict=True):
+        if not page.link[i] and text and (not template.texts or text_token(page.path[i], text) not in template.texts):
             box = i if i == 0 or page.name[i] in BOXES else nearest[i]
-            direct[box] += len(_squeezed(text))
+            direct[box] += len(text)
             prose[box] |= _block_name(page, i) in PROSE
     main = 0
     while boxes[main]:
@@ -377,8 +391,8 @@ def main_text(html: str, template: Template = NONE) -> str:
         named = page.hint[i] == -1 or page.hint[i] == -2 and (here[i] or page.hint[page.above[i]] < 1)
         inside[i] = inside[page.above[i]] and not page.apart[i] and not (named and page.name[i] in BOXES)
     blocks: dict[int, list[str]] = {}
-    for i, text, block in page.texts:
-        if inside[i] and not (template.texts and text_token(page.path[i], text) in template.texts):
+    for (i, text, block), words in zip(page.texts, page.squeezed, strict=True):
+        if inside[i] and not (template.texts and text_token(page.path[i], words) in template.texts):
             blocks.setdefault(block, []).append(text)
     return " ".join(t for parts in blocks.values() if (t := _squeezed("".join(parts))))
 
