@@ -34,6 +34,8 @@ SEED = 42
 STEP = 1 << 16  # shingles hashed at a time, which bounds memory for long texts
 PAIRS = 1 << 20  # links held before they are reduced to a forest
 SAMPLE = 16  # one text of so many is looked at for common shingles
+WIDE = 32  # texts of a shingle from which on pairs are tried where they meet, and only those that may pass are given out
+MARK = 1024  # bits of a prefix's mark
 COMMON = 1 << 17  # common shingles known by name at most; the rest are ordered by hash
 
 
@@ -294,6 +296,45 @@ def _prefix_size(size, similarity: float):
     return size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
 
 
+def mark(head: np.ndarray) -> bytes:
+    """``MARK`` bits, one set for each hash."""
+    bits = np.zeros(MARK, dtype=bool)
+    bits[(head % np.uint64(MARK)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _marked(similarity: float):
+    """A block's pairs under different roots that may be of the similarity.
+
+    Two prefixes share at most the bits that both marks have, and those hashes of the one with fewer such that
+    fell on a bit already set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in sorted_runs(batches, ["shingle", "block_i", "block_j"]):
+            key, root, size, own, i, j = (rows.column(c).to_numpy() for c in ("key", "root", "size", "block_own", "block_i", "block_j"))
+            marks = np.frombuffer(b"".join(rows.column("mark").to_pylist()), np.uint64).reshape(len(key), MARK // 64)
+            spare = _prefix_size(size, similarity) - np.bitwise_count(marks).sum(axis=1, dtype=np.int64)
+            rest = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(key)) - 1  # rows of its run that come later
+            live, step = np.flatnonzero(rest), 0
+            while len(live):
+                step += 1
+                live = live[rest[live] >= step]
+                x, y = live, live + step
+                small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                near = (root[x] != root[y]) & (small >= similarity * large - 1e-9) & ((own[x] != own[y]) | (i[x] == j[x]))
+                x, y, small, large = x[near], y[near], small[near], large[near]
+                need = np.ceil(similarity / (1 + similarity) * (small + large) - 1e-9).astype(np.int64) - np.maximum(small - _prefix_size(small, similarity), large - _prefix_size(large, similarity))
+                most = np.bitwise_count(marks[x] & marks[y]).sum(axis=1, dtype=np.int64) + np.minimum(spare[x], spare[y])
+                x, y = x[most >= need], y[most >= need]
+                if len(x):
+                    first = key[x] < key[y]
+                    a, b = np.where(first, x, y), np.where(first, y, x)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[a], key[b], root[a], root[b])], names=["a", "b", "root_a", "root_b"])
+
+    return run
+
+
 def _least_shared(small: Column, large: Column, similarity: float) -> Column:
     """How many shingles the prefixes of two sets of these sizes share at least, if they are of that similarity."""
     rest = lambda size: F.ceil(F.lit(similarity) * size - F.lit(1e-9)) - 1
@@ -311,6 +352,8 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
     A large group of near copies would give all its pairs. So at first, in each of ``rounds``
     rounds, the texts of a shingle are compared with one of them alone, and what proves alike
     is one group from then on; all pairs are formed only of the groups that are still different.
+    Where over ``WIDE`` texts of a shingle are left, their prefixes' marks (a bit a hash) bound what two of
+    them share, and only pairs that may share enough are given out (``_marked``).
     """
     common = _common(texts, words)
     order = np.argsort(common)
@@ -320,8 +363,8 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
         names, ranks = known.value
         for batch in batches:
             sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py(), words)])) for t in batch.column("text").cast(pa.binary())]
-            made = [prefix(s, similarity, names, ranks).tobytes() if len(s) else b"" for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("of"), pa.array([len(s) for s in sets], pa.int64()), pa.array(made, pa.binary())], names=["of", "size", "head"])
+            made = [prefix(s, similarity, names, ranks) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("of"), pa.array([len(s) for s in sets], pa.int64()), pa.array([h.tobytes() for h in made], pa.binary()), pa.array(list(map(mark, made)), pa.binary())], names=["of", "size", "head", "mark"])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,18 +396,23 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
             of = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], dtype=np.int64)
             yield batch.select(["a", "b", "root_a", "root_b"]).filter(pa.array(both >= similarity * (of - both)))
 
-    made = save(texts.mapInArrow(heads, "of long, size long, head binary").dropDuplicates(["of"]))
+    made = save(texts.mapInArrow(heads, "of long, size long, head binary, mark binary").dropDuplicates(["of"]))
     rooted = made.join(roots, made["of"] == roots["node"], "left").select("of", F.coalesce("root", "of").alias("root"), "size", "head")
     rows = save(_live(rooted.mapInArrow(entries, "shingle long, key long, root long, size long")))
+    marks = save(made.select(F.col("of").alias("key"), "mark"))
     drop(made)
     sets = save(_with_shingles(_bodies(texts, rows.select("key").distinct()), words))
     left, right = (sets.select(F.col("of").alias(f"of_{c}"), F.col("shingles").alias(c)) for c in ("left", "right"))
 
-    def alike(met: DataFrame) -> DataFrame:
-        """Of (key, root, size; c_key, c_root, c_size), a row a shared shingle: the pairs that share enough of them and are of the similarity."""
+    def counted(met: DataFrame) -> DataFrame:
+        """Of (key, root, size; c_key, c_root, c_size), a row a shared shingle: the pairs that share enough of them."""
         a, b = F.col("key") < F.col("c_key"), F.least("size", "c_size")
         met = met.select(F.least("key", "c_key").alias("a"), F.greatest("key", "c_key").alias("b"), F.when(a, F.col("root")).otherwise(F.col("c_root")).alias("root_a"), F.when(a, F.col("c_root")).otherwise(F.col("root")).alias("root_b"), _least_shared(b, F.greatest("size", "c_size"), similarity).alias("need"))
-        pairs = save(met.groupBy("a", "b", "root_a", "root_b", "need").count().where("count >= need").select("a", "b", "root_a", "root_b"))
+        return met.groupBy("a", "b", "root_a", "root_b", "need").count().where("count >= need").select("a", "b", "root_a", "root_b")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs of that similarity."""
+        pairs = save(pairs)
         found = pairs.join(left, F.col("a") == F.col("of_left")).join(right, F.col("b") == F.col("of_right"))
         out = save(found.select("a", "b", "root_a", "root_b", "left", "right").mapInArrow(whole, "a long, b long, root_a long, root_b long"))
         drop(pairs)
@@ -374,15 +422,21 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
     for turn in range(rounds):
         centre = rows.groupBy("shingle").agg(F.min_by(F.struct("key", "root", "size"), F.xxhash64("root", F.lit(turn))).alias("c")).select("shingle", F.col("c.key").alias("c_key"), F.col("c.root").alias("c_root"), F.col("c.size").alias("c_size"))
         near = F.least("size", "c_size") >= F.lit(similarity) * F.greatest("size", "c_size") - F.lit(1e-9)
-        links.append(alike(rows.join(centre, "shingle").where((F.col("root") != F.col("c_root")) & near)))
+        links.append(alike(counted(rows.join(centre, "shingle").where((F.col("root") != F.col("c_root")) & near))))
         if links[-1].isEmpty():
             break
         merged = connected_components(links[-1].select("root_a", "root_b")).select(F.col("node").alias("was"), F.col("root").alias("now"))
         moved = rows.join(merged, F.col("root") == F.col("was"), "left").select("shingle", "key", F.coalesce("now", "root").alias("root"), "size")
         old, rows = rows, save(_live(moved))
         drop(old)
-    links.append(alike(in_blocks(rows, ["shingle"], "key", chunk).mapInArrow(meet, "key long, root long, size long, c_key long, c_root long, c_size long")))
-    drop(rows, sets)
+    wide = save(rows.groupBy("shingle").count().where(F.col("count") > WIDE).select("shingle"))
+    met = in_blocks(rows.join(wide, "shingle", "left_anti"), ["shingle"], "key", chunk).mapInArrow(meet, "key long, root long, size long, c_key long, c_root long, c_size long")
+    pairs = counted(met)  # whole for pairs that share no wide shingle; the others are all found there
+    if not wide.isEmpty():
+        dealt = in_blocks(rows.join(wide, "shingle", "left_semi"), ["shingle"], "key", chunk, marks)
+        pairs = pairs.union(dealt.mapInArrow(_marked(similarity), "a long, b long, root_a long, root_b long")).distinct()
+    links.append(alike(pairs))
+    drop(rows, sets, marks)
     out = links[0].select("a", "b")
     for more in links[1:]:
         out = out.union(more.select("a", "b"))

@@ -204,7 +204,17 @@ def test_recall_of_the_tables_near_the_threshold():
     assert vectors.layout(10**9, 0.98)[1] == 34 and vectors.layout(10**9, 0.98)[0] < 160  # more planes, so that buckets stay small
 
 
-def test_near_dedup_finds_copies_of_any_distance_in_bits(spark):
+def test_marks_never_bound_too_low():
+    r = np.random.default_rng(7)
+    for _ in range(300):
+        pool = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+        x, y = (np.unique(r.choice(pool, r.integers(1, 300))) for _ in range(2))
+        a, b = (np.frombuffer(simhash.mark(v), np.uint64) for v in (x, y))
+        spare = min(len(x) - np.bitwise_count(a).sum(dtype=int), len(y) - np.bitwise_count(b).sum(dtype=int))
+        assert len(np.intersect1d(x, y)) <= np.bitwise_count(a & b).sum(dtype=int) + spare
+
+
+def test_near_dedup_finds_copies_of_any_distance_in_bits(spark, monkeypatch):
     """Texts with an appended part of a fifth or less, over 11 bits apart: only their Jaccard similarity counts."""
     r = random.Random(4)
     rows, far = [], 0
@@ -216,7 +226,14 @@ def test_near_dedup_finds_copies_of_any_distance_in_bits(spark):
     assert far > 5
     rows += [(900 + k, "a footer that all of these texts have in common word for word " * 2 + f"{k} {k + 1} {k + 2}") for k in range(40)]
     rows += [(990, None), (991, " "), (992, "two words"), (993, "Two  words")]
+    base = [f"b{r.randrange(9000)}" for _ in range(120)]
+    for k in range(50):  # copies of one text, around the threshold, that are mostly not near one another
+        t = list(base)
+        for at in r.sample(range(120), r.randint(1, 6)):
+            t[at] = f"c{k}"
+        rows.append((2000 + k, " ".join(t)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     root = components([i for i, _ in rows], lambda a, b: jaccard(dict(rows)[a], dict(rows)[b]) >= 0.8)
-    for chunk in (512, 7):
+    for chunk, wide in ((512, 32), (7, 1)):
+        monkeypatch.setattr(simhash, "WIDE", wide)
         assert sorted(x.doc_id for x in simhash.near_dedup(df, chunk=chunk).collect()) == sorted(set(root.values()))
