@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Removes a statement's shuffle files as soon as it has ended; what is saved needs them no more.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SAVED: list[tuple[SparkSession, str]] = []
 
 
@@ -32,10 +34,15 @@ def place(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """Write ``df`` there and read it back: lineage is cut, and the planner knows its size."""
+    """Write ``df`` there and read it back: lineage is cut, the planner knows its size, and the shuffles that led to it go at once."""
     spark = df.sparkSession
     path = place(spark)
-    df.write.parquet(path, compression=compression)
+    had = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.unset(CLEANED) if had is None else spark.conf.set(CLEANED, had)
     out = spark.read.schema(df.schema).parquet(path)
     out._tamis_path = path
     return out
