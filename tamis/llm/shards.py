@@ -119,7 +119,6 @@ def training_order(docs: DataFrame, tokenizer_path: str, key: str = "epoch-0", i
     """
     ship(docs.sparkSession)
     made = save(sequences(docs, tokenizer_path, id_col, text_col, stride, end_id), compression="zstd")
-    docs.sparkSession._jvm.System.gc()  # so that the cleaner drops the texts' shuffle before the ids' begins
     return in_training_order(made, key, per_shard)
 
 
