@@ -259,7 +259,7 @@ def _counted(owner: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """How many hits there are of each item and band, a hit counting in its band and the one before."""
     first, low = int(owner.min()), int(band.min()) - 1
     width = int(band.max()) - low + 1
-    if (int(owner.max()) - first + 1) * width > 4 * HITS:
+    if (int(owner.max()) - first + 1) * width > 8 * len(owner):  # sparse, as in texts that aren't repetitive
         return np.unique(np.concatenate([(owner << 32) + band + (1 << 24), (owner << 32) + band - 1 + (1 << 24)]), return_counts=True)
     key = (owner - first) * width + (band - low)
     shared = np.bincount(key, minlength=key.max() + 1) + np.append(np.bincount(key - 1, minlength=key.max()), 0)
