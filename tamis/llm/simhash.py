@@ -34,8 +34,8 @@ SEED = 42
 STEP = 1 << 16  # shingles hashed at a time, which bounds memory for long texts
 PAIRS = 1 << 20  # links held before they are reduced to a forest
 SAMPLE = 16  # one text of so many is looked at for common shingles
-WIDE = 32  # texts of a shingle from which on pairs are tried where they meet, and only those that may pass are given out
-MARK = 1024  # bits of a prefix's mark
+WIDE = 32  # texts of a shingle from which on pairs are tried where they meet, and only a forest of those that may pass is given out
+MARK = 1024  # bits of a mark at least; four a hash or more
 COMMON = 1 << 17  # common shingles known by name at most; the rest are ordered by hash
 
 
@@ -203,7 +203,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = save(placed.join(sizes, "place").select("key", "place"))
     every = here.select(F.col(key_at).alias("of"), text.alias("text"))
     sets = save(wanted.join(_with_shingles(_bodies(every, wanted.select("key")), words), F.col("key") == F.col("of")).select("key", "place", "shingles"))
-    links = save(in_blocks(sets, ["place"], "key", chunk).mapInArrow(_verified(similarity), "a long, b long"))
+    links = save(in_blocks(sets.withColumn("root", F.col("key")), ["place"], "key", chunk).mapInArrow(_verified(similarity), "a long, b long"))
     drop(sets)
     roots = connected_components(links.union(_prefix_links(every, connected_components(links), similarity, words, chunk)))
     grouped = texts.join(roots, texts["key"] == roots["node"], "left").select("none", "id", "key", F.coalesce("root", "key").alias("root"))
@@ -231,15 +231,15 @@ def _with_shingles(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _verified(similarity: float):
-    """A block's links between texts of that similarity, as a forest."""
+    """A block's links between texts of that similarity under different roots, as a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in sorted_runs(batches, ["place", "block_i", "block_j"]):
-            keys = rows.column("key").to_numpy()
+            keys, roots = rows.column("key").to_numpy(), rows.column("root").to_numpy()
             packed = rows.column("shingles")
             links: list[tuple[int, int]] = []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                links += _block_links(keys[lo:hi], [np.frombuffer(packed[int(i)].as_py(), np.uint64) for i in range(lo, hi)], similarity)
+                links += _block_links(keys[lo:hi], roots[lo:hi], [np.frombuffer(packed[int(i)].as_py(), np.uint64) for i in range(lo, hi)], similarity)
             if links:
                 a, b = np.array(links, dtype=np.int64).T
                 node, root = local_roots(a, b)
@@ -248,14 +248,19 @@ def _verified(similarity: float):
     return run
 
 
-def _block_links(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that span the block's groups; pairs that earlier links have joined aren't looked at."""
+def _block_links(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span the block's groups; pairs that roots or earlier links have joined aren't looked at, nor those whose marks rule them out."""
     size = np.array([len(s) for s in sets])
-    label, out = np.arange(len(keys)), []
+    label, out = np.unique(roots, return_inverse=True)[1], []
+    if not label.any():
+        return out
+    marks = Marks([mark(s) for s in sets], size)
     for i in range(len(keys) - 1):
         rest = np.arange(i + 1, len(keys))
         rest = rest[label[rest] != label[i]]
-        rest = rest[np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i])]
+        rest = rest[np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]) - 1e-9]
+        if len(rest):
+            rest = rest[marks.most(np.full(len(rest), i), rest) >= np.ceil(similarity / (1 + similarity) * (size[rest] + size[i]) - 1e-9)]
         for j in rest:
             if label[j] == label[i]:
                 continue
@@ -297,26 +302,55 @@ def _prefix_size(size, similarity: float):
 
 
 def mark(head: np.ndarray) -> bytes:
-    """``MARK`` bits, one set for each hash."""
-    bits = np.zeros(MARK, dtype=bool)
-    bits[(head % np.uint64(MARK)).astype(np.int64)] = True
+    """A bit set for each hash, of ``MARK`` bits or the power of two that gives each hash four: a longer mark, folded, is the shorter one."""
+    n = max(MARK, 1 << (4 * len(head) - 1).bit_length() if len(head) else 0)
+    bits = np.zeros(n, dtype=bool)
+    bits[(head % np.uint64(n)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
-def _marked(similarity: float):
-    """A block's pairs under different roots that may be of the similarity.
+class Marks:
+    """Marks of sets of these sizes, each at its own length and folded to half of it."""
+
+    def __init__(self, marks: list[bytes], size: np.ndarray) -> None:
+        self.length = np.array([len(m) for m in marks])
+        self.place = np.zeros((2, len(marks)), dtype=np.int64)  # rows of the own and of the half length
+        self.bits: dict[int, np.ndarray] = {}
+        self.spare: dict[int, np.ndarray] = {}
+        for n in np.unique(self.length):
+            own, longer = np.flatnonzero(self.length == n), np.flatnonzero(self.length == 2 * n)
+            made = np.frombuffer(b"".join(marks[i] for i in (*own, *longer)), np.uint64)
+            folded = made[len(own) * n // 8 :].reshape(-1, 2, n // 8)
+            made = np.concatenate([made[: len(own) * n // 8].reshape(-1, n // 8), folded[:, 0] | folded[:, 1]])
+            self.place[0, own], self.place[1, longer] = np.arange(len(own)), np.arange(len(own), len(made))
+            self.bits[n], self.spare[n] = made, size[np.concatenate([own, longer])] - np.bitwise_count(made).sum(axis=1, dtype=np.int64)
+
+    def most(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many hashes x[i] and y[i] share at most, whose lengths differ once at most.
+
+        They share no more than the bits that both have, and those hashes of the one with fewer such that fell on
+        a bit already set.
+        """
+        out, at = np.zeros(len(x), dtype=np.int64), np.minimum(self.length[x], self.length[y])
+        for n in np.unique(at):
+            here = np.flatnonzero(at == n)
+            a, b = (self.place[(self.length[v[here]] > n).astype(np.int64), v[here]] for v in (x, y))
+            bits, spare = self.bits[n], self.spare[n]
+            for lo in range(0, len(here), STEP):  # bounds memory
+                p, q = a[lo : lo + STEP], b[lo : lo + STEP]
+                out[here[lo : lo + STEP]] = np.bitwise_count(bits[p] & bits[q]).sum(axis=1, dtype=np.int64) + np.minimum(spare[p], spare[q])
+        return out
 
-    Two prefixes share at most the bits that both marks have, and those hashes of the one with fewer such that
-    fell on a bit already set.
-    """
+
+def _marked(similarity: float):
+    """A forest over the texts of a block that its pairs under different roots join, of those that may be of the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in sorted_runs(batches, ["shingle", "block_i", "block_j"]):
             key, root, size, own, i, j = (rows.column(c).to_numpy() for c in ("key", "root", "size", "block_own", "block_i", "block_j"))
-            marks = np.frombuffer(b"".join(rows.column("mark").to_pylist()), np.uint64).reshape(len(key), MARK // 64)
-            spare = _prefix_size(size, similarity) - np.bitwise_count(marks).sum(axis=1, dtype=np.int64)
+            marks = Marks(rows.column("mark").to_pylist(), _prefix_size(size, similarity))
             rest = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(key)) - 1  # rows of its run that come later
-            live, step = np.flatnonzero(rest), 0
+            live, step, found = np.flatnonzero(rest), 0, []
             while len(live):
                 step += 1
                 live = live[rest[live] >= step]
@@ -325,12 +359,14 @@ def _marked(similarity: float):
                 near = (root[x] != root[y]) & (small >= similarity * large - 1e-9) & ((own[x] != own[y]) | (i[x] == j[x]))
                 x, y, small, large = x[near], y[near], small[near], large[near]
                 need = np.ceil(similarity / (1 + similarity) * (small + large) - 1e-9).astype(np.int64) - np.maximum(small - _prefix_size(small, similarity), large - _prefix_size(large, similarity))
-                most = np.bitwise_count(marks[x] & marks[y]).sum(axis=1, dtype=np.int64) + np.minimum(spare[x], spare[y])
-                x, y = x[most >= need], y[most >= need]
-                if len(x):
-                    first = key[x] < key[y]
-                    a, b = np.where(first, x, y), np.where(first, y, x)
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[a], key[b], root[a], root[b])], names=["a", "b", "root_a", "root_b"])
+                may = marks.most(x, y) >= need
+                found.append((key[x[may]], key[y[may]]))
+                if sum(len(a) for a, _ in found) >= PAIRS:
+                    found = [local_roots(*map(np.concatenate, zip(*found, strict=True)))]
+            if found:
+                node, of = local_roots(*map(np.concatenate, zip(*found, strict=True)))
+                if len(node):
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(of)], names=["a", "b"])
 
     return run
 
@@ -341,19 +377,18 @@ def _least_shared(small: Column, large: Column, similarity: float) -> Column:
     return F.ceil(F.lit(similarity / (1 + similarity)) * (small + large) - F.lit(1e-9)) - F.greatest(rest(small), rest(large))
 
 
-def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words: int, chunk: int, rounds: int = 3) -> DataFrame:
+def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words: int, chunk: int) -> DataFrame:
     """Links (a, b) that join all pairs of ``texts`` (of, text; copies repeat) with that Jaccard similarity under different ``roots``.
 
     Sets x and y of that similarity have sizes within it and share alpha = similarity / (1 +
     similarity) * (|x| + |y|) shingles at least, of which all but |x| - |prefix of x| (or the
     same of y, whichever prefix ends first) lie in both prefixes. Pairs that share that many
-    there are compared whole.
+    there may be alike. Where over ``WIDE`` texts of a shingle meet, their prefixes' marks bound what
+    two of them share, and a block answers with a forest of what may be alike (``_marked``): a
+    group of near copies, or of texts with a passage in common, costs its size and not its square.
 
-    A large group of near copies would give all its pairs. So at first, in each of ``rounds``
-    rounds, the texts of a shingle are compared with one of them alone, and what proves alike
-    is one group from then on; all pairs are formed only of the groups that are still different.
-    Where over ``WIDE`` texts of a shingle are left, their prefixes' marks (a bit a hash) bound what two of
-    them share, and only pairs that may share enough are given out (``_marked``).
+    The components of what may be alike are then compared whole, in blocks that hold each text
+    once for each other chunk of its component and answer with a forest in turn.
     """
     common = _common(texts, words)
     order = np.argsort(common)
@@ -387,60 +422,29 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
                 near = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9) & ((own[x] != own[y]) | (i[x] == j[x]))
                 if near.any():
                     x, y = x[near], y[near]
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[x], root[x], size[x], key[y], root[y], size[y])], names=["key", "root", "size", "c_key", "c_root", "c_size"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [[np.frombuffer(s.as_py(), np.uint64) for s in batch.column(c)] for c in ("left", "right")]
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], dtype=np.int64)
-            of = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], dtype=np.int64)
-            yield batch.select(["a", "b", "root_a", "root_b"]).filter(pa.array(both >= similarity * (of - both)))
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[x], size[x], key[y], size[y])], names=["key", "size", "c_key", "c_size"])
 
     made = save(texts.mapInArrow(heads, "of long, size long, head binary, mark binary").dropDuplicates(["of"]))
     rooted = made.join(roots, made["of"] == roots["node"], "left").select("of", F.coalesce("root", "of").alias("root"), "size", "head")
     rows = save(_live(rooted.mapInArrow(entries, "shingle long, key long, root long, size long")))
     marks = save(made.select(F.col("of").alias("key"), "mark"))
     drop(made)
-    sets = save(_with_shingles(_bodies(texts, rows.select("key").distinct()), words))
-    left, right = (sets.select(F.col("of").alias(f"of_{c}"), F.col("shingles").alias(c)) for c in ("left", "right"))
-
-    def counted(met: DataFrame) -> DataFrame:
-        """Of (key, root, size; c_key, c_root, c_size), a row a shared shingle: the pairs that share enough of them."""
-        a, b = F.col("key") < F.col("c_key"), F.least("size", "c_size")
-        met = met.select(F.least("key", "c_key").alias("a"), F.greatest("key", "c_key").alias("b"), F.when(a, F.col("root")).otherwise(F.col("c_root")).alias("root_a"), F.when(a, F.col("c_root")).otherwise(F.col("root")).alias("root_b"), _least_shared(b, F.greatest("size", "c_size"), similarity).alias("need"))
-        return met.groupBy("a", "b", "root_a", "root_b", "need").count().where("count >= need").select("a", "b", "root_a", "root_b")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs of that similarity."""
-        pairs = save(pairs)
-        found = pairs.join(left, F.col("a") == F.col("of_left")).join(right, F.col("b") == F.col("of_right"))
-        out = save(found.select("a", "b", "root_a", "root_b", "left", "right").mapInArrow(whole, "a long, b long, root_a long, root_b long"))
-        drop(pairs)
-        return out
-
-    links = []
-    for turn in range(rounds):
-        centre = rows.groupBy("shingle").agg(F.min_by(F.struct("key", "root", "size"), F.xxhash64("root", F.lit(turn))).alias("c")).select("shingle", F.col("c.key").alias("c_key"), F.col("c.root").alias("c_root"), F.col("c.size").alias("c_size"))
-        near = F.least("size", "c_size") >= F.lit(similarity) * F.greatest("size", "c_size") - F.lit(1e-9)
-        links.append(alike(counted(rows.join(centre, "shingle").where((F.col("root") != F.col("c_root")) & near))))
-        if links[-1].isEmpty():
-            break
-        merged = connected_components(links[-1].select("root_a", "root_b")).select(F.col("node").alias("was"), F.col("root").alias("now"))
-        moved = rows.join(merged, F.col("root") == F.col("was"), "left").select("shingle", "key", F.coalesce("now", "root").alias("root"), "size")
-        old, rows = rows, save(_live(moved))
-        drop(old)
     wide = save(rows.groupBy("shingle").count().where(F.col("count") > WIDE).select("shingle"))
-    met = in_blocks(rows.join(wide, "shingle", "left_anti"), ["shingle"], "key", chunk).mapInArrow(meet, "key long, root long, size long, c_key long, c_root long, c_size long")
-    pairs = counted(met)  # whole for pairs that share no wide shingle; the others are all found there
+    met = in_blocks(rows.join(wide, "shingle", "left_anti"), ["shingle"], "key", chunk).mapInArrow(meet, "key long, size long, c_key long, c_size long")
+    least = _least_shared(F.least("size", "c_size"), F.greatest("size", "c_size"), similarity)
+    met = met.select(F.least("key", "c_key").alias("a"), F.greatest("key", "c_key").alias("b"), least.alias("need"))
+    maybe = met.groupBy("a", "b", "need").count().where("count >= need").select("a", "b")  # whole for pairs that share no wide shingle; the others are all found there
     if not wide.isEmpty():
         dealt = in_blocks(rows.join(wide, "shingle", "left_semi"), ["shingle"], "key", chunk, marks)
-        pairs = pairs.union(dealt.mapInArrow(_marked(similarity), "a long, b long, root_a long, root_b long")).distinct()
-    links.append(alike(pairs))
-    drop(rows, sets, marks)
-    out = links[0].select("a", "b")
-    for more in links[1:]:
-        out = out.union(more.select("a", "b"))
-    return out
+        maybe = maybe.union(dealt.mapInArrow(_marked(similarity), "a long, b long"))
+    places = connected_components(maybe)
+    drop(rows, marks)
+    placed = save(places.select(F.col("node").alias("key"), F.col("root").alias("place")).union(places.select("root", "root").distinct()))
+    rooted = placed.join(roots, placed["key"] == roots["node"], "left").select("key", "place", F.coalesce("root", "key").alias("root"))
+    sets = save(rooted.join(_with_shingles(_bodies(texts, placed.select("key")), words), F.col("key") == F.col("of")).select("key", "place", "root", "shingles"))
+    links = save(in_blocks(sets, ["place"], "key", chunk).mapInArrow(_verified(similarity), "a long, b long"))
+    drop(sets, placed)
+    return links
 
 
 def _live(rows: DataFrame) -> DataFrame:

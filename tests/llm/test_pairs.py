@@ -237,3 +237,29 @@ def test_near_dedup_finds_copies_of_any_distance_in_bits(spark, monkeypatch):
     for chunk, wide in ((512, 32), (7, 1)):
         monkeypatch.setattr(simhash, "WIDE", wide)
         assert sorted(x.doc_id for x in simhash.near_dedup(df, chunk=chunk).collect()) == sorted(set(root.values()))
+
+
+def test_texts_with_a_common_passage_cost_their_number_not_its_square(spark):
+    """300 texts, all in one shingle and alike enough for their prefixes to pass, but no pair of them of the similarity."""
+    r = np.random.default_rng(5)
+    shared = np.arange(1, 90, dtype=np.uint64)
+    heads = [np.concatenate([shared, r.integers(1 << 20, 1 << 62, 11, dtype=np.uint64)]) for _ in range(300)]
+    rows = [(7, k, k, 500, 0, 0, 0, simhash.mark(h)) for k, h in enumerate(heads)]
+    df = spark.createDataFrame(rows, "shingle long, key long, root long, size long, block_own int, block_i int, block_j int, mark binary").coalesce(1)
+    got = df.mapInArrow(simhash._marked(0.8), "a long, b long").collect()
+    assert {frozenset(x) for x in got} == {frozenset((k, 0)) for k in range(1, 300)}
+
+
+def test_marks_of_long_texts_tell_them_apart():
+    """Unrelated sets of any size are bounded far below what sets of the similarity share, and bounds are never too low."""
+    r = np.random.default_rng(6)
+    sets = [r.integers(0, 1 << 63, n, dtype=np.uint64) for n in (40, 250, 260, 1000, 1030, 4000, 4090, 4100)]
+    sets += [np.concatenate([s[: len(s) * 9 // 10], r.integers(0, 1 << 63, len(s) // 10, dtype=np.uint64)]) for s in sets]
+    size = np.array([len(s) for s in sets])
+    marks = simhash.Marks([simhash.mark(s) for s in sets], size)
+    for x in range(len(sets)):
+        for y in range(x):
+            if min(size[x], size[y]) < 0.8 * max(size[x], size[y]):
+                continue
+            both, most = len(np.intersect1d(sets[x], sets[y])), marks.most(np.array([x]), np.array([y]))[0]
+            assert both <= most <= both + 0.4 * max(size[x], size[y])
