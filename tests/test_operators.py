@@ -355,3 +355,18 @@ def test_weighted_order_draws_by_weight(spark):
     assert 0.68 < np.mean([r.id % 2 == 0 for r in drawn]) < 0.82
     w = splits.sampling_weights(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, label string"), "label")
     assert {(r.id, r.weight) for r in w.collect()} == {(1, 0.5), (2, 0.5), (3, 1.0)}
+
+
+def test_fisher_on_large_tables_and_far_ones(spark):
+    """Steps follow from the spread, not from the square of the rows; one-sided tails, symmetric ties and no rows at all."""
+    rows = [(1_250_000, 1_250_000, 2_498_000, 2_502_000), (9, 0, 0, 9), (0, 7, 7, 0), (50, 950, 10, 990), (0, 0, 0, 0), (5, 0, 0, 0), (30_000, 0, 0, 30_000), (12, 18, 40, 21)]
+    began = time.time()
+    got = [x.p_value for x in metrics.fisher(spark.createDataFrame(rows, "a long, b long, c long, d long").coalesce(1), "a", "b", "c", "d").collect()]
+    assert time.time() - began < 30
+    lg = math.lgamma
+    for (a, b, c, d), p in zip(rows, got, strict=True):
+        r, k, n = a + b, a + c, a + b + c + d
+        base = lg(r + 1) + lg(n - r + 1) + lg(k + 1) + lg(n - k + 1) - lg(n + 1)
+        logp = lambda x: base - lg(x + 1) - lg(r - x + 1) - lg(k - x + 1) - lg(n - r - k + x + 1)  # noqa: B023, E731
+        want = sum(math.exp(logp(x)) for x in range(max(0, r + k - n), min(r, k) + 1) if logp(x) <= logp(a) + 1e-9)
+        assert math.isclose(p, min(1.0, want), rel_tol=2e-6, abs_tol=1e-300)
