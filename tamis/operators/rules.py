@@ -86,13 +86,17 @@ def same_set(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
 
 
-def missing_files(media: DataFrame, files: DataFrame) -> DataFrame:
+def missing_files(media: DataFrame, files: DataFrame, key: tuple[str, ...] = ("path",)) -> DataFrame:
     """(id, path, problem) of media whose file is absent, or differs in size or SHA-256 from what is declared.
 
-    ``media``: (id, path, sha256, size); ``files``: (path, sha256, size) as found.
+    ``media``: (id, path, sha256, size); ``files``: (path, sha256, size) as found, one of each ``key``,
+    whose columns both have (paths that repeat need more than the path). A null there equals a null.
     """
-    f = files.select("path", F.col("sha256").alias("has_sha"), F.col("size").alias("has_size"), F.lit(True).alias("there"))
-    j = media.join(f, "path", "left")
+    f = files.select(*(F.col(c).alias(f"has_{c}") for c in key), F.col("sha256").alias("has_sha"), F.col("size").alias("has_size"), F.lit(True).alias("there"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"has_{c}"))
+    j = media.join(f, same, "left")
     problem = F.when(F.col("there").isNull(), "missing").when(F.col("size") != F.col("has_size"), "size").when(F.col("sha256") != F.col("has_sha"), "sha256")
     return j.withColumn("problem", problem).where("problem IS NOT NULL").select("id", "path", "problem")
 

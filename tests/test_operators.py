@@ -370,3 +370,17 @@ def test_fisher_on_large_tables_and_far_ones(spark):
         logp = lambda x: base - lg(x + 1) - lg(r - x + 1) - lg(k - x + 1) - lg(n - r - k + x + 1)  # noqa: B023, E731
         want = sum(math.exp(logp(x)) for x in range(max(0, r + k - n), min(r, k) + 1) if logp(x) <= logp(a) + 1e-9)
         assert math.isclose(p, min(1.0, want), rel_tol=2e-6, abs_tol=1e-300)
+
+
+def test_missing_files_where_paths_repeat(spark):
+    media = spark.createDataFrame([(1, "p", "x", 3), (2, "p", "y", 4), (3, None, "z", 5), (4, None, "z", 5), (5, "q", "w", 1)], "id long, path string, sha256 string, size long")
+    files = spark.createDataFrame([(1, "p", "x", 3), (2, "p", "y", 5), (3, None, "z", 5), (5, "q", "v", 1)], "id long, path string, sha256 string, size long")
+    assert {tuple(r) for r in rules.missing_files(media, files, ("id", "path")).collect()} == {(2, "p", "size"), (4, None, "missing"), (5, "q", "sha256")}
+
+
+def test_missing_files_query_on_pages_of_one_url(spark, tmp_path):
+    from tamis import plans
+
+    spark.createDataFrame([(k, "u" if k % 2 else None, None if k == 12 else f"h{k}") for k in range(20)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = {(k, "missing" if k % 5 == 0 else "size" if k % 5 == 1 else "sha256") for k in range(20) if k % 5 < 3}
+    assert {(r.id, r.problem) for r in plans.QUERIES["missing_files"](spark, str(tmp_path)).collect()} == want
