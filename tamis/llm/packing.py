@@ -24,6 +24,7 @@ from tamis.llm._shared import save
 from tamis.session import ship
 
 LOOKED = 1000  # sums looked at for a node's fillings; the first is among them
+ROUNDED = 100  # shares of a sequence that the bound rounds lengths to: halves to hundredths
 Run = tuple[tuple[int, ...], int]  # the lengths in a sequence, largest first, and how many such sequences
 
 
@@ -197,7 +198,12 @@ def dive(hist: dict[int, int], capacity: int, bound: int, way: int = 0) -> list[
 
 
 def lower_bound(hist: dict[int, int], capacity: int) -> int:
-    """No packing has fewer sequences: by tokens, and for each length k up to half by those that can't share one with k (Martello and Toth's second bound)."""
+    """No packing has fewer sequences.
+
+    By tokens, for each length k up to half by those that can't share one with k (Martello and
+    Toth's second bound), and with lengths rounded to shares 1/k of a sequence, of which k at most
+    fit (Fekete and Schepers' dual feasible functions): two lengths over a third fill one, say.
+    """
     count = np.zeros(capacity + 1, dtype=np.int64)
     for size, n in hist.items():
         count[size] = n
@@ -209,6 +215,10 @@ def lower_bound(hist: dict[int, int], capacity: int) -> int:
         half = int(above[capacity // 2 + 1]) - large
         middle = int(tokens[capacity - k] - (tokens[k - 1] if k else 0))
         best = max(best, large + half + max(0, -(-(middle - half * capacity) // capacity)))
+    sizes = np.arange(capacity + 1)
+    for k in range(1, ROUNDED + 1):
+        times, over = np.divmod((k + 1) * sizes, capacity)
+        best = max(best, -(-int((count * np.where(over, times * capacity, k * sizes)).sum()) // (k * capacity)))
     return best
 
 

@@ -165,6 +165,12 @@ def test_the_bound_is_one(seed):
     assert packing.lower_bound(Counter(items), 20) <= fewest(items, 20)
 
 
+def test_the_bound_sees_that_few_large_lengths_share_a_sequence():
+    for share in (2, 3, 5, 9):
+        assert packing.lower_bound({4096 // (share + 1) + 1: 100 * share, 1: 3}, 4096) == 100
+    assert packing.lower_bound({}, 4096) == 0 and packing.lower_bound({1024: 8, 2048: 2}, 4096) == 3
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 1000, 4097])
 def test_the_permutation_is_one(n):
     slots = shards.permute(np.arange(n), n, "k")
