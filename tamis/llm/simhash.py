@@ -17,7 +17,8 @@ with all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -37,6 +38,8 @@ SAMPLE = 16  # one text of so many is looked at for common shingles
 WIDE = 32  # texts of a shingle from which on pairs are tried where they meet, and only a forest of those that may pass is given out
 MARK = 1024  # bits of a mark at least; four a hash or more
 COMMON = 1 << 17  # common shingles known by name at most; the rest are ordered by hash
+SLICES = 4  # prefixes' shingles are shuffled so many times a part, which bounds the disk at once
+SIEVED = 1 << 24  # keys in a sieve at most (64 MB for as many); for more, all rows are shuffled
 
 
 def shingle_hashes(text: bytes | None, n: int) -> Iterator[np.ndarray]:
@@ -194,40 +197,65 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key_at, of_id, of_key = fresh(docs, "key", "of_id", "of_key")
     text = F.coalesce(F.col(text_col), F.lit(""))
     here = docs.withColumn(key_at, F.xxhash64(text))
-    one = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text"))).alias("one")
-    firsts = here.groupBy(F.col(key_at).alias("key")).agg(one).select("key", "one.*")
-    texts = save(with_fingerprint(firsts, "text", "fp", 3))
+    prints = with_fingerprint(here.select(F.col(key_at).alias("key"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text")), "text", "fp", 3)
+    texts = save(prints.groupBy("key").agg(F.min(F.struct("none", "id", "fp")).alias("one"), F.count("*").alias("rows")).select("key", "one.*", "rows"))
     near = connected_components(fingerprint_links(texts.select("fp").distinct(), max_bits))
     placed = texts.join(near, texts["fp"] == near["node"], "left").select("key", F.coalesce("root", "fp").alias("place"))
     sizes = placed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
     wanted = save(placed.join(sizes, "place").select("key", "place"))
     every = here.select(F.col(key_at).alias("of"), text.alias("text"))
-    sets = save(wanted.join(_with_shingles(_bodies(every, wanted.select("key")), words), F.col("key") == F.col("of")).select("key", "place", "shingles"))
+    sets = save(_with_shingles(_bodies(every, wanted), words))
     links = save(in_blocks(sets.withColumn("root", F.col("key")), ["place"], "key", chunk).mapInArrow(_verified(similarity), "a long, b long"))
     drop(sets)
     roots = connected_components(links.union(_prefix_links(every, connected_components(links), similarity, words, chunk)))
     grouped = texts.join(roots, texts["key"] == roots["node"], "left").select("none", "id", "key", F.coalesce("root", "key").alias("root"))
     kept = grouped.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("one"))
     kept = save(kept.select(F.col("one.id").alias(of_id), F.col("one.key").alias(of_key)))
-    stay = here.join(kept, (F.col(key_at) == F.col(of_key)) & F.col(id_col).eqNullSafe(F.col(of_id)), "left_semi")
-    return stay.dropDuplicates([id_col, key_at]).select(*docs.columns)
+    exact = lambda rows: rows.join(kept, (F.col(key_at) == F.col(of_key)) & F.col(id_col).eqNullSafe(F.col(of_id)), "left_semi").dropDuplicates([id_col, key_at]).select(*docs.columns)
+    # a row alone with its text, in no group, stays as it is and needs no shuffle
+    grouped = texts.where("rows > 1").select("key").union(roots.select("node")).union(roots.select("root"))
+    if (may := _sieve(save(grouped.distinct()))) is None:
+        return exact(here)
+    return here.where(~may(key_at)).select(*docs.columns).union(exact(here.where(may(key_at))))
 
 
-def _bodies(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(of, text), once each, of the texts with these keys."""
-    (key,) = keys.columns
-    return texts.join(keys.withColumnRenamed(key, "asked"), F.col("of") == F.col("asked"), "left_semi").dropDuplicates(["of"])
+def _sieve(keys: DataFrame) -> Callable[[str], Column] | None:
+    """A test of a column of 64-bit hashes: true for all of ``keys``, and for about one in 16 of the others. None if there are too many keys."""
+    n = keys.count()
+    if n > SIEVED:
+        return None
+    last = (1 << max(10, (16 * n).bit_length() - 1)) - 1
+    place = keys.select(F.col(keys.columns[0]).bitwiseAND(F.lit(last)).cast("int")).toArrow().column(0).to_numpy()
+    bits = np.zeros(last + 1, dtype=bool)
+    bits[place] = True
+    known = keys.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+    @F.arrow_udf("boolean")
+    def may(key: pa.Array) -> pa.Array:
+        at = key.to_numpy(zero_copy_only=False) & last
+        return pa.array((known.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return may
+
+
+def _bodies(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``asked`` with the ``text`` of their ``key``, once each; few other texts are shuffled."""
+    may = _sieve(asked.select("key"))
+    few = texts.where(may("of")) if may else texts
+    return asked.join(few, F.col("key") == F.col("of")).dropDuplicates(["key"]).drop("of")
 
 
 def _with_shingles(texts: DataFrame, words: int) -> DataFrame:
-    """(of, shingles): the sorted distinct hashes of the shingles of (of, text), as bytes."""
+    """Replace the text by ``shingles``, the sorted distinct hashes of its shingles, as bytes; other columns stay."""
+    fields = [f for f in texts.schema.fields if f.name != "text"]
+    schema = T.StructType([*fields, T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py(), words)])).tobytes() for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("of"), pa.array(made, pa.binary())], names=["of", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(made, pa.binary())], names=[f.name for f in schema])
 
-    return texts.mapInArrow(run, "of long, shingles binary")
+    return texts.mapInArrow(run, schema)
 
 
 def _verified(similarity: float):
@@ -387,6 +415,10 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
     two of them share, and a block answers with a forest of what may be alike (``_marked``): a
     group of near copies, or of texts with a passage in common, costs its size and not its square.
 
+    A shingle that stands in one text's prefix only is nearly all of them, so entries are
+    shuffled once, in ``SLICES``, to be rid of those; the common ones, which a task shouldn't
+    gather, are known beforehand and spared that.
+
     The components of what may be alike are then compared whole, in blocks that hold each text
     once for each other chunk of its component and answer with a forest in turn.
     """
@@ -397,17 +429,27 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ranks = known.value
         for batch in batches:
+            batch = batch.take(pa.array(np.unique(batch.column("of").to_numpy(), return_index=True)[1]))  # copies elsewhere go with their entries
             sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py(), words)])) for t in batch.column("text").cast(pa.binary())]
             made = [prefix(s, similarity, names, ranks) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("of"), pa.array([len(s) for s in sets], pa.int64()), pa.array([h.tobytes() for h in made], pa.binary()), pa.array(list(map(mark, made)), pa.binary())], names=["of", "size", "head", "mark"])
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in range(0, batch.num_rows, 256):
-                b = batch.slice(part, 256)
-                found = [np.frombuffer(h.as_py(), np.int64) for h in b.column("head")]
-                at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *(b.column(c).take(at) for c in ("of", "root", "size"))], names=["shingle", "key", "root", "size"])
+    def entries(part: int | None):
+        """The entries of a slice without common shingles, or (None) those with."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, _ = known.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    b = batch.slice(lo, 256)
+                    found = [np.frombuffer(h.as_py(), np.uint64) for h in b.column("head")]
+                    shingle = np.concatenate(found)
+                    at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                    common = np.isin(shingle, names)
+                    mine = np.flatnonzero(common if part is None else ~common & (shingle % np.uint64(SLICES) == part))
+                    yield pa.RecordBatch.from_arrays([pa.array(shingle[mine].view(np.int64)), *(b.column(c).take(pa.array(at[mine])) for c in ("of", "size"))], names=["shingle", "key", "size"])
+
+        return run
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in sorted_runs(batches, ["shingle", "block_i", "block_j"]):
@@ -424,11 +466,18 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
                     x, y = x[near], y[near]
                     yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[x], size[x], key[y], size[y])], names=["key", "size", "c_key", "c_size"])
 
-    made = save(texts.mapInArrow(heads, "of long, size long, head binary, mark binary").dropDuplicates(["of"]))
-    rooted = made.join(roots, made["of"] == roots["node"], "left").select("of", F.coalesce("root", "of").alias("root"), "size", "head")
-    rows = save(_live(rooted.mapInArrow(entries, "shingle long, key long, root long, size long")))
-    marks = save(made.select(F.col("of").alias("key"), "mark"))
+    made = save(texts.mapInArrow(heads, "of long, size long, head binary, mark binary"))
+    entry = "shingle long, key long, size long"
+    slim = made.select("of", "size", "head")
+    parts = [save(slim.mapInArrow(entries(None), entry).dropDuplicates(["shingle", "key"]))]
+    for k in range(SLICES):
+        parts.append(save(slim.mapInArrow(entries(k), entry).repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_shared_entries, entry)))
+    marks = save(made.select(F.col("of").alias("key"), "mark").dropDuplicates(["key"]))
     drop(made)
+    found = reduce(DataFrame.union, parts)
+    rooted = found.join(roots, found["key"] == roots["node"], "left").select("shingle", "key", F.coalesce("root", "key").alias("root"), "size")
+    rows = save(_live(rooted))
+    drop(*parts)
     wide = save(rows.groupBy("shingle").count().where(F.col("count") > WIDE).select("shingle"))
     met = in_blocks(rows.join(wide, "shingle", "left_anti"), ["shingle"], "key", chunk).mapInArrow(meet, "key long, size long, c_key long, c_size long")
     least = _least_shared(F.least("size", "c_size"), F.greatest("size", "c_size"), similarity)
@@ -441,12 +490,31 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
     drop(rows, marks)
     placed = save(places.select(F.col("node").alias("key"), F.col("root").alias("place")).union(places.select("root", "root").distinct()))
     rooted = placed.join(roots, placed["key"] == roots["node"], "left").select("key", "place", F.coalesce("root", "key").alias("root"))
-    sets = save(rooted.join(_with_shingles(_bodies(texts, placed.select("key")), words), F.col("key") == F.col("of")).select("key", "place", "root", "shingles"))
+    sets = save(_with_shingles(_bodies(texts, rooted), words))
     links = save(in_blocks(sets, ["place"], "key", chunk).mapInArrow(_verified(similarity), "a long, b long"))
     drop(sets, placed)
     return links
 
 
+def _shared_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by shingle and key, once each, those whose shingle has several keys; no more than a batch and a row is held."""
+    was, live = None, False  # the row that awaits its successor, and whether its shingle had another key before
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if was is None else [was, batch])
+        shingle, key = rows.column("shingle").to_numpy(), rows.column("key").to_numpy()
+        same = shingle[1:] == shingle[:-1]
+        once = np.flatnonzero(np.concatenate([[True], ~same | (key[1:] != key[:-1])]))
+        same = shingle[once[1:]] == shingle[once[:-1]]
+        before = np.concatenate([[live], same])
+        keep = before | np.concatenate([same, [False]])
+        was, live = rows.slice(int(once[-1]), 1).combine_chunks().to_batches()[0], bool(before[-1])
+        yield from rows.take(pa.array(once[:-1][keep[:-1]])).to_batches()
+    if live:
+        yield was
+
+
 def _live(rows: DataFrame) -> DataFrame:
     """The rows of shingles that stand under several roots."""
     shared = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -263,3 +264,54 @@ def test_marks_of_long_texts_tell_them_apart():
                 continue
             both, most = len(np.intersect1d(sets[x], sets[y])), marks.most(np.array([x]), np.array([y]))[0]
             assert both <= most <= both + 0.4 * max(size[x], size[y])
+
+
+def test_near_dedup_shuffles_few_texts(spark):
+    """Of texts that no other resembles, hardly any is shuffled, even where no join is broadcast."""
+    r = random.Random(8)
+    rows = [(k, " ".join(f"{r.getrandbits(256):064x}" for _ in range(300))) for k in range(400)]
+    rows += [(2000 + k, rows[k][1] + " more") for k in range(8)] + [(3000, rows[30][1]), (31, rows[31][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        jobs, stages = store.jobsList(None), set()
+        for job in (jobs.apply(k) for k in range(jobs.size())):
+            ids = job.stageIds()
+            stages |= {int(ids.apply(k)) for k in range(ids.size())}
+        return {k: store.lastStageAttempt(k).shuffleWriteBytes() for k in stages}
+
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = set(written())
+        kept = [x.doc_id for x in simhash.near_dedup(df).collect()]
+        moved = sum(n for k, n in written().items() if k not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert sorted(kept) == list(range(400))
+    assert moved < 0.5 * sum(len(t) for _, t in rows)
+
+
+def test_entries_of_shingles_that_several_texts_share():
+    r = np.random.default_rng(11)
+    for n in (0, 1, 5, 300):
+        for most in (3, 40, 400):
+            rows = sorted((int(a), int(b), 9) for a, b in zip(r.integers(0, most, n), r.integers(0, 6, n), strict=True))
+            cuts = [0, *sorted(r.integers(0, n + 1, r.integers(0, 40)).tolist()), n]
+            batches = [pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows[lo:hi]], pa.int64()) for c in range(3)], names=["shingle", "key", "size"]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            got = [tuple(x.values()) for b in simhash._shared_entries(iter(batches)) for x in b.to_pylist()]
+            once = sorted(set(rows))
+            assert got == [x for x in once if sum(y[0] == x[0] for y in once) > 1]
+
+
+def test_a_sieve_holds_its_keys_and_few_others(spark, monkeypatch):
+    ids = spark.range(60_000).select(F.xxhash64("id").alias("key"), "id")
+    for n in (0, 1, 5000):
+        may = simhash._sieve(ids.where(F.col("id") < n).select("key"))
+        through = {x.id for x in ids.where(may("key")).collect()}
+        assert through >= set(range(n)) and len(through) < n + 60_000 / 5
+    monkeypatch.setattr(simhash, "SIEVED", 10)
+    assert simhash._sieve(ids.select("key")) is None
+    texts = spark.createDataFrame([(k, f"{'a b c d e f g h ' * 20}{k % 12}") for k in range(24)] + [(99, "x"), (98, None)], "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.near_dedup(texts).collect()) == [0, 98, 99]
