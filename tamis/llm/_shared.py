@@ -53,7 +53,7 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
         yield rows, np.array([0, rows.num_rows])
 
 
-def in_blocks(rows: DataFrame, keys: list[str], member: str, chunk: int, payload: DataFrame | None = None, singles: bool = False) -> DataFrame:
+def in_blocks(rows: DataFrame, keys: list[str], member: str, chunk: int, payload: DataFrame | None = None, singles: bool = False, part: tuple[int, int] = (0, 1)) -> DataFrame:
     """Rows dealt by their group, for comparing all members of a group without gathering a large one.
 
     A group of over ``chunk`` rows is cut into n chunks by a hash of ``member``, and each row goes
@@ -62,6 +62,7 @@ def in_blocks(rows: DataFrame, keys: list[str], member: str, chunk: int, payload
     keys and the first two within partitions. Groups of one row are dropped (they have nothing to
     compare) unless ``singles``, which looks up large groups only: cheaper where nearly all rows
     are narrow. ``payload``, joined by ``member`` to what is left, spares wide rows the dealing.
+    ``part`` (k, n) deals the k-th of n parts of the blocks, for what is too much to deal at once.
     """
     sizes = save(rows.groupBy(*keys).count().where(F.col("count") > (chunk if singles else 1)).select(*keys, F.ceil(F.col("count") / F.lit(chunk)).cast("int").alias("block_n")))
     own = F.pmod(F.xxhash64(F.col(member)), F.col("block_n")).cast("int")
@@ -75,7 +76,9 @@ def in_blocks(rows: DataFrame, keys: list[str], member: str, chunk: int, payload
         .withColumn("block_j", F.greatest("block_own", "block_other"))
         .drop("block_n", "block_other")
     )
+    at = [*keys, "block_i", "block_j"]
+    if part[1] > 1:
+        dealt = dealt.where(F.pmod(F.xxhash64(*at), F.lit(part[1])) == part[0])
     if payload is not None:
         dealt = dealt.join(payload, member)
-    at = [*keys, "block_i", "block_j"]
     return dealt.repartition(*at).sortWithinPartitions(*at)

@@ -39,6 +39,7 @@ WIDE = 32  # texts of a shingle from which on pairs are tried where they meet, a
 MARK = 1024  # bits of a mark at least; four a hash or more
 COMMON = 1 << 17  # common shingles known by name at most; the rest are ordered by hash
 SLICES = 4  # prefixes' shingles are shuffled so many times a part, which bounds the disk at once
+DEALT = 1 << 13  # texts dealt to blocks at once at least; more than a quarter of all texts go in passes, so that large groups cost time and no disk
 SIEVED = 1 << 24  # keys in a sieve at most (64 MB for as many); for more, all rows are shuffled
 
 
@@ -204,9 +205,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = placed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
     wanted = save(placed.join(sizes, "place").select("key", "place"))
     every = here.select(F.col(key_at).alias("of"), text.alias("text"))
-    sets = save(_with_shingles(_bodies(every, wanted), words))
-    links = save(in_blocks(sets.withColumn("root", F.col("key")), ["place"], "key", chunk).mapInArrow(_verified(similarity), "a long, b long"))
-    drop(sets)
+    links = _compared(wanted.withColumn("root", F.col("key")), every, _at_once(texts), similarity, words, chunk)
     roots = connected_components(links.union(_prefix_links(every, connected_components(links), similarity, words, chunk)))
     grouped = texts.join(roots, texts["key"] == roots["node"], "left").select("none", "id", "key", F.coalesce("root", "key").alias("root"))
     kept = grouped.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("one"))
@@ -258,16 +257,65 @@ def _with_shingles(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
+def _at_once(texts: DataFrame) -> int:
+    """How many of a saved table's texts are dealt to blocks at once."""
+    return max(DEALT, texts.count() // 4)
+
+
+def _passes(n: int | None, at_once: int) -> int:
+    return max(1, -(-(n or 0) // at_once))
+
+
+def _compared(asked: DataFrame, texts: DataFrame, at_once: int, similarity: float, words: int, chunk: int) -> DataFrame:
+    """Links (a, b) that join all pairs of that similarity of a place's texts under different roots; ``asked`` has key, place and root.
+
+    Chunks of a place are compared with their neighbours first, which joins most of a large group
+    of near copies. Then those under other roots than a place's largest are compared among
+    themselves and with all others: two under that one need no link. Either is dealt in passes of
+    about ``at_once`` rows, whose shuffles go before the next.
+    """
+    sizes = asked.groupBy("place").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("block_n"))
+    sets = save(_with_shingles(_bodies(texts, asked.join(sizes, "place")), words))
+
+    def dealt(rows: DataFrame) -> list[DataFrame]:
+        at, n = ["place", "block_i", "block_j"], _passes(rows.count(), at_once)
+        parts = [rows.where(F.pmod(F.xxhash64(*at), F.lit(n)) == k) if n > 1 else rows for k in range(n)]
+        return [save(part.repartition(*at).sortWithinPartitions(*at).mapInArrow(_verified(similarity), "a long, b long")) for part in parts]
+
+    own = F.pmod(F.xxhash64("key"), F.col("block_n")).cast("int")
+    pairs = F.sequence(F.greatest(own - 1, F.lit(0)), F.least(own, F.greatest(F.col("block_n") - 2, F.lit(0))))  # of a chunk and the next, by the first
+    links = reduce(DataFrame.union, dealt(sets.select("*", F.explode(pairs).alias("block_i")).select("*", F.col("block_i").alias("block_j"), F.col("block_i").alias("block_own"))))
+    large = sets.where("block_n > 2")
+    if large.isEmpty():
+        drop(sets)
+        return links
+    known = connected_components(links.union(large.where("key <> root").select("key", "root"))).withColumnRenamed("root", "now")
+    now = save(large.join(known, large["key"] == known["node"], "left").select("key", "place", F.coalesce("now", "key").alias("root")))
+    groups = now.groupBy("place", "root").agg(F.count("*").alias("n"))
+    chief = groups.groupBy("place").agg(F.max_by("root", F.struct("n", "root")).alias("chief"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
+    chief = chief.select("place", "chief", F.ceil((F.col("n") - F.col("most")) / F.lit(chunk)).cast("int").alias("others"), F.ceil(F.col("most") / F.lit(chunk)).cast("int").alias("chiefs"))
+    mine = F.col("root") == F.col("chief")
+    own = F.when(mine, F.col("others") + F.pmod(F.xxhash64("key"), F.col("chiefs"))).otherwise(F.pmod(F.xxhash64("key"), F.col("others"))).cast("int")
+    laid = now.join(chief, "place").select("key", "place", "root", own.alias("block_own"), (F.col("others") + F.when(mine, 0).otherwise(F.col("chiefs"))).alias("meets"))
+    rest = save(large.select("key", "shingles").join(laid, "key"))
+    drop(sets, now)
+    other = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other"))
+    links = reduce(DataFrame.union, dealt(other.select("key", "place", "root", "block_own", F.least("block_own", "other").alias("block_i"), F.greatest("block_own", "other").alias("block_j"), "shingles")), links)
+    drop(rest)
+    return links
+
+
 def _verified(similarity: float):
-    """A block's links between texts of that similarity under different roots, as a forest."""
+    """A block's links between texts of that similarity under different roots, as a forest; those of one chunk in the block of it alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in sorted_runs(batches, ["place", "block_i", "block_j"]):
-            keys, roots = rows.column("key").to_numpy(), rows.column("root").to_numpy()
+            keys, roots, own, i, j = (rows.column(c).to_numpy() for c in ("key", "root", "block_own", "block_i", "block_j"))
+            own = np.where(i == j, np.arange(len(own)), own)
             packed = rows.column("shingles")
             links: list[tuple[int, int]] = []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                links += _block_links(keys[lo:hi], roots[lo:hi], [np.frombuffer(packed[int(i)].as_py(), np.uint64) for i in range(lo, hi)], similarity)
+                links += _block_links(keys[lo:hi], roots[lo:hi], own[lo:hi], [np.frombuffer(packed[int(k)].as_py(), np.uint64) for k in range(lo, hi)], similarity)
             if links:
                 a, b = np.array(links, dtype=np.int64).T
                 node, root = local_roots(a, b)
@@ -276,8 +324,8 @@ def _verified(similarity: float):
     return run
 
 
-def _block_links(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that span the block's groups; pairs that roots or earlier links have joined aren't looked at, nor those whose marks rule them out."""
+def _block_links(keys: np.ndarray, roots: np.ndarray, own: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span the block's groups; pairs that roots or earlier links have joined aren't looked at, nor those of one ``own``, nor those whose marks rule them out."""
     size = np.array([len(s) for s in sets])
     label, out = np.unique(roots, return_inverse=True)[1], []
     if not label.any():
@@ -285,7 +333,7 @@ def _block_links(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], si
     marks = Marks([mark(s) for s in sets], size)
     for i in range(len(keys) - 1):
         rest = np.arange(i + 1, len(keys))
-        rest = rest[label[rest] != label[i]]
+        rest = rest[(label[rest] != label[i]) & (own[rest] != own[i])]
         rest = rest[np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]) - 1e-9]
         if len(rest):
             rest = rest[marks.most(np.full(len(rest), i), rest) >= np.ceil(similarity / (1 + similarity) * (size[rest] + size[i]) - 1e-9)]
@@ -419,8 +467,8 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
     shuffled once, in ``SLICES``, to be rid of those; the common ones, which a task shouldn't
     gather, are known beforehand and spared that.
 
-    The components of what may be alike are then compared whole, in blocks that hold each text
-    once for each other chunk of its component and answer with a forest in turn.
+    The components of what may be alike are then compared whole (``_compared``). Pairs, marks and
+    texts that would be more at once than in proportion to the texts go in passes.
     """
     common = _common(texts, words)
     order = np.argsort(common)
@@ -451,20 +499,25 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
 
         return run
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, edges in sorted_runs(batches, ["shingle", "block_i", "block_j"]):
-            key, root, size, own, i, j = (rows.column(c).to_numpy() for c in ("key", "root", "size", "block_own", "block_i", "block_j"))
-            rest = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(key)) - 1  # rows of its run that come later
-            live, step = np.flatnonzero(rest), 0
-            while len(live):
-                step += 1
-                live = live[rest[live] >= step]
-                x, y = live, live + step
-                # two of one chunk meet in all its blocks, and count in its own alone
-                near = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9) & ((own[x] != own[y]) | (i[x] == j[x]))
-                if near.any():
-                    x, y = x[near], y[near]
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[x], size[x], key[y], size[y])], names=["key", "size", "c_key", "c_size"])
+    def meet(part: int, parts: int):
+        """The pairs of a part."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, edges in sorted_runs(batches, ["shingle", "block_i", "block_j"]):
+                key, root, size, own, i, j = (rows.column(c).to_numpy() for c in ("key", "root", "size", "block_own", "block_i", "block_j"))
+                rest = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(key)) - 1  # rows of its run that come later
+                live, step = np.flatnonzero(rest), 0
+                while len(live):
+                    step += 1
+                    live = live[rest[live] >= step]
+                    x, y = live, live + step
+                    # two of one chunk meet in all its blocks, and count in its own alone
+                    near = (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9) & ((own[x] != own[y]) | (i[x] == j[x])) & ((key[x] ^ key[y]).view(np.uint64) % np.uint64(parts) == part)
+                    if near.any():
+                        x, y = x[near], y[near]
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[x], size[x], key[y], size[y])], names=["key", "size", "c_key", "c_size"])
+
+        return run
 
     made = save(texts.mapInArrow(heads, "of long, size long, head binary, mark binary"))
     entry = "shingle long, key long, size long"
@@ -478,21 +531,27 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
     rooted = found.join(roots, found["key"] == roots["node"], "left").select("shingle", "key", F.coalesce("root", "key").alias("root"), "size")
     rows = save(_live(rooted))
     drop(*parts)
-    wide = save(rows.groupBy("shingle").count().where(F.col("count") > WIDE).select("shingle"))
-    met = in_blocks(rows.join(wide, "shingle", "left_anti"), ["shingle"], "key", chunk).mapInArrow(meet, "key long, size long, c_key long, c_size long")
-    least = _least_shared(F.least("size", "c_size"), F.greatest("size", "c_size"), similarity)
-    met = met.select(F.least("key", "c_key").alias("a"), F.greatest("key", "c_key").alias("b"), least.alias("need"))
-    maybe = met.groupBy("a", "b", "need").count().where("count >= need").select("a", "b")  # whole for pairs that share no wide shingle; the others are all found there
-    if not wide.isEmpty():
-        dealt = in_blocks(rows.join(wide, "shingle", "left_semi"), ["shingle"], "key", chunk, marks)
-        maybe = maybe.union(dealt.mapInArrow(_marked(similarity), "a long, b long"))
+    at_once = _at_once(marks)
+    counts = rows.groupBy("shingle").count()
+    pairs = counts.where(F.col("count") <= WIDE).agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
+    wide = save(counts.where(F.col("count") > WIDE))
+    narrow = rows.join(wide, "shingle", "left_anti")
+    least, found = _least_shared(F.least("size", "c_size"), F.greatest("size", "c_size"), similarity), []
+    for k in range(n := _passes(pairs, 64 * at_once)):  # a pair is some 24 bytes
+        met = in_blocks(narrow, ["shingle"], "key", chunk).mapInArrow(meet(k, n), "key long, size long, c_key long, c_size long")
+        met = met.select(F.least("key", "c_key").alias("a"), F.greatest("key", "c_key").alias("b"), least.alias("need"))
+        found.append(save(met.groupBy("a", "b", "need").count().where("count >= need").select("a", "b")))  # whole for pairs that share no wide shingle; the others are all found there
+    dealt = wide.agg(F.sum(F.col("count") * F.ceil(F.col("count") / F.lit(chunk)))).first()[0]
+    for k in range(n := _passes(dealt, 8 * at_once) if dealt else 0):  # a mark is 128 bytes at least
+        some = in_blocks(rows.join(wide, "shingle", "left_semi"), ["shingle"], "key", chunk, marks, part=(k, n))
+        found.append(save(some.mapInArrow(_marked(similarity), "a long, b long")))
+    maybe = reduce(DataFrame.union, found)
     places = connected_components(maybe)
-    drop(rows, marks)
+    drop(rows, marks, *found)
     placed = save(places.select(F.col("node").alias("key"), F.col("root").alias("place")).union(places.select("root", "root").distinct()))
     rooted = placed.join(roots, placed["key"] == roots["node"], "left").select("key", "place", F.coalesce("root", "key").alias("root"))
-    sets = save(_with_shingles(_bodies(texts, rooted), words))
-    links = save(in_blocks(sets, ["place"], "key", chunk).mapInArrow(_verified(similarity), "a long, b long"))
-    drop(sets, placed)
+    links = _compared(rooted, texts, at_once, similarity, words, chunk)
+    drop(placed)
     return links
 
 

@@ -315,3 +315,29 @@ def test_a_sieve_holds_its_keys_and_few_others(spark, monkeypatch):
     assert simhash._sieve(ids.select("key")) is None
     texts = spark.createDataFrame([(k, f"{'a b c d e f g h ' * 20}{k % 12}") for k in range(24)] + [(99, "x"), (98, None)], "doc_id long, text string")
     assert sorted(x.doc_id for x in simhash.near_dedup(texts).collect()) == [0, 98, 99]
+
+
+def test_large_groups_are_dealt_in_passes(spark, monkeypatch):
+    """Of 300 texts that may all be alike, some not near one another, no more than their number is dealt at once, and every pair is found."""
+    r = random.Random(15)
+    base, rows = [f"b{r.randrange(9000)}" for _ in range(120)], []
+    for k in range(300):
+        t = list(base)
+        for at in r.sample(range(120), r.choice([1, 2, 3, 5, 6, 7, 8])):
+            t[at] = f"c{k}"
+        rows.append((k, " ".join(t)))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in rows]
+    root = components(range(300), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert 20 < len(set(root.values())) < 280
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, repartition = [], type(df).repartition
+
+    def spy(self, *by):
+        if "shingles" in self.columns:
+            dealt.append(self.count())
+        return repartition(self, *by)
+
+    monkeypatch.setattr(type(df), "repartition", spy)
+    monkeypatch.setattr(simhash, "DEALT", 16, raising=False)
+    assert sorted(x.doc_id for x in simhash.near_dedup(df, chunk=8).collect()) == sorted(set(root.values()))
+    assert dealt and max(dealt) <= 300
