@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from tamis.operators.components import connected_components, local_roots
 from tamis.tables import drop, save
 
-__all__ = ["connected_components", "drop", "fresh", "in_blocks", "local_roots", "save", "sorted_runs"]
+__all__ = ["connected_components", "drop", "fresh", "give_back", "in_blocks", "local_roots", "save", "sorted_runs", "tidied"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -27,6 +29,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def tidied(run: Callable) -> Callable:
+    """``run``, for ``mapInArrow``; after each task the worker, which stays for later ones, gives back the memory that it no longer uses."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
+def give_back() -> None:
+    """Return freed memory, which Arrow and the C library keep, to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole runs of equal keys from batches sorted by them: (rows, start of each run and the end).
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tamis.llm._shared import tidied
 from tamis.session import ship
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -321,7 +322,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     doc, item, edits, start, end = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array([told.value[k].ids[n] for k, n in item], to_arrow_type(schema[1].dataType)), *(pa.array(x, pa.int64()) for x in (edits, start, end))], names=schema.names)
 
-        part = texts.mapInArrow(run, schema)
+        part = texts.mapInArrow(tidied(run), schema)
         out = part if out is None else out.unionAll(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -338,5 +339,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 texts = batch.column(batch.schema.get_field_index(text_col))
                 yield batch.filter(pa.array([not find(t.as_py() or "", told.value) for t in texts], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(tidied(run), docs.schema)
     return out

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.llm import tokens
-from tamis.llm._shared import save
+from tamis.llm._shared import save, tidied
 from tamis.session import ship
 
 LOOKED = 1000  # sums looked at for a node's fillings; the first is among them
@@ -311,7 +311,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, cap
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(lo.tolist(), (lo + size).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(at.astype(np.int64)), pa.array(size.astype(np.int64)), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def ranked(rows: DataFrame, hist: DataFrame, salted: int) -> DataFrame:
@@ -354,4 +354,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     kind = dict(rows.dtypes)["id"]
     placed = ranked(rows, hist, salted).select("id", "piece", "start", "length", "ids_crc32", F.col("place").cast("long").alias("place"))
-    return placed.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return placed.mapInArrow(tidied(run), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm._shared import fresh
+from tamis.llm._shared import fresh, tidied
 from tamis.session import ship
 
 FEATURES = ("log_bytes", "log_words", "word_length", "upper_letters", "upper_words", "exclamations", "bars", "marks", "digits", "punctuation", "wide", "distinct_words", "top_word", "next_same", "same_lines", "line_length", "symbol_tail", "commas", "stops", "controls")
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id")).groupBy("id").agg(F.min("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    found = rows.mapInArrow(_features_of, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    found = rows.mapInArrow(tidied(_features_of), T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
     found = found.groupBy("id").agg(F.min(F.struct("y", "x")).alias("one")).select("id", "one.*").collect()
     found.sort(key=lambda r: (r.id, r.y, r.x))
     return fit(np.array([r.x for r in found], dtype=float).reshape(-1, len(FEATURES)), np.array([r.y for r in found], dtype=float))
@@ -197,7 +197,7 @@ def with_score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", sc
             x = np.array([features(t.as_py()) for t in batch.column(batch.schema.get_field_index(text_col))], dtype=float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(model.score(x))], names=[*names, score_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.7, sample: int = 20_000) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamis.llm import tokens
-from tamis.llm._shared import save, sorted_runs
+from tamis.llm._shared import save, sorted_runs, tidied
 from tamis.session import ship
 
 ROUNDS = 6
@@ -85,7 +85,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
     parts = min(MOST_PARTS, -(-docs.count() // PART) or 1)
     key = F.xxhash64("id", "text")
     dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(parts, key).sortWithinPartitions(key, "id")
-    return dealt.mapInArrow(run, f"id {kind}, piece int, start long, ids binary")
+    return dealt.mapInArrow(tidied(run), f"id {kind}, piece int, start long, ids binary")
 
 
 def in_training_order(made: DataFrame, key: str, per_shard: int) -> DataFrame:
@@ -107,7 +107,7 @@ def in_training_order(made: DataFrame, key: str, per_shard: int) -> DataFrame:
 
     rows = numbered.join(files.drop("rows"), "file").select(*made.columns, (F.col("base") + F.col("nth")).alias("slot"))
     fields = ", ".join(f"{c} {t}" for c, t in made.dtypes)
-    return rows.mapInArrow(run, f"{fields}, slot long, shard long").repartitionByRange("shard").sortWithinPartitions("shard", "slot")
+    return rows.mapInArrow(tidied(run), f"{fields}, slot long, shard long").repartitionByRange("shard").sortWithinPartitions("shard", "slot")
 
 
 def training_order(docs: DataFrame, tokenizer_path: str, key: str = "epoch-0", id_col: str = "doc_id", text_col: str = "text", stride: int = 2048, per_shard: int = 4096, end_id: int = 1) -> DataFrame:
@@ -146,7 +146,7 @@ def write_shards(ordered: DataFrame, path: str, stride: int = 2048, per_shard: i
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x) for x in about]
                 yield pa.RecordBatch.from_arrays([pa.array([int(shard[lo])]), pa.array([int(shard[lo]) * per_shard]), pa.array([int(hi - lo)]), pa.array([data.tobytes()]), *lists], names=["shard", "first_slot", "n", "data", "id", "piece", "start", "length"])
 
-    made = ordered.select("shard", "slot", "ids", "id", "piece", "start").mapInArrow(run, f"shard long, first_slot long, n long, data binary, id array<{kind}>, piece array<int>, start array<long>, length array<long>")
+    made = ordered.select("shard", "slot", "ids", "id", "piece", "start").mapInArrow(tidied(run), f"shard long, first_slot long, n long, data binary, id array<{kind}>, piece array<int>, start array<long>, length array<long>")
     made.write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(f"{path}/shards")
     written = ordered.sparkSession.read.parquet(f"{path}/shards")
     written.select("shard", "first_slot", "n", F.col("_metadata.file_path").alias("file")).write.parquet(f"{path}/index")
@@ -180,7 +180,7 @@ def digest(ordered: DataFrame, stride: int, per_shard: int, id_col: str = "doc_i
             slot = batch.column("slot").to_numpy()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "piece", "start")), pa.array(list(map(len, raw)), pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in raw], pa.int64()), batch.column("slot"), batch.column("shard"), pa.array(slot % per_shard * stride * 2)], names=["id", "piece", "start", "length", "ids_crc32", "slot", "shard", "byte_offset"])
 
-    return ordered.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, slot long, shard long, byte_offset long").withColumnRenamed("id", id_col)
+    return ordered.mapInArrow(tidied(run), f"id {kind}, piece int, start long, length long, ids_crc32 long, slot long, shard long, byte_offset long").withColumnRenamed("id", id_col)
 
 
 def digest_shards(spark: SparkSession, path: str, stride: int = 2048, id_col: str = "doc_id") -> DataFrame:
@@ -200,4 +200,4 @@ def digest_shards(spark: SparkSession, path: str, stride: int = 2048, id_col: st
                 yield pa.RecordBatch.from_arrays([*about, pa.array(crc, pa.int64()), pa.array(first + place), pa.array(np.full(n, shard, dtype=np.int64)), pa.array(place * stride * 2)], names=["id", "piece", "start", "length", "ids_crc32", "slot", "shard", "byte_offset"])
 
     found = shards.select("shard", "first_slot", "n", "data", "id", "piece", "start", "length")
-    return found.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, slot long, shard long, byte_offset long").withColumnRenamed("id", id_col)
+    return found.mapInArrow(tidied(run), f"id {kind}, piece int, start long, length long, ids_crc32 long, slot long, shard long, byte_offset long").withColumnRenamed("id", id_col)

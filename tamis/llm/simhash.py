@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm._shared import connected_components, drop, fresh, in_blocks, local_roots, save, sorted_runs
+from tamis.llm._shared import connected_components, drop, fresh, in_blocks, local_roots, save, sorted_runs, tidied
 from tamis.session import ship
 
 SEED = 42
@@ -78,7 +78,7 @@ def with_fingerprint(docs: DataFrame, text_col: str, out_col: str, shingle: int
             kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != text_col]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found.view(np.int64))], names=[f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def lattice_cells(fps: np.ndarray, max_bits: int, groups: int, segment_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +151,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, groups: int = 2, segmen
         if held:
             yield forest()
 
-    cells = fps.mapInArrow(spread, "cell long, fp long")
-    return in_blocks(cells, ["cell"], "fp", chunk, singles=True).mapInArrow(link, "a long, b long")
+    cells = fps.mapInArrow(tidied(spread), "cell long, fp long")
+    return in_blocks(cells, ["cell"], "fp", chunk, singles=True).mapInArrow(tidied(link), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
@@ -254,7 +254,7 @@ def _with_shingles(texts: DataFrame, words: int) -> DataFrame:
             made = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py(), words)])).tobytes() for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(made, pa.binary())], names=[f.name for f in schema])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(tidied(run), schema)
 
 
 def _at_once(texts: DataFrame) -> int:
@@ -280,7 +280,7 @@ def _compared(asked: DataFrame, texts: DataFrame, at_once: int, similarity: floa
     def dealt(rows: DataFrame) -> list[DataFrame]:
         at, n = ["place", "block_i", "block_j"], _passes(rows.count(), at_once)
         parts = [rows.where(F.pmod(F.xxhash64(*at), F.lit(n)) == k) if n > 1 else rows for k in range(n)]
-        return [save(part.repartition(*at).sortWithinPartitions(*at).mapInArrow(_verified(similarity), "a long, b long")) for part in parts]
+        return [save(part.repartition(*at).sortWithinPartitions(*at).mapInArrow(tidied(_verified(similarity)), "a long, b long")) for part in parts]
 
     own = F.pmod(F.xxhash64("key"), F.col("block_n")).cast("int")
     pairs = F.sequence(F.greatest(own - 1, F.lit(0)), F.least(own, F.greatest(F.col("block_n") - 2, F.lit(0))))  # of a chunk and the next, by the first
@@ -356,7 +356,7 @@ def _common(texts: DataFrame, words: int) -> np.ndarray:
                 for h in shingle_hashes(t.as_py(), words):
                     yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], names=["shingle"])
 
-    some = texts.where(F.pmod(F.xxhash64("of"), F.lit(SAMPLE)) == 0).mapInArrow(run, "shingle long")
+    some = texts.where(F.pmod(F.xxhash64("of"), F.lit(SAMPLE)) == 0).mapInArrow(tidied(run), "shingle long")
     known = some.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).select("shingle").toArrow()
     return known.column(0).to_numpy()[::-1].view(np.uint64)
 
@@ -519,12 +519,12 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
 
         return run
 
-    made = save(texts.mapInArrow(heads, "of long, size long, head binary, mark binary"))
+    made = save(texts.mapInArrow(tidied(heads), "of long, size long, head binary, mark binary"))
     entry = "shingle long, key long, size long"
     slim = made.select("of", "size", "head")
-    parts = [save(slim.mapInArrow(entries(None), entry).dropDuplicates(["shingle", "key"]))]
+    parts = [save(slim.mapInArrow(tidied(entries(None)), entry).dropDuplicates(["shingle", "key"]))]
     for k in range(SLICES):
-        parts.append(save(slim.mapInArrow(entries(k), entry).repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_shared_entries, entry)))
+        parts.append(save(slim.mapInArrow(tidied(entries(k)), entry).repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(tidied(_shared_entries), entry)))
     marks = save(made.select(F.col("of").alias("key"), "mark").dropDuplicates(["key"]))
     drop(made)
     found = reduce(DataFrame.union, parts)
@@ -538,13 +538,13 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
     narrow = rows.join(wide, "shingle", "left_anti")
     least, found = _least_shared(F.least("size", "c_size"), F.greatest("size", "c_size"), similarity), []
     for k in range(n := _passes(pairs, 64 * at_once)):  # a pair is some 24 bytes
-        met = in_blocks(narrow, ["shingle"], "key", chunk).mapInArrow(meet(k, n), "key long, size long, c_key long, c_size long")
+        met = in_blocks(narrow, ["shingle"], "key", chunk).mapInArrow(tidied(meet(k, n)), "key long, size long, c_key long, c_size long")
         met = met.select(F.least("key", "c_key").alias("a"), F.greatest("key", "c_key").alias("b"), least.alias("need"))
         found.append(save(met.groupBy("a", "b", "need").count().where("count >= need").select("a", "b")))  # whole for pairs that share no wide shingle; the others are all found there
     dealt = wide.agg(F.sum(F.col("count") * F.ceil(F.col("count") / F.lit(chunk)))).first()[0]
     for k in range(n := _passes(dealt, 8 * at_once) if dealt else 0):  # a mark is 128 bytes at least
         some = in_blocks(rows.join(wide, "shingle", "left_semi"), ["shingle"], "key", chunk, marks, part=(k, n))
-        found.append(save(some.mapInArrow(_marked(similarity), "a long, b long")))
+        found.append(save(some.mapInArrow(tidied(_marked(similarity)), "a long, b long")))
     maybe = reduce(DataFrame.union, found)
     places = connected_components(maybe)
     drop(rows, marks, *found)
