@@ -2,11 +2,13 @@
 
 The tokenizer file splits at white space before anything else, so the ids of a text are those of
 its white-space-separated chunks, one after another. Each batch is split and reduced to distinct
-chunks by Arrow; chunks are looked up in a bounded cache, and only unseen ones are encoded.
+chunks by Arrow, and those of letters, with a stop or comma after them or not, to distinct words in lower
+case; words are looked up in a bounded cache, and only unseen ones are encoded.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,9 @@ from tokenizers import Tokenizer
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks of these characters are their own NFC form and lower-case the same way everywhere.
 PLAIN = regex.compile(r"[\x21-\x7e¡-ɏ]+")
-CACHE = 200_000  # chunks, and pre-tokens, that a worker remembers
+#: Of these, chunks that Arrow lowers as Python does, and that are one pre-token, or two with the last character.
+WORD = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+CACHE = 200_000  # chunks other than words that a worker remembers, and half its pre-tokens
 SLICE = 1 << 22  # bytes of text taken at a time
 
 
@@ -73,8 +77,8 @@ class WordTokenizer:
         found = self.parts.get(piece)
         if found is None:
             name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_names)
-            found = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(name))
-            if len(self.parts) >= CACHE:
+            found = array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+            if len(self.parts) >= 2 * CACHE:
                 self.parts.clear()
             self.parts[piece] = found
         return found
@@ -117,16 +121,46 @@ def encode(texts: pa.Array, tokenizer: WordTokenizer, end_id: int | None) -> tup
     ends = split.offsets.to_numpy()
     words = split.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
     ends = (ends - ends[0]).astype(np.int64)
-    found = tokenizer.chunks(words.dictionary.to_pylist())
-    size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-    flat = np.frombuffer(b"".join(found), dtype="<u4")
+    flat, size, place = _distinct(words.dictionary, tokenizer)
+    at = place[words.indices.to_numpy()]
     if end_id is not None:
         flat, size = np.append(flat, np.uint32(end_id)), np.append(size, 1)
-    at = words.indices.to_numpy().astype(np.int64)
-    if end_id is not None:
         at, ends = np.insert(at, ends[1:], len(size) - 1), ends + np.arange(len(ends))
-    starts = (np.cumsum(size) - size)[at] if len(at) else at
-    size = size[at] if len(at) else at
+    ids, size = _gather(flat, size, at)
     upto = np.concatenate([[0], np.cumsum(size)])
-    ids = flat[np.repeat(starts - upto[:-1], size) + np.arange(upto[-1])] if len(at) else flat[:0]
     return ids, upto[ends[1:]]
+
+
+def _gather(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of the entries ``at``, their sizes), of entries of these sizes that follow one another in ``flat``."""
+    if not len(at):
+        return flat[:0], at
+    starts, size = (np.cumsum(size) - size)[at], size[at]
+    upto = np.cumsum(size)
+    return flat[np.repeat(starts - upto + size, size) + np.arange(upto[-1])], size
+
+
+def _flat(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+
+
+def _distinct(chunks: pa.Array, tokenizer: WordTokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of distinct chunks, sizes, place of each chunk among them): words first, then the others."""
+    plain = pc.match_substring_regex(chunks, WORD)
+    low = pc.utf8_lower(chunks.filter(plain))
+    stems = pc.ascii_rtrim(low, ".,").dictionary_encode()
+    n = len(stems.dictionary)
+    names = stems.dictionary.to_pylist()
+    found = list(map(tokenizer.parts.get, names))
+    for i in [i for i, x in enumerate(found) if x is None]:
+        found[i] = tokenizer._part(names[i])
+    flat, size = _flat([*found, b"", tokenizer._part("."), tokenizer._part(",")])
+    pairs = np.empty((len(low), 2), dtype=np.int64)  # a word's entry, and that of what follows it
+    pairs[:, 0] = stems.indices.to_numpy()
+    pairs[:, 1] = n + pc.ends_with(low, ".").to_numpy(zero_copy_only=False) + 2 * pc.ends_with(low, ",").to_numpy(zero_copy_only=False)
+    flat, size = _gather(flat, size, pairs.ravel())
+    rest, rest_size = _flat(tokenizer.chunks(chunks.filter(pc.invert(plain)).to_pylist()))
+    plain = plain.to_numpy(zero_copy_only=False)
+    place = np.empty(len(chunks), dtype=np.int64)
+    place[plain], place[~plain] = np.arange(len(low)), len(low) + np.arange(len(rest_size))
+    return np.concatenate([flat, rest]), np.concatenate([size.reshape(-1, 2).sum(axis=1), rest_size]), place

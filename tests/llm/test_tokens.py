@@ -254,3 +254,15 @@ def test_a_worker_gives_back_what_its_task_no_longer_uses():
     before = resident()
     list(tidied(run)(iter([])))
     assert resident() - before < 150
+
+
+def test_forms_of_a_word_are_looked_up_once(library):
+    """Case and a stop or comma after it make no new word; only other chunks are taken apart one by one."""
+    tokenizer = tokens.WordTokenizer(vocabulary())
+    texts = ["Straße straße, STRASSE. straSSE élan Élan, ÉLAN.", "x, x. X, x.. x,. .x ñ, µ. ª İ, ×, ÷. Ÿ ǅ, don't", None, ", . ,. a"]
+    seen, chunk = [], tokenizer._chunk
+    tokenizer._chunk = lambda word: seen.append(word) or chunk(word)
+    ids, ends = tokens.encode(pa.array(texts), tokenizer, None)
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert not {"Straße", "straße,", "STRASSE.", "Élan,", "X,", "ñ,"} & set(seen)
+    assert {"straße", "strasse", "élan", "x"} <= set(tokenizer.parts)
