@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ MARK = 1024  # bits of a mark at least; four a hash or more
 COMMON = 1 << 17  # common shingles known by name at most; the rest are ordered by hash
 SLICES = 4  # prefixes' shingles are shuffled so many times a part, which bounds the disk at once
 DEALT = 1 << 13  # texts dealt to blocks at once at least; more than a quarter of all texts go in passes, so that large groups cost time and no disk
+DEALT_BYTES = 1 << 25  # the same for what is dealt of them; more than a quarter of all texts' bytes go in passes
 SIEVED = 1 << 24  # keys in a sieve at most (64 MB for as many); for more, all rows are shuffled
 
 
@@ -198,15 +200,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key_at, of_id, of_key = fresh(docs, "key", "of_id", "of_key")
     text = F.coalesce(F.col(text_col), F.lit(""))
     here = docs.withColumn(key_at, F.xxhash64(text))
-    prints = with_fingerprint(here.select(F.col(key_at).alias("key"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text")), "text", "fp", 3)
-    texts = save(prints.groupBy("key").agg(F.min(F.struct("none", "id", "fp")).alias("one"), F.count("*").alias("rows")).select("key", "one.*", "rows"))
+    prints = with_fingerprint(here.select(F.col(key_at).alias("key"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.octet_length(text).alias("bytes"), text.alias("text")), "text", "fp", 3)
+    texts = save(prints.groupBy("key").agg(F.min(F.struct("none", "id", "fp", "bytes")).alias("one"), F.count("*").alias("rows")).select("key", "one.*", "rows"))
+    share = _share(texts)
     near = connected_components(fingerprint_links(texts.select("fp").distinct(), max_bits))
     placed = texts.join(near, texts["fp"] == near["node"], "left").select("key", F.coalesce("root", "fp").alias("place"))
     sizes = placed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
     wanted = save(placed.join(sizes, "place").select("key", "place"))
     every = here.select(F.col(key_at).alias("of"), text.alias("text"))
-    links = _compared(wanted.withColumn("root", F.col("key")), every, _at_once(texts), similarity, words, chunk)
-    roots = connected_components(links.union(_prefix_links(every, connected_components(links), similarity, words, chunk)))
+    links = _compared(wanted.withColumn("root", F.col("key")), every, share, similarity, words, chunk)
+    roots = connected_components(links.union(_prefix_links(every, connected_components(links), share, similarity, words, chunk)))
     grouped = texts.join(roots, texts["key"] == roots["node"], "left").select("none", "id", "key", F.coalesce("root", "key").alias("root"))
     kept = grouped.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("one"))
     kept = save(kept.select(F.col("one.id").alias(of_id), F.col("one.key").alias(of_key)))
@@ -220,6 +223,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _sieve(keys: DataFrame) -> Callable[[str], Column] | None:
     """A test of a column of 64-bit hashes: true for all of ``keys``, and for about one in 16 of the others. None if there are too many keys."""
+    may = _sieve_of_arrays(keys)
+    return may and F.arrow_udf(may, "boolean")
+
+
+def _sieve_of_arrays(keys: DataFrame) -> Callable[[pa.Array], pa.Array] | None:
+    """The same test, for use within a Python task: a column's test before it would keep a second worker a core."""
     n = keys.count()
     if n > SIEVED:
         return None
@@ -229,7 +238,6 @@ def _sieve(keys: DataFrame) -> Callable[[str], Column] | None:
     bits[place] = True
     known = keys.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
 
-    @F.arrow_udf("boolean")
     def may(key: pa.Array) -> pa.Array:
         at = key.to_numpy(zero_copy_only=False) & last
         return pa.array((known.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
@@ -257,30 +265,95 @@ def _with_shingles(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(tidied(run), schema)
 
 
-def _at_once(texts: DataFrame) -> int:
-    """How many of a saved table's texts are dealt to blocks at once."""
-    return max(DEALT, texts.count() // 4)
+class Share(NamedTuple):
+    """How much is dealt to blocks at once."""
+
+    rows: int
+    bytes: int
+
+
+def _share(texts: DataFrame) -> Share:
+    """Of a saved table with the texts' ``bytes``."""
+    rows, size = texts.agg(F.count("*"), F.sum("bytes")).first()
+    return Share(max(DEALT, rows // 4), max(DEALT_BYTES, (size or 0) // 4))
 
 
 def _passes(n: int | None, at_once: int) -> int:
     return max(1, -(-(n or 0) // at_once))
 
 
-def _compared(asked: DataFrame, texts: DataFrame, at_once: int, similarity: float, words: int, chunk: int) -> DataFrame:
+def _dealt(rows: DataFrame, body: str, run: Callable, share: Share) -> list[DataFrame]:
+    """The links (a, b) that ``run`` finds in the blocks of ``rows``, in passes of about a share of rows and of bytes of ``body``."""
+    at = ["place", "block_i", "block_j"]
+    count, size = rows.agg(F.count("*"), F.sum(F.octet_length(body))).first()
+    n = max(_passes(count, share.rows), _passes(size, share.bytes))
+    parts = [rows.where(F.pmod(F.xxhash64(*at), F.lit(n)) == k) if n > 1 else rows for k in range(n)]
+    return [save(part.repartition(*at).sortWithinPartitions(*at).mapInArrow(tidied(run), "a long, b long")) for part in parts]
+
+
+def _sifted(asked: DataFrame, texts: DataFrame, share: Share, similarity: float, words: int, chunk: int) -> DataFrame:
+    """Links (a, b) that join all of a place's texts under different roots that may be of that similarity by marks of all their shingles; ``asked`` as for ``_compared``.
+
+    A mark is a byte a shingle at most, of a shingle's eight. Most texts that common prefixes or a
+    chain of them brought to one place part here, before their shingles are dealt.
+    """
+    may = _sieve_of_arrays(asked.select("key"))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(may(batch.column("of"))) if may else batch
+            if batch.num_rows:
+                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py(), words)])) for t in batch.column("text").cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("of"), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(mark, sets)), pa.binary())], names=["of", "size", "mark"])
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in sorted_runs(batches, ["place", "block_i", "block_j"]):
+            keys, roots, size, own, i, j = (rows.column(c).to_numpy() for c in ("key", "root", "size", "block_own", "block_i", "block_j"))
+            own = np.where(i == j, np.arange(len(own)), own)
+            found = [_may_links(keys[lo:hi], roots[lo:hi], own[lo:hi], size[lo:hi], rows.column("mark").slice(lo, hi - lo).to_pylist(), similarity) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            node, of = local_roots(*map(np.concatenate, zip(*found, strict=True)))
+            if len(node):
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(of)], names=["a", "b"])
+
+    sizes = asked.groupBy("place").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("block_n"))
+    few = texts.mapInArrow(tidied(marked), "of long, size long, mark binary")
+    marks = save(asked.join(sizes, "place").join(few, F.col("key") == F.col("of")).dropDuplicates(["key"]).drop("of"))
+    own = F.pmod(F.xxhash64("key"), F.col("block_n")).cast("int")
+    other = marks.select("*", own.alias("block_own"), F.explode(F.sequence(F.lit(0), F.col("block_n") - 1)).alias("other"))
+    links = _dealt(other.select("key", "place", "root", "size", "block_own", F.least("block_own", "other").alias("block_i"), F.greatest("block_own", "other").alias("block_j"), "mark"), "mark", sift, share)
+    drop(marks)
+    return reduce(DataFrame.union, links)
+
+
+def _may_links(keys: np.ndarray, roots: np.ndarray, own: np.ndarray, size: np.ndarray, packed: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join a block's pairs under different roots and of different ``own`` that may be of the similarity; pairs that earlier links have joined aren't looked at."""
+    out = [(keys[:0], keys[:0])]
+    if len(np.unique(roots)) > 1:
+        marks, label = Marks(packed, size), np.arange(len(keys))
+        for i in range(len(keys) - 1):
+            rest = np.arange(i + 1, len(keys))
+            rest = rest[(label[rest] != label[i]) & (roots[rest] != roots[i]) & (own[rest] != own[i])]
+            rest = rest[np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]) - 1e-9]
+            rest = rest[marks.most(np.full(len(rest), i), rest) >= np.ceil(similarity / (1 + similarity) * (size[rest] + size[i]) - 1e-9)]
+            if len(rest):
+                label[np.isin(label, label[rest])] = label[i]
+                out.append((np.full(len(rest), keys[i]), keys[rest]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _compared(asked: DataFrame, texts: DataFrame, share: Share, similarity: float, words: int, chunk: int) -> DataFrame:
     """Links (a, b) that join all pairs of that similarity of a place's texts under different roots; ``asked`` has key, place and root.
 
     Chunks of a place are compared with their neighbours first, which joins most of a large group
     of near copies. Then those under other roots than a place's largest are compared among
     themselves and with all others: two under that one need no link. Either is dealt in passes of
-    about ``at_once`` rows, whose shuffles go before the next.
+    about a share of the texts, whose shuffles go before the next.
     """
     sizes = asked.groupBy("place").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("block_n"))
     sets = save(_with_shingles(_bodies(texts, asked.join(sizes, "place")), words))
 
     def dealt(rows: DataFrame) -> list[DataFrame]:
-        at, n = ["place", "block_i", "block_j"], _passes(rows.count(), at_once)
-        parts = [rows.where(F.pmod(F.xxhash64(*at), F.lit(n)) == k) if n > 1 else rows for k in range(n)]
-        return [save(part.repartition(*at).sortWithinPartitions(*at).mapInArrow(tidied(_verified(similarity)), "a long, b long")) for part in parts]
+        return _dealt(rows, "shingles", _verified(similarity), share)
 
     own = F.pmod(F.xxhash64("key"), F.col("block_n")).cast("int")
     pairs = F.sequence(F.greatest(own - 1, F.lit(0)), F.least(own, F.greatest(F.col("block_n") - 2, F.lit(0))))  # of a chunk and the next, by the first
@@ -412,9 +485,10 @@ class Marks:
             here = np.flatnonzero(at == n)
             a, b = (self.place[(self.length[v[here]] > n).astype(np.int64), v[here]] for v in (x, y))
             bits, spare = self.bits[n], self.spare[n]
-            for lo in range(0, len(here), STEP):  # bounds memory
-                p, q = a[lo : lo + STEP], b[lo : lo + STEP]
-                out[here[lo : lo + STEP]] = np.bitwise_count(bits[p] & bits[q]).sum(axis=1, dtype=np.int64) + np.minimum(spare[p], spare[q])
+            step = max(1, (STEP * MARK) // int(n))  # bounds memory
+            for lo in range(0, len(here), step):
+                p, q = a[lo : lo + step], b[lo : lo + step]
+                out[here[lo : lo + step]] = np.bitwise_count(bits[p] & bits[q]).sum(axis=1, dtype=np.int64) + np.minimum(spare[p], spare[q])
         return out
 
 
@@ -453,7 +527,7 @@ def _least_shared(small: Column, large: Column, similarity: float) -> Column:
     return F.ceil(F.lit(similarity / (1 + similarity)) * (small + large) - F.lit(1e-9)) - F.greatest(rest(small), rest(large))
 
 
-def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words: int, chunk: int) -> DataFrame:
+def _prefix_links(texts: DataFrame, roots: DataFrame, share: Share, similarity: float, words: int, chunk: int) -> DataFrame:
     """Links (a, b) that join all pairs of ``texts`` (of, text; copies repeat) with that Jaccard similarity under different ``roots``.
 
     Sets x and y of that similarity have sizes within it and share alpha = similarity / (1 +
@@ -467,7 +541,8 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
     shuffled once, in ``SLICES``, to be rid of those; the common ones, which a task shouldn't
     gather, are known beforehand and spared that.
 
-    The components of what may be alike are then compared whole (``_compared``). Pairs, marks and
+    The components of what may be alike are sifted by marks of all shingles (``_sifted``), and
+    those of what still may be are compared whole (``_compared``). Pairs, marks and
     texts that would be more at once than in proportion to the texts go in passes.
     """
     common = _common(texts, words)
@@ -531,30 +606,37 @@ def _prefix_links(texts: DataFrame, roots: DataFrame, similarity: float, words:
     rooted = found.join(roots, found["key"] == roots["node"], "left").select("shingle", "key", F.coalesce("root", "key").alias("root"), "size")
     rows = save(_live(rooted))
     drop(*parts)
-    at_once = _at_once(marks)
     counts = rows.groupBy("shingle").count()
     pairs = counts.where(F.col("count") <= WIDE).agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
     wide = save(counts.where(F.col("count") > WIDE))
     narrow = rows.join(wide, "shingle", "left_anti")
     least, found = _least_shared(F.least("size", "c_size"), F.greatest("size", "c_size"), similarity), []
-    for k in range(n := _passes(pairs, 64 * at_once)):  # a pair is some 24 bytes
+    for k in range(n := _passes(pairs, 64 * share.rows)):  # a pair is some 24 bytes
         met = in_blocks(narrow, ["shingle"], "key", chunk).mapInArrow(tidied(meet(k, n)), "key long, size long, c_key long, c_size long")
         met = met.select(F.least("key", "c_key").alias("a"), F.greatest("key", "c_key").alias("b"), least.alias("need"))
         found.append(save(met.groupBy("a", "b", "need").count().where("count >= need").select("a", "b")))  # whole for pairs that share no wide shingle; the others are all found there
     dealt = wide.agg(F.sum(F.col("count") * F.ceil(F.col("count") / F.lit(chunk)))).first()[0]
-    for k in range(n := _passes(dealt, 8 * at_once) if dealt else 0):  # a mark is 128 bytes at least
+    for k in range(n := _passes(dealt, 8 * share.rows) if dealt else 0):  # a mark is 128 bytes at least
         some = in_blocks(rows.join(wide, "shingle", "left_semi"), ["shingle"], "key", chunk, marks, part=(k, n))
         found.append(save(some.mapInArrow(tidied(_marked(similarity)), "a long, b long")))
     maybe = reduce(DataFrame.union, found)
     places = connected_components(maybe)
     drop(rows, marks, *found)
-    placed = save(places.select(F.col("node").alias("key"), F.col("root").alias("place")).union(places.select("root", "root").distinct()))
-    rooted = placed.join(roots, placed["key"] == roots["node"], "left").select("key", "place", F.coalesce("root", "key").alias("root"))
-    links = _compared(rooted, texts, at_once, similarity, words, chunk)
-    drop(placed)
+    asked = _asked(places, roots)
+    places = connected_components(_sifted(asked, texts, share, similarity, words, chunk))
+    drop(asked)
+    asked = _asked(places, roots)
+    links = _compared(asked, texts, share, similarity, words, chunk)
+    drop(asked)
     return links
 
 
+def _asked(places: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, place, root) of the texts of components, saved."""
+    placed = places.select(F.col("node").alias("key"), F.col("root").alias("place")).union(places.select("root", "root").distinct())
+    return save(placed.join(roots, placed["key"] == roots["node"], "left").select("key", "place", F.coalesce("root", "key").alias("root")))
+
+
 def _shared_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of entries sorted by shingle and key, once each, those whose shingle has several keys; no more than a batch and a row is held."""
     was, live = None, False  # the row that awaits its successor, and whether its shingle had another key before

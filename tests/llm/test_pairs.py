@@ -341,3 +341,38 @@ def test_large_groups_are_dealt_in_passes(spark, monkeypatch):
     monkeypatch.setattr(simhash, "DEALT", 16, raising=False)
     assert sorted(x.doc_id for x in simhash.near_dedup(df, chunk=8).collect()) == sorted(set(root.values()))
     assert dealt and max(dealt) <= 300
+
+
+def test_texts_that_only_may_be_alike_are_parted_before_their_shingles_are_dealt(spark, monkeypatch):
+    """Of 300 texts with a passage in common, in one place by their prefixes, only two copies' shingles are dealt."""
+    r = random.Random(16)
+    shared = " ".join(f"s{r.randrange(9000)}" for _ in range(70))
+    rows = [(k, f"{shared} " + " ".join(f"o{r.randrange(10**6)}" for _ in range(30))) for k in range(300)]
+    rows.append((300, rows[7][1] + " more"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, repartition = [], type(df).repartition
+
+    def spy(self, *by):
+        if "shingles" in self.columns:
+            dealt.append(self.count())
+        return repartition(self, *by)
+
+    monkeypatch.setattr(type(df), "repartition", spy)
+    assert sorted(x.doc_id for x in simhash.near_dedup(df, chunk=64).collect()) == list(range(300))
+    assert dealt and sum(dealt) <= 10
+
+
+def test_long_texts_are_dealt_in_passes_by_their_bytes(spark, monkeypatch):
+    """Shares count rows and bytes, so that few but long texts go in passes too."""
+    rows = [(3, k, k, 0, 0 if k < 20 else k, 0 if k < 20 else k, bytes(8 * (5000 if k < 20 else 5))) for k in range(60)]
+    df = spark.createDataFrame(rows, "place long, key long, root long, block_own int, block_i int, block_j int, shingles binary")
+    passes = []
+    monkeypatch.setattr(simhash, "save", lambda part: passes.append(part) or part)
+    simhash._dealt(df, "shingles", simhash._verified(0.8), simhash.Share(1000, 200_000))
+    assert len(passes) == 5
+    passes.clear()
+    simhash._dealt(df, "shingles", simhash._verified(0.8), simhash.Share(7, 10**9))
+    assert len(passes) == 9
+    simhash._dealt(df.limit(0), "shingles", simhash._verified(0.8), simhash.Share(7, 10))
+    texts = spark.createDataFrame([(k, 4000) for k in range(40_000)], "key long, bytes int")
+    assert simhash._share(texts) == (10_000, 40_000_000) and simhash._share(texts.limit(0)) == (simhash.DEALT, simhash.DEALT_BYTES)
