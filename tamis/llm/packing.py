@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.llm import tokens
-from tamis.llm._shared import save, tidied
+from tamis.llm._shared import give_back, save, tidied
 from tamis.session import ship
 
 LOOKED = 1000  # sums looked at for a node's fillings; the first is among them
+SLICE = 1 << 20  # bytes of text tokenized at a time; what that took is given back before the next
+CACHE = 50_000  # chunks that a worker remembers, as for tokens.CACHE: it stays beside the stages that follow
 ROUNDED = 100  # shares of a sequence that the bound rounds lengths to: halves to hundredths
 Run = tuple[tuple[int, ...], int]  # the lengths in a sequence, largest first, and how many such sequences
 
@@ -294,22 +296,26 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, cap
     """(id, piece, start, length, ids_crc32): each text's ids and the end id, cut every ``capacity`` ids."""
     kind = dict(docs.dtypes)[id_col]
 
+    def cut(own: pa.Array, texts: pa.Array, tokenizer: tokens.WordTokenizer) -> pa.RecordBatch:
+        ids, ends = tokens.encode(texts, tokenizer, end_id)
+        data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+        begins = np.concatenate([[0], ends[:-1]])
+        each = -(-(ends - begins) // capacity)
+        doc = np.repeat(np.arange(len(own)), each)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+        at = piece * capacity
+        size = np.minimum(capacity, (ends - begins)[doc] - at)
+        lo = begins[doc] + at
+        crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(lo.tolist(), (lo + size).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([own.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(at.astype(np.int64)), pa.array(size.astype(np.int64)), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokens.load(tokenizer_path)
+        tokenizer = tokens.load(tokenizer_path, CACHE)
         for batch in batches:
-            texts = batch.column(1)
-            for start, n in tokens.slices(texts):
-                ids, ends = tokens.encode(texts.slice(start, n), tokenizer, end_id)
-                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
-                begins = np.concatenate([[0], ends[:-1]])
-                each = -(-(ends - begins) // capacity)
-                doc = np.repeat(np.arange(n), each)
-                piece = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
-                at = piece * capacity
-                size = np.minimum(capacity, (ends - begins)[doc] - at)
-                lo = begins[doc] + at
-                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(lo.tolist(), (lo + size).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(at.astype(np.int64)), pa.array(size.astype(np.int64)), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32"])
+            for start, n in tokens.slices(batch.column(1), SLICE):
+                made = cut(batch.column(0).slice(start, n), batch.column(1).slice(start, n), tokenizer)
+                give_back()
+                yield made
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 

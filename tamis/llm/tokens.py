@@ -23,15 +23,16 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 PLAIN = regex.compile(r"[\x21-\x7e¡-ɏ]+")
 #: Of these, chunks that Arrow lowers as Python does, and that are one pre-token, or two with the last character.
 WORD = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
-CACHE = 200_000  # chunks other than words that a worker remembers, and half its pre-tokens
-SLICE = 1 << 22  # bytes of text taken at a time
+CACHE = 200_000  # chunks other than words that a worker remembers, and half its pre-tokens, unless the caller says less
+SLICE = 1 << 22  # bytes of text taken at a time, unless the caller says less
 
 
 class WordTokenizer:
     """Ids by the library, for a vocabulary of words' ends (lower case, white space dropped)."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int | None = None) -> None:
         self.full = Tokenizer.from_file(path)
+        self.cache = CACHE if cache is None else cache
         self.model = self.full.model
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -42,9 +43,9 @@ class WordTokenizer:
         get = self.known.get
         out = [get(w) for w in words]
         new = [i for i, x in enumerate(out) if x is None]
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) + len(new) > self.cache:
             self.known.clear()
-        room = CACHE - len(self.known)
+        room = self.cache - len(self.known)
         rare = []
         for i in new:
             ids = self._chunk(words[i])
@@ -78,7 +79,7 @@ class WordTokenizer:
         if found is None:
             name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_names)
             found = array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
-            if len(self.parts) >= 2 * CACHE:
+            if len(self.parts) >= 2 * self.cache:
                 self.parts.clear()
             self.parts[piece] = found
         return found
@@ -91,24 +92,24 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-_LOADED: dict[str, WordTokenizer] = {}
+_LOADED: dict[tuple[str, int | None], WordTokenizer] = {}
 
 
-def load(path: str) -> WordTokenizer:
-    """One tokenizer a worker."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+def load(path: str, cache: int | None = None) -> WordTokenizer:
+    """One tokenizer a worker and size of its cache."""
+    if (path, cache) not in _LOADED:
+        _LOADED[path, cache] = WordTokenizer(path, cache)
+    return _LOADED[path, cache]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, count) of consecutive texts of about ``SLICE`` bytes together, one at least."""
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(start, count) of consecutive texts of about ``size`` bytes together, one at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start = 0
     total = np.cumsum(sizes)
     while start < len(sizes):
         base = int(total[start - 1]) if start else 0
-        end = max(start + 1, int(np.searchsorted(total, base + SLICE, side="right")))
+        end = max(start + 1, int(np.searchsorted(total, base + size, side="right")))
         yield start, end - start
         start = end
 

@@ -1,9 +1,12 @@
 """Token ids, packing and shards: exact round trips and brute force."""
 
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from itertools import combinations, permutations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -266,3 +269,42 @@ def test_forms_of_a_word_are_looked_up_once(library):
     assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert not {"Straße", "straße,", "STRASSE.", "Élan,", "X,", "ñ,"} & set(seen)
     assert {"straße", "strasse", "élan", "x"} <= set(tokenizer.parts)
+
+
+def test_tokenizing_takes_little_memory_beside_the_executor():
+    """Two workers of an executor tokenize at once; a batch of large texts must not add far more than itself to each."""
+    code = """
+import random, threading, time
+import pyarrow as pa
+from tamis.llm import packing
+from tamis.llm.registry import vocabulary
+
+def now():
+    return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon:")) >> 10
+
+class Docs:
+    dtypes = [("doc_id", "bigint")]
+    def select(self, *columns):
+        return self
+    def mapInArrow(self, run, schema):
+        return run
+
+r = random.Random(3)
+words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 9))) + r.choice(["", "", ".", ";", "-"]) for _ in range(60000)]
+texts = pa.array([" ".join(r.choices(words, k=400)) for _ in range(8000)])
+packing.F.col = lambda name: name
+run = packing.pieces(Docs(), "doc_id", "text", vocabulary(), 4096, 1)
+batch = lambda n: pa.RecordBatch.from_arrays([pa.array(range(n)), texts.slice(0, n)], names=["id", "text"])
+rows = sum(b.num_rows for b in run(iter([batch(1)])))
+before, most = now(), [0]
+def watch():
+    while True:
+        most[0] = max(most[0], now())
+        time.sleep(0.005)
+threading.Thread(target=watch, daemon=True).start()
+rows = sum(b.num_rows for b in run(iter([batch(len(texts))])))
+print(texts.nbytes >> 20, rows, most[0] - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(packing.__file__).parents[2], capture_output=True, text=True, check=True).stdout
+    size, rows, more = map(int, out.split())
+    assert size > 15 and rows == 8000 and more < 80, out
