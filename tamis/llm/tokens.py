@@ -2,12 +2,13 @@
 
 The tokenizer file splits at white space before anything else, so the ids of a text are those of
 its white-space-separated chunks, one after another. Each batch is split and reduced to distinct
-chunks by Arrow, and those of letters, with a stop or comma after them or not, to distinct words in lower
-case; words are looked up in a bounded cache, and only unseen ones are encoded.
+chunks by Arrow, and those of letters, with ASCII marks after them or not, to distinct words in lower
+case; words are looked up in a bounded cache, and only unseen ones are encoded, many at once.
 """
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Iterator
 
@@ -21,10 +22,12 @@ from tokenizers import Tokenizer
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Chunks of these characters are their own NFC form and lower-case the same way everywhere.
 PLAIN = regex.compile(r"[\x21-\x7e¡-ɏ]+")
-#: Of these, chunks that Arrow lowers as Python does, and that are one pre-token, or two with the last character.
-WORD = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+#: Of these, chunks that Arrow lowers as Python does, and that are one pre-token, or two with the marks in the end.
+WORD = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[!-/:-@\[-`{-~]*$"
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 CACHE = 200_000  # chunks other than words that a worker remembers, and half its pre-tokens, unless the caller says less
 SLICE = 1 << 22  # bytes of text taken at a time, unless the caller says less
+WIDE, AT_ONCE = 16, 8192  # bytes of a word that is merged beside others (the model takes longer ones), and such words at once
 
 
 class WordTokenizer:
@@ -37,6 +40,28 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.byte_names = _byte_names()
+        self.merges = Merges(json.loads(self.full.to_str())["model"], self.byte_names)
+
+    def words(self, words: pa.Array) -> list[bytes]:
+        """The ids of each of the words (distinct, in lower case, a pre-token each), four bytes each."""
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        out = list(map(self.parts.get, names))
+        new = [i for i, x in enumerate(out) if x is None]
+        sizes = pc.binary_length(words).to_numpy()
+        for i in new:
+            if sizes[i] > WIDE:
+                out[i] = self._part(names[i])
+        new = [i for i in new if out[i] is None]
+        for k in range(0, len(new), AT_ONCE):
+            some = new[k : k + AT_ONCE]
+            ids, size = self.merges.encode([names[i] for i in some], sizes[some])
+            data, ends = ids.tobytes(), np.cumsum(4 * size).tolist()
+            for i, lo, hi in zip(some, [0, *ends], ends, strict=False):
+                out[i] = data[lo:hi]
+        if len(self.parts) + len(new) > 2 * self.cache:
+            self.parts.clear()
+        self.parts.update((names[i], out[i]) for i in new[: 2 * self.cache])
+        return out
 
     def chunks(self, words: list[str]) -> list[bytes]:
         """The ids of each of the chunks (which hold no ASCII white space), four bytes each."""
@@ -85,6 +110,63 @@ class WordTokenizer:
         return found
 
 
+class Merges:
+    """Byte-pair merges of many words at once: each step merges the pair of least rank, the first of its like, in every word that has one."""
+
+    def __init__(self, model: dict, byte_names: dict[int, str]) -> None:
+        ids, end = model["vocab"], model["end_of_word_suffix"] or ""
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.none = max(ids.values()) + 1  # the place of no id, after a word's last
+        keys = np.array([self._key(ids[a], ids[b]) for a, b in pairs], dtype=np.uint64)
+        self.rank = np.argsort(keys).astype(np.int32)
+        self.keys = keys[self.rank]
+        self.made = np.array([ids[a + b] for a, b in pairs], dtype=np.int32)
+        # each byte's id, each last byte's, and none; and the ranks of their pairs
+        self.start = np.array([ids[byte_names[b] + e] for e in ("", end) for b in range(256)] + [self.none], dtype=np.int32)
+        self.start_rank = self.ranks(np.repeat(self.start, len(self.start)), np.tile(self.start, len(self.start)))
+
+    def _key(self, left, right):
+        return left * (self.none + 1) + right
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or the number of merges where it is none."""
+        key = self._key(left.astype(np.uint64), right.astype(np.uint64))
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], np.int32(len(self.made)))
+
+    def encode(self, words: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each word's), of words of these sizes in bytes: 1 to ``WIDE``."""
+        n = len(words)
+        held = np.frombuffer("".join(words).encode(), np.uint8)
+        start = np.full((n, WIDE + 1), len(self.start) - 1, dtype=np.int32)  # a place more, so that a pair is left in the end
+        start[np.arange(WIDE + 1) < size[:, None]] = held
+        start[np.arange(n), size - 1] += 256
+        now = self.start[start]
+        rank = self.start_rank[start[:, :-1] * len(self.start) + start[:, 1:]]
+        out, word = np.full_like(now, self.none), np.arange(n)
+        while len(now):
+            at = rank.argmin(axis=1)
+            best = rank[np.arange(len(now)), at]
+            some = best < len(self.made)
+            out[word[~some], : now.shape[1]] = now[~some]
+            now, rank, word, at, best = now[some], rank[some], word[some], at[some], best[some]
+            now[np.arange(len(now)), at] = self.made[best]
+            now, rank = _without(now, at + 1), _without(rank, at)
+            for k in (at - 1, at):  # the pairs that the new id is in
+                there = np.flatnonzero((k >= 0) & (k < rank.shape[1]))
+                k = k[there]
+                rank[there, k] = self.ranks(now[there, k], now[there, k + 1])
+        kept = out != self.none
+        return out[kept].astype("<u4"), kept.sum(axis=1)
+
+
+def _without(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``rows`` without each one's column ``at``."""
+    keep = np.ones(rows.shape, dtype=bool)
+    keep[np.arange(len(rows)), at] = False
+    return rows[keep].reshape(len(rows), rows.shape[1] - 1)
+
+
 def _byte_names() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself, or the next from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -149,18 +231,17 @@ def _distinct(chunks: pa.Array, tokenizer: WordTokenizer) -> tuple[np.ndarray, n
     """(ids of distinct chunks, sizes, place of each chunk among them): words first, then the others."""
     plain = pc.match_substring_regex(chunks, WORD)
     low = pc.utf8_lower(chunks.filter(plain))
-    stems = pc.ascii_rtrim(low, ".,").dictionary_encode()
-    n = len(stems.dictionary)
-    names = stems.dictionary.to_pylist()
-    found = list(map(tokenizer.parts.get, names))
-    for i in [i for i, x in enumerate(found) if x is None]:
-        found[i] = tokenizer._part(names[i])
-    flat, size = _flat([*found, b"", tokenizer._part("."), tokenizer._part(",")])
-    pairs = np.empty((len(low), 2), dtype=np.int64)  # a word's entry, and that of what follows it
+    bare = pc.ascii_rtrim(low, MARKS)
+    stems = bare.dictionary_encode()
+    marked = pc.not_equal(pc.binary_length(low), pc.binary_length(bare))
+    tails = pc.replace_substring_regex(low.filter(marked), r"^[^!-/:-@\[-`{-~]+", "").dictionary_encode()
+    flat, size = _flat([*tokenizer.words(stems.dictionary), b"", *map(tokenizer._part, tails.dictionary.to_pylist())])
+    n, marked = len(stems.dictionary), marked.to_numpy(zero_copy_only=False)
+    pairs = np.full((len(low), 2), n, dtype=np.int64)  # a word's entry, and that of what follows it
     pairs[:, 0] = stems.indices.to_numpy()
-    pairs[:, 1] = n + pc.ends_with(low, ".").to_numpy(zero_copy_only=False) + 2 * pc.ends_with(low, ",").to_numpy(zero_copy_only=False)
+    pairs[marked, 1] = n + 1 + tails.indices.to_numpy()
     flat, size = _gather(flat, size, pairs.ravel())
-    rest, rest_size = _flat(tokenizer.chunks(chunks.filter(pc.invert(plain)).to_pylist()))
+    rest, rest_size = _flat(tokenizer.chunks(chunks.filter(pc.invert(plain)).to_numpy(zero_copy_only=False).tolist()))
     plain = plain.to_numpy(zero_copy_only=False)
     place = np.empty(len(chunks), dtype=np.int64)
     place[plain], place[~plain] = np.arange(len(low)), len(low) + np.arange(len(rest_size))

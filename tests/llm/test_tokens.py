@@ -271,6 +271,26 @@ def test_forms_of_a_word_are_looked_up_once(library):
     assert {"straße", "strasse", "élan", "x"} <= set(tokenizer.parts)
 
 
+@pytest.mark.parametrize("cache", [None, 700])
+def test_new_words_are_merged_together(library, monkeypatch, cache):
+    """The model is asked for long words and marks alone, and the ids are the library's, ties and all."""
+    monkeypatch.setattr(tokens, "AT_ONCE", 500, raising=False)
+    r = random.Random(6)
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 12))) for letters in ("thenrasiod", "aab", "éüßñçaerÀÿ", "hHeLloO") for _ in range(1500)]
+    words += [c * k for c in "asé" for k in range(1, 20)] + ["".join(r.choice("etaoinsr") for _ in range(k)) for k in (15, 16, 17, 40) for _ in range(50)]
+    texts = [" ".join(w + r.choice(["", "", ",", ")", "?!", "***", "'", '."', "<|", "_"]) for w in r.sample(words, 2000)) for _ in range(4)]
+    tokenizer, asked, seen = tokens.WordTokenizer(vocabulary(), cache), set(), set()
+    part, chunk = tokenizer._part, tokenizer._chunk
+    tokenizer._part = lambda piece: asked.add(piece) or part(piece)
+    tokenizer._chunk = lambda word: seen.add(word) or chunk(word)
+    for t in texts * 2:
+        ids, _ = tokens.encode(pa.array([t]), tokenizer, None)
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(tokenizer.parts) <= 2 * tokenizer.cache
+    assert not seen and not {x for x in asked if x.isalpha() and len(x.encode()) <= 16}
+    assert {x for x in asked if len(x.encode()) > 16}
+
+
 def test_tokenizing_takes_little_memory_beside_the_executor():
     """Two workers of an executor tokenize at once; a batch of large texts must not add far more than itself to each."""
     code = """
